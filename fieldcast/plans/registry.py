@@ -81,7 +81,27 @@ weekly_feed AS (
     s.season, s.week, s.opponent AS opponent_team, s.targets, s.carries, s.receptions,
     s.yards * 0.75 AS receiving_yards, CAST(s.touchdowns % 2 AS INTEGER) AS receiving_tds,
     s.yards * 0.25 AS rushing_yards, CAST(s.touchdowns - s.touchdowns % 2 AS INTEGER) AS rushing_tds
-  FROM player_stats s JOIN players p ON p.player_id = s.player_id)
+  FROM player_stats s JOIN players p ON p.player_id = s.player_id),
+dirty_weekly AS (
+  SELECT player_id, player_display_name, position,
+    CASE WHEN week = 21 THEN NULL ELSE recent_team END AS recent_team, season, week,
+    CASE WHEN week % 5 = 0 THEN NULL ELSE lower(opponent_team) END AS opponent_team,
+    CASE WHEN (week + season) % 7 = 0 THEN NULL ELSE targets END AS targets,
+    CASE WHEN (week + season) % 11 = 0 THEN -1 ELSE carries END AS carries,
+    receptions,
+    CASE WHEN week = 3 THEN NULL ELSE receiving_yards END AS receiving_yards,
+    receiving_tds, rushing_yards, rushing_tds
+  FROM weekly_feed
+  UNION ALL
+  SELECT player_id, player_display_name, position, recent_team, season, week, opponent_team, targets, carries,
+    receptions + 1, receiving_yards - 5.0, receiving_tds, rushing_yards, rushing_tds
+  FROM weekly_feed WHERE week % 4 = 0),
+births AS (
+  SELECT player_id, season,
+    CASE WHEN player_id % 11 = 0 THEN 'unknown'
+         ELSE concat(CAST(1965 + player_id % 12 AS VARCHAR), '-', lpad(CAST(1 + player_id % 12 AS VARCHAR), 2, '0'),
+                     '-', lpad(CAST(1 + player_id % 28 AS VARCHAR), 2, '0')) END AS birth_date
+  FROM (SELECT DISTINCT player_id, season FROM player_stats) d)
 """
 
 

@@ -72,6 +72,14 @@ class Tables:
     def weekly_feed(self) -> DataFrame:
         return weekly_feed_view(self.player_stats, self.players)
 
+    @cached_property
+    def dirty_weekly(self) -> DataFrame:
+        return dirty_weekly_view(self.weekly_feed)
+
+    @cached_property
+    def births(self) -> DataFrame:
+        return births_view(self.player_stats)
+
 
 def _padded_id(key: Column) -> Column:
     return F.concat(F.lit("00-"), F.lpad(key.cast("string"), 7, "0"))
@@ -232,3 +240,34 @@ def weekly_feed_view(player_stats: DataFrame, players: DataFrame) -> DataFrame:
         (F.col("yards") * 0.25).alias("rushing_yards"),
         (F.col("touchdowns") - F.col("touchdowns") % 2).cast("int").alias("rushing_tds"),
     )
+
+
+def dirty_weekly_view(feed: DataFrame) -> DataFrame:
+    """The weekly feed with the defects the cleaner exists for: null and
+    negative counts, lower-case / missing opponents, rows without a team,
+    null yardage, and a less complete duplicate of every fourth week."""
+    c = F.col
+    key = c("week") + c("season")
+    base = feed.withColumns({
+        "targets": F.when(key % 7 == 0, None).otherwise(c("targets")),
+        "carries": F.when(key % 11 == 0, F.lit(-1)).otherwise(c("carries")),
+        "opponent_team": F.when(c("week") % 5 == 0, None).otherwise(F.lower("opponent_team")),
+        "recent_team": F.when(c("week") == 21, None).otherwise(c("recent_team")),
+        "receiving_yards": F.when(c("week") == 3, None).otherwise(c("receiving_yards")),
+    })
+    dups = feed.where(c("week") % 4 == 0).withColumns({
+        "receiving_yards": c("receiving_yards") - 5.0,
+        "receptions": c("receptions") + 1,
+    })
+    return base.unionByName(dups)
+
+
+def births_view(player_stats: DataFrame) -> DataFrame:
+    """(player, season) rows with a birth-date string; every 11th is unparseable."""
+    k = F.col("player_id")
+    born = F.concat_ws("-", (1965 + k % 12).cast("string"),
+                       F.lpad((1 + k % 12).cast("string"), 2, "0"),
+                       F.lpad((1 + k % 28).cast("string"), 2, "0"))
+    return player_stats.select("player_id", "season").distinct().select(
+        "player_id", "season",
+        F.when(k % 11 == 0, F.lit("unknown")).otherwise(born).alias("birth_date"))
