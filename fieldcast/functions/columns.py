@@ -12,10 +12,18 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+NOISE_DIGITS = 9
+
+
 def round_half_even(c: str | Column, digits: int) -> Column:
-    """numpy/pandas rounding: rint(x * 10^d) / 10^d (half-even on the binary product)."""
+    """pandas-style rounding, rint(x * 10^d) / 10^d, applied after snapping x
+    to 9 dp so float accumulation noise (sums of tenths in a different order)
+    cannot flip an exact decimal tie. Bit-identical to `sql_round` in DuckDB."""
+    x = col(c)
+    if digits < NOISE_DIGITS:
+        x = F.rint(x * 1e9) / 1e9
     scale = float(10 ** digits)
-    return F.rint(col(c) * scale) / scale
+    return F.rint(x * scale) / scale + 0.0      # + 0.0 folds -0.0 into 0.0
 
 
 def clip(c: str | Column, low=None, high=None) -> Column:

@@ -1,6 +1,6 @@
 """Registered queries: importing this package fills the registry."""
 
-from fieldcast.plans import q_cleaning, q_inseason, q_sources  # noqa: F401
+from fieldcast.plans import q_cleaning, q_inseason, q_preseason, q_sources  # noqa: F401
 from fieldcast.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

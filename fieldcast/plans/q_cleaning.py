@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldcast.operators import cleaning as C
-from fieldcast.plans.registry import register
+from fieldcast.plans.registry import register, sql_round
 
 KEY = "player_id, season, week"
 
@@ -33,9 +33,9 @@ _C4 = f"""SELECT * EXCLUDE (rn) FROM (
               carries DESC NULLS LAST) AS rn
   FROM ({_C3}) c3) d WHERE rn = 1"""
 
-_C5 = f"""SELECT *, round_even((((((0.0 + CAST(receptions AS DOUBLE) * 1.0) + receiving_yards * 0.1)
-    + CAST(receiving_tds AS DOUBLE) * 6.0) + rushing_yards * 0.1) + CAST(rushing_tds AS DOUBLE) * 6.0) * 100, 0) / 100
-    AS fantasy_points
+_PTS = ("(((((0.0 + CAST(receptions AS DOUBLE) * 1.0) + receiving_yards * 0.1) + CAST(receiving_tds AS DOUBLE) * 6.0)"
+        " + rushing_yards * 0.1) + CAST(rushing_tds AS DOUBLE) * 6.0)")
+_C5 = f"""SELECT *, {sql_round(_PTS, 2)} AS fantasy_points
 FROM ({_C4}) c4"""
 
 _CLEAN = f"""SELECT player_id, player_display_name AS name, position, recent_team AS team,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldcast import schemas as S
-from fieldcast.plans.registry import register
+from fieldcast.plans.registry import register, sql_round
 from fieldcast.sources import readers as R
 
 INGEST_SEASONS = tuple(range(1995, 2002))
@@ -86,9 +86,9 @@ def q_filter_positions(t):
     return R.filter_positions(t.weekly_feed, S.FLEX_POSITIONS)
 
 
-@register("s7_derive_age", doubles=("age",), sql="""
+@register("s7_derive_age", doubles=("age",), sql=f"""
 SELECT player_id, season, birth_date,
-  round_even(date_diff('day', TRY_CAST(birth_date AS DATE), make_date(season, 9, 1)) / 365.25 * 10, 0) / 10 AS age
+  {sql_round("date_diff('day', TRY_CAST(birth_date AS DATE), make_date(season, 9, 1)) / 365.25", 1)} AS age
 FROM births
 """)
 def q_derive_age(t):

@@ -111,8 +111,7 @@ def with_fixtures(body: str, doubles=(), digits: int = 6) -> str:
 
     `body` is a plain query and may carry its own WITH clause.
     """
-    scale = f"1e{digits}"
-    repl = ", ".join(f"round_even({c} * {scale}, 0) / {scale} AS {c}" for c in doubles)
+    repl = ", ".join(f"{sql_round(c, digits)} AS {c}" for c in doubles)
     select = f"SELECT * REPLACE ({repl})" if doubles else "SELECT *"
     return f"WITH {FIXTURE_CTES.strip()}\n{select} FROM (\n{body.strip()}\n) AS q"
 
@@ -140,6 +139,9 @@ def register(key: str, sql: str | None = None, doubles=(), round_digits: int | N
     return deco
 
 
-def r6(expr: str) -> str:
-    """Oracle-side twin of the half-even output rounding."""
-    return f"round_even(({expr}) * 1e6, 0) / 1e6"
+def sql_round(expr: str, digits: int) -> str:
+    """DuckDB twin of `round_half_even`: snap to 9 dp, then half-even."""
+    x = f"({expr})"
+    if digits < 9:
+        x = f"(round_even({x} * 1e9, 0) / 1e9)"
+    return f"(round_even({x} * 1e{digits}, 0) / 1e{digits} + 0.0)"
