@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldcast import schemas as S
 from fieldcast.operators import boards as B
 from fieldcast.operators import preseason as P
-from fieldcast.plans.q_preseason import CONTEXT_SQL
+from fieldcast.plans.q_preseason import CONTEXT_SQL, context_table
 from fieldcast.plans.registry import register, sql_round
 from fieldcast.sources import readers as R
 
@@ -19,8 +19,7 @@ def _fmt1(x):
 
 
 def board_context(t, season=BOARD_SEASON):
-    return P.build_context(t.player_stats, t.players, [season], snaps=t.snap_counts,
-                           bios=R.read_bios(t.bios), depth=R.depth_rank(t.depth_charts))
+    return context_table(t).where(F.col("season") == season)
 
 
 PLAYER_COLS = "player_id, external_id, name, team, position, age, draft_round, draft_pick, rookie_season"

@@ -230,6 +230,15 @@ def build_context(t):
                            bios=R.read_bios(t.bios), depth=R.depth_rank(t.depth_charts))
 
 
+def context_table(t):
+    """The stored player_context table (built by P19 once, read by scoring,
+    boards and training), as the weekly job persists it."""
+    built = t.stored("player_context", lambda: build_context(t),
+                     sources=("lineitem", "supplier", "events"))
+    cols = [c for c in P.CONTEXT_COLUMNS]
+    return built.select(*[F.col(c).cast("int").alias(c) if c == "season" else F.col(c) for c in cols])
+
+
 # ---------------------------------------------------------------- queries
 @register("p22_build_all_seasons", sql=f"WITH {TG} SELECT season FROM tg")
 def q_targets(t):
@@ -366,7 +375,7 @@ SELECT player_id, season, prior_games, prior_points_per_game, career_seasons, ca
        prior_snap_share IS NULL AS snap_missing, depth_chart_rank IS NULL AS depth_missing
 FROM ({CONTEXT_SQL}) c""")
 def q_context_defaults(t):
-    c = build_context(t)
+    c = context_table(t)
     return c.select("player_id", "season", "prior_games", "prior_points_per_game", "career_seasons",
                     "career_weighted_ppg", "qb_changed",
                     F.col("prior_snap_share").isNull().alias("snap_missing"),
@@ -376,7 +385,7 @@ def q_context_defaults(t):
 @register("p21_rookie_flag", sql=f"""
 SELECT player_id, season, rookie_season, prior_games, is_rookie FROM ({CONTEXT_SQL}) c""")
 def q_rookie_flag(t):
-    return build_context(t).select("player_id", "season", "rookie_season", "prior_games", "is_rookie")
+    return context_table(t).select("player_id", "season", "rookie_season", "prior_games", "is_rookie")
 
 
 @register("p23_next_period", sql="""

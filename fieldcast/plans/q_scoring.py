@@ -8,7 +8,7 @@ from fieldcast import schemas as S
 from fieldcast.operators import inseason as ins
 from fieldcast.operators import scoring as M
 from fieldcast.plans.q_inseason import SEASON, WEEK, _PIT_SQL, _UPCOMING_SQL, weekly_projection
-from fieldcast.plans.q_preseason import CONTEXT_SQL, build_context
+from fieldcast.plans.q_preseason import CONTEXT_SQL, context_table
 from fieldcast.plans.registry import register, sql_round
 
 KEYS = ("player_id", "season")
@@ -66,7 +66,7 @@ VEC = f"vec AS ({_vec_sql('ctx')})"
 
 
 def _vector(t):
-    return M.preseason_vector(build_context(t))
+    return M.preseason_vector(context_table(t))
 
 
 def _requests(t):
@@ -84,7 +84,7 @@ SELECT player_id, season, list_filter([{', '.join(
 FROM (SELECT * REPLACE (CAST(is_rookie AS INTEGER) AS is_rookie, CAST(qb_changed AS INTEGER) AS qb_changed)
       FROM ctx) c""")
 def q_validate(t):
-    c = build_context(t).withColumns({"is_rookie": F.col("is_rookie").cast("int"),
+    c = context_table(t).withColumns({"is_rookie": F.col("is_rookie").cast("int"),
                                       "qb_changed": F.col("qb_changed").cast("int")}) \
         .select(*KEYS, *S.PRESEASON_FEATURE_ORDER)
     return M.validate_contract(c, S.PRESEASON_FEATURE_ORDER, S.PRESEASON_RANGES, keys=KEYS) \
@@ -97,7 +97,7 @@ SELECT player_id, season, {', '.join(
     _d(f"CAST({f} AS INTEGER)" if f in ('is_rookie', 'qb_changed') else f, S.PRESEASON_DEFAULTS[f]) + f' AS {f}'
     for f in S.PRESEASON_FEATURE_ORDER)} FROM ctx""")
 def q_defaults(t):
-    c = build_context(t).withColumns({"is_rookie": F.col("is_rookie").cast("int"),
+    c = context_table(t).withColumns({"is_rookie": F.col("is_rookie").cast("int"),
                                       "qb_changed": F.col("qb_changed").cast("int")})
     return M.preseason_defaults(c, keep=KEYS)
 
@@ -151,7 +151,7 @@ SELECT a.player_id, a.season, a.week, a.ctx_season, c.prior_games AS ctx_prior_g
        c.prior_points_per_game AS ctx_prior_points_per_game, c.is_rookie AS ctx_is_rookie
 FROM asof_ctx a JOIN ctx c ON c.player_id = a.player_id AND c.season = a.ctx_season""")
 def q_asof(t):
-    a = M.asof_context(_requests(t), build_context(t), REQ_KEY)
+    a = M.asof_context(_requests(t), context_table(t), REQ_KEY)
     return a.select(*REQ_KEY, "ctx_season", "ctx_prior_games", "ctx_prior_points_per_game", "ctx_is_rookie")
 
 
@@ -178,7 +178,7 @@ SELECT k.player_id, k.req_season AS season, k.week, 'preseason' AS mode,
        '{M.PRESEASON_FALLBACK_VERSION}' AS model_version, k.ctx_season AS context_season
 FROM pre_vec v JOIN pre_keys k ON k.player_id = v.player_id AND k.ctx_season = v.season""")
 def q_route(t):
-    return M.route_model(_requests(t), t.player_stats, build_context(t))
+    return M.route_model(_requests(t), t.player_stats, context_table(t))
 
 
 @register("m11_batch_score", doubles=("prediction", "confidence"), sql=f"""

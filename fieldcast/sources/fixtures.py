@@ -77,6 +77,26 @@ class Tables:
         return stored.select("player_id", F.col("season").cast("int").alias("season"),
                              *[c for c in df.columns if c not in ("player_id", "season")])
 
+    def stored(self, name: str, build, sources: tuple[str, ...], partition_by: str | None = "season") -> DataFrame:
+        """A derived table written once per session to shared storage and read back.
+
+        This is what the pipeline does with its own outputs (the context table,
+        the fact): later queries start from a scan of the stored table instead
+        of re-planning its whole derivation.
+        """
+        if not self.materialize:
+            return build()
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name, _fingerprint(self.sf_dir, sources))
+        path = _MATERIALIZED.get(key)
+        if path is None:
+            from fieldcast.session import staging_path
+            path = staging_path(self.spark, name)
+            df = build()
+            w = df.write.partitionBy(partition_by) if partition_by else df.write
+            w.parquet(path)
+            _MATERIALIZED[key] = path
+        return self.spark.read.parquet(path)
+
     @cached_property
     def predictions(self) -> DataFrame:
         return predictions_view(self.table("orders"), self.table("supplier"))
