@@ -462,13 +462,15 @@ CONTEXT_COLUMNS = (
 def build_context(stats: DataFrame, players: DataFrame, targets: Targets,
                   snaps: DataFrame | None = None, bios: DataFrame | None = None,
                   depth: DataFrame | None = None, recency_base: int = 0,
-                  team_of_record: str = "game", game_teams: DataFrame | None = None) -> DataFrame:
+                  team_of_record: str = "game", game_teams: DataFrame | None = None,
+                  ps: DataFrame | None = None) -> DataFrame:
     """P1-P21 for every target season in one plan: the player_context table.
 
     The fact is aggregated once to player-seasons; every feature derives from
-    that frame (its shuffle is reused across the branches).
+    that frame (its shuffle is reused across the branches). Pass `ps` (the
+    stored `player_seasons` table) to start from a scan of it instead.
     """
-    ps = with_player_dims(player_seasons(stats), players)
+    ps = with_player_dims(ps if ps is not None else player_seasons(stats), players)
     production = usage_share(prior_production(ps, players, targets),
                              team_totals(ps, players, targets))
     situation = team_situation(ps, players, targets)

@@ -15,7 +15,10 @@ def _targets(t):
 
 
 def _ps(t):
-    return P.player_seasons(t.player_stats)
+    """The stored player-season aggregate (one row per player and season)."""
+    return t.stored("player_seasons", lambda: P.player_seasons(t.player_stats),
+                    sources=("lineitem", "supplier")) \
+        .withColumn("season", F.col("season").cast("int"))
 
 
 def _r(expr, d):
@@ -227,7 +230,7 @@ CONTEXT_DOUBLES = (
 
 def build_context(t):
     return P.build_context(t.player_stats, t.players, _targets(t), snaps=t.snap_counts,
-                           bios=R.read_bios(t.bios), depth=R.depth_rank(t.depth_charts))
+                           bios=R.read_bios(t.bios), depth=R.depth_rank(t.depth_charts), ps=_ps(t))
 
 
 def context_table(t):
