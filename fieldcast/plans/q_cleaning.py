@@ -104,14 +104,18 @@ def q_project_clean(t):
     return C.clean_weekly(t.dirty_weekly)
 
 
-@register("c9_clean_rosters", sql="""
+ROSTERS_CLEAN = """
 SELECT player_id, player_name AS name, position, team, season, CAST(age AS DOUBLE) AS age,
   CAST(height AS DOUBLE) AS height_inches, CAST(weight AS DOUBLE) AS weight_lbs,
   CAST(draft_round AS DOUBLE) AS draft_round, CAST(draft_pick AS DOUBLE) AS draft_pick,
   CAST(rookie_season AS DOUBLE) AS rookie_season
 FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY season DESC) AS rn
       FROM rosters WHERE player_id IS NOT NULL) r WHERE rn = 1
-""", doubles=("age", "height_inches", "weight_lbs", "draft_round", "draft_pick", "rookie_season"))
+"""
+
+
+@register("c9_clean_rosters", sql=ROSTERS_CLEAN,
+          doubles=("age", "height_inches", "weight_lbs", "draft_round", "draft_pick", "rookie_season"))
 def q_clean_rosters(t):
     return C.clean_rosters(t.rosters)
 
