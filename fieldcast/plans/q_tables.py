@@ -3,6 +3,8 @@ it stands after the operation, computed over the whole input tables."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from fieldcast import schemas as S
@@ -218,3 +220,27 @@ SELECT count(*) FILTER (WHERE NOT starts_with(external_id, '{PURGE_PREFIX}')) AS
 FROM players""")
 def q_census(t):
     return W.census(t.players, PURGE_PREFIX)
+
+
+# ------------------------------------------------------------------ W10
+@register("w10_incremental_weekly", doubles=("yards", "fantasy_points"), sql=f"""
+WITH cw AS ({_CLEAN})
+SELECT p.player_id, c.season, c.week, c.opponent, c.is_home, c.targets, c.carries, c.receptions,
+       c.yards, c.touchdowns, c.fantasy_points
+FROM cw c JOIN players p ON p.external_id = c.player_id""")
+def q_incremental_weekly(t):
+    """The dirty weekly feed lands as files (whole (season, week) groups per
+    file, so duplicates of a key arrive together); the stream upserts them
+    batch by batch into an empty stats table, which is returned."""
+    from fieldcast.session import staging_path
+    from fieldcast.streaming.weekly import incremental_weekly
+
+    root = staging_path(t.spark, "weekly-stream")
+    src, stats, ckpt = (os.path.join(root, d) for d in ("landing", "player_stats", "checkpoint"))
+    feed = t.dirty_weekly
+    feed.repartition("season", "week").write.parquet(src)
+    q = incremental_weekly(t.spark, src, feed.schema, t.players, stats, ckpt, max_files_per_trigger=4)
+    q.awaitTermination()
+    return t.spark.read.parquet(stats).select(
+        "player_id", F.col("season").cast("int").alias("season"), "week", "opponent", "is_home", "targets",
+        "carries", "receptions", "yards", "touchdowns", "fantasy_points")
