@@ -52,7 +52,7 @@ def defence_rank(stats: DataFrame, season: int, week: int,
     """
     allowed = _window_filter(stats, season, week, max_week) \
         .where(F.col("opponent").isNotNull()) \
-        .groupBy("opponent").agg(F.avg("fantasy_points").alias("pts_allowed"))
+        .groupBy("opponent").agg(round_half_even(F.avg("fantasy_points"), 9).alias("pts_allowed"))
     return allowed.select("opponent", F.rank().over(
         Window.orderBy(F.col("pts_allowed").desc())).alias("opponent_rank"))
 
@@ -114,7 +114,7 @@ def season_defence_rank(frame: DataFrame, target: str = "target") -> DataFrame:
     Ties break by opponent name (the group order). The ranking table is
     seasons x teams rows, broadcast back onto the frame.
     """
-    allowed = frame.groupBy("season", "opponent").agg(F.avg(target).alias("pts_allowed"))
+    allowed = frame.groupBy("season", "opponent").agg(round_half_even(F.avg(target), 9).alias("pts_allowed"))
     w = Window.partitionBy("season").orderBy(F.col("pts_allowed").desc(), F.col("opponent"))
     ranks = allowed.select("season", "opponent", F.row_number().over(w).alias("opp_rank_raw"))
     out = frame.join(F.broadcast(ranks), ["season", "opponent"], "left")
@@ -169,7 +169,7 @@ def opponent_rank_lookup(requests: DataFrame, stats: DataFrame,
     periods = requests.select("season", F.col("week").alias("req_week")).distinct()
     allowed = periods.join(weekly, "season").where(F.col("week") < F.col("req_week")) \
         .groupBy("season", "req_week", "opponent") \
-        .agg((F.sum("pts") / F.sum("n")).alias("pts_allowed"))
+        .agg(round_half_even(F.sum("pts") / F.sum("n"), 9).alias("pts_allowed"))
     w = Window.partitionBy("season", "req_week").orderBy(F.col("pts_allowed").desc(), "opponent")
     ranks = allowed.select("season", "req_week", "opponent", F.row_number().over(w).alias("rk"))
     r = requests.select(*[F.col(k).alias(f"k_{k}") for k in key],
