@@ -25,24 +25,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldcast import schemas as S
 from fieldcast.functions.ranking import latest_per_key
 
 OVERWRITE, COALESCE, KEEP = "overwrite", "coalesce", "keep"
 
-# FIXED VALUES: per-column conflict policies of the three upserts.
-PLAYER_POLICY = {
-    "name": OVERWRITE, "team": OVERWRITE, "position": OVERWRITE,
-    "age": COALESCE, "height_inches": COALESCE, "weight_lbs": COALESCE,
-    "draft_round": COALESCE, "draft_pick": COALESCE, "rookie_season": COALESCE,
-}
-CONTEXT_COALESCE = ("prior_snap_share", "depth_chart_rank", "draft_round", "draft_pick", "rookie_season", "age")
-ROOKIE_POLICY = {
-    "team": COALESCE, "position": OVERWRITE,
-    "draft_round": COALESCE, "draft_pick": COALESCE, "rookie_season": COALESCE,
-    "name": KEEP, "age": KEEP, "height_inches": KEEP, "weight_lbs": KEEP,
-}
-ROOKIE_DEFAULT_AGE = 22.0
-ROOKIE_DEFAULT_POSITION = "WR"
+# Per-column conflict policies of the three upserts (column lists in schemas).
+PLAYER_POLICY = {**{c: OVERWRITE for c in S.PLAYER_OVERWRITE_COLUMNS},
+                 **{c: COALESCE for c in S.PLAYER_COALESCE_COLUMNS}}
+CONTEXT_COALESCE = S.CONTEXT_COALESCE_COLUMNS
+# Rookie registration leaves name, age and size of a known player alone.
+ROOKIE_POLICY = {**{c: COALESCE for c in S.ROOKIE_COALESCE_COLUMNS},
+                 **{c: OVERWRITE for c in S.ROOKIE_OVERWRITE_COLUMNS},
+                 **{c: KEEP for c in ("name", "age", "height_inches", "weight_lbs")}}
+ROOKIE_DEFAULT_AGE = S.ROOKIE_DEFAULT_AGE
+ROOKIE_DEFAULT_POSITION = S.ROOKIE_DEFAULT_POSITION
 
 
 # ------------------------------------------------------------------ core
