@@ -44,16 +44,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage and is used as
-    is. Only when it is unset (local tests) do we pick a private folder.
+    is. Only when it is unset (local tests) do we pick a private folder; the
+    core setting cannot be changed at runtime, so that folder is given to the
+    SparkContext and remembered here.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_CKPT.get(sc.applicationId)
     if not path:
         path = tempfile.mkdtemp(prefix="fieldcast-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        _LOCAL_CKPT[sc.applicationId] = path
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(path)
     return path
 
 
+_LOCAL_CKPT: dict[str, str] = {}
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh directory under the shared checkpoint folder for staged writes."""
     base = ensure_checkpoint_dir(spark)
