@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldcast.session import staging_path
@@ -24,9 +28,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared(spark: SparkSession, model: object) -> Callable[[], object]:
+    """Broadcasts a model of bounded size; a task gets it by calling the result.
+
+    Its class travels with it, so executors need not have this library installed.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
+    return lambda: pickle.loads(sent.value)
+
+
 # --------------------------------------------------------------------------- hot keys
 
-def in_blocks(members: DataFrame, block_rows: int) -> DataFrame:
+def in_blocks(members: DataFrame, block_rows: int, few_keys: bool = False) -> DataFrame:
     """Lay out key-sharing rows so that no task needs a whole key.
 
     ``members`` has ``key`` (any struct or scalar), ``role`` and other columns.
@@ -36,11 +49,14 @@ def in_blocks(members: DataFrame, block_rows: int) -> DataFrame:
     (``role`` 1) to the lower blocks. Rows of role 1 are shown to every block.
     Each pair (role 0, role 0) or (role 0, role 1) of a key so meets in exactly
     one block. Keys without a role-0 row can't yield a pair and are dropped.
+    ``few_keys`` says that the number of keys has a bound, whatever the rows, so
+    that the row counts by key can be broadcast.
 
     The result is partitioned and sorted by (key, block, role).
     """
     counts = (members.where("role = 0").groupBy("key")
               .agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("n_blocks")))
+    counts = F.broadcast(counts) if few_keys else counts
     own = F.pmod(F.col("spread"), F.col("n_blocks")).cast("int")
     last = F.when(F.col("role") == 0, own).otherwise(F.col("n_blocks") - 1)
     laid = (members.join(counts, "key")

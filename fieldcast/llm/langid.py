@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldcast.llm.common import col
+from fieldcast.llm.common import col, shared
 
 ORDERS = (1, 2, 3)
 BINS = 1 << 16
@@ -141,12 +141,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tra
 
 def predict(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text") -> DataFrame:
     """The ``carry`` columns of ``docs`` with ``__lang`` and ``__score`` of each text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs.sparkSession, model)
     schema = T.StructType([*[docs.schema[c] for c in carry], T.StructField("__lang", T.StringType()),
                            T.StructField("__score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, model = _letter_table(), sent.value
+        letters, model = _letter_table(), sent()
         for b in batches:
             lang, score = model.score(b.column(len(carry)).to_pylist(), letters)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score)],

@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcast.llm import bpe, decontaminate, langid, pii, simhash
+from fieldcast.llm import bpe, decontaminate, embedding, langid, packing, pii, simhash, token_count, toxicity
 
 #: Where the ranks of the byte-level BPE come from; a parameter of the operators.
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Pieces and scores of the unigram token counts.
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9 or more."""
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"), min_cosine=0.9)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every document: words hit by 13-word windows of the benchmark."""
     docs = table(spark, sf_dir, "documents")
@@ -35,11 +42,25 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[c.alias(k) for k, c in said.items()], F.col("__spans").alias("removal_spans"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability that every document is toxic, learnt from the labels outside a quarter that is held out."""
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels"), _remainder(4) != 2)
+    return toxicity.scored(docs, index).select(
+        "doc_id", (_remainder(4) == 2).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "evidence")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with pseudonyms for its personal data, and how many values of each kind were replaced."""
     return pii.pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids, packed into rows of 2048."""
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def _language_model(docs: DataFrame) -> langid.Model:
     return langid.fit(docs.where(_remainder(5) != 0))
 
@@ -52,6 +73,12 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("__score").alias("score"))
 
 
+def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document, and the score of the best cut."""
+    pieces = token_count.read_pieces(public_tokenizers.path(PIECES))
+    return token_count.token_counts(table(spark, sf_dir, "documents"), pieces)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids of every document, and of the bytes they decode to."""
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN,
@@ -60,9 +87,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_embedding": op2_embedding,
     "op4_decontaminate": op4_decontaminate,
+    "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
+    "op7_packing": op7_packing,
     "op8_langid": op8_langid,
+    "op9_token_count": op9_token_count,
     "op10_bpe": op10_bpe,
 }
 #: None of them can be put in SQL; tests/llm compares each with a brute-force version.
