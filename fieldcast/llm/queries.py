@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcast.llm import bpe, decontaminate, embedding, langid, packing, pii, simhash, token_count, toxicity
+from fieldcast.llm import bpe, decontaminate, embedding, langid, license_scan, packing, pii, simhash, token_count, toxicity
 
 #: Where the ranks of the byte-level BPE come from; a parameter of the operators.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -34,6 +34,11 @@ def op2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(table(spark, sf_dir, "embeddings"), min_cosine=0.9)
 
 
+def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license families of every document, by its paragraphs."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every document: words hit by 13-word windows of the benchmark."""
     docs = table(spark, sf_dir, "documents")
@@ -88,6 +93,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_embedding": op2_embedding,
+    "op3_license": op3_license,
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
