@@ -40,7 +40,7 @@ from fieldcast.llm.common import col
 # Fixed value: the pattern that cuts texts before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NONE = np.iinfo(np.int32).max
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 4_000_000
 # The replay goes rank by rank in numpy while a rank has FEW positions on average, then by position.
 MANY, FEW = 4096, 48
 

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from fieldcast.llm.common import col
 
 WINDOW = 13
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 PART_BYTES = 16 << 20
 SAMPLED = 32
 OTHERS = 256

@@ -32,7 +32,7 @@ ORDERS = (1, 2, 3)
 BINS = 1 << 16
 TRAIN_ROWS = 4000
 COUNT_TASKS = 8
-_CHARS_AT_ONCE = 1 << 21
+_CHARS_AT_ONCE = 1 << 20
 
 
 def _letter_table(size: int = 0x110000) -> np.ndarray:
