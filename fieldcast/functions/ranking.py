@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from pyspark.sql import functions as F
 def latest_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per `key`: the row with the greatest struct(order...).
 
-    A hash aggregate with map-side partial max_by, so a key holding a third
+    An aggregate with map-side partial max_by (sorted, as the buffer is a
+    struct), so a key holding a third
     of all rows is combined inside each map task rather than sorted in one
     reducer (which is what row_number-over-key would do).
     """
@@ -27,25 +30,29 @@ def rank_desc(df: DataFrame, part: Sequence[str], value: str, out: str = "rank",
     """Exact RANK() (1 + number of strictly larger values) within `part`,
     without putting a whole partition in one task.
 
-    Partition keys such as position have a handful of values, so a plain
-    window would run on a few reducers. Instead each partition is split into
-    value ranges at approximate quantiles: rows of a higher range are
-    strictly larger, so rank = (rows in higher ranges of the partition)
-    + rank within the own range. Range counts are a tiny table
-    (partitions x buckets) whose cumulative sum is a small window.
+    Equal values are counted first, so ties cost one row. The distinct values
+    of a partition are cut into ranges at approximate quantiles: a range's rank
+    offset is the rows in higher ranges, and the rest is a window inside the
+    range. Null partition values form a partition of their own and null values
+    rank last, as in RANK().
     """
     part = list(part)
+    same = lambda cols: reduce(and_, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in cols], F.lit(True))
+    values = df.groupBy(*part, value).agg(F.count(F.lit(1)).alias("_n"))
     probs = [i / buckets for i in range(1, buckets)]
-    splits = df.groupBy(*part).agg(
-        F.percentile_approx(value, probs, int(1 / relative_error)).alias("_splits"))
-    j = df.join(F.broadcast(splits), part, "left")
+    splits = values.groupBy(*part).agg(F.percentile_approx(value, probs, int(1 / relative_error)).alias("_splits"))
     # bucket = number of split points strictly below the value (monotone).
-    j = j.withColumn("_b", F.size(F.filter(F.coalesce("_splits", F.array().cast("array<double>")),
-                                           lambda s: s < F.col(value)))).drop("_splits")
-    counts = j.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*part).orderBy(F.col("_b").desc()) \
+    bucket = F.size(F.filter(F.coalesce("_splits", F.array().cast("array<double>")), lambda s: s < F.col(value)))
+    ranged = (values.alias("a").join(splits.alias("b"), same(part), "left")
+              .select("a.*", "b._splits").withColumn("_b", bucket).drop("_splits"))
+    counts = ranged.groupBy(*part, "_b").agg(F.sum("_n").alias("_sum"))
+    higher = Window.partitionBy(*part).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    above = counts.select(*part, "_b", F.coalesce(F.sum("_sum").over(higher), F.lit(0)).alias("_above"))
+    before = Window.partitionBy(*part, "_b").orderBy(F.col(value).desc_nulls_last()) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    above = counts.withColumn("_above", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    j = j.join(F.broadcast(above), [*part, "_b"])
-    wr = Window.partitionBy(*part, "_b").orderBy(F.col(value).desc())
-    return j.withColumn(out, (F.col("_above") + F.rank().over(wr)).cast("int")).drop("_b", "_above")
+    inside = ranged.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    ranks = (inside.alias("a").join(above.alias("b"), same([*part, "_b"]))
+             .select(*[F.col(f"a.{c}").alias(f"_k{i}") for i, c in enumerate([*part, value])],
+                     (F.col("b._above") + F.col("a._before") + 1).cast("int").alias(out)))
+    on = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*part, value])])
+    return df.join(ranks, on).select(*df.columns, out)

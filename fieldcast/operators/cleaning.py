@@ -17,12 +17,17 @@ def drop_unjoinable(df: DataFrame, keys=("player_id", "season", "week"),
     return df.dropna(subset=[*keys, *[c for c in also if c in df.columns]])
 
 
+def _number(c: str):
+    """The column as double; null, NaN and what is no number are 0."""
+    return F.nanvl(F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)), F.lit(0.0))
+
+
 def clean_counts(df: DataFrame, cols=S.COUNT_COLS) -> DataFrame:
-    """Absent -> 0, null -> 0, negatives -> 0, half-even to int."""
+    """Absent -> 0, null and NaN -> 0, negatives -> 0, half-even to int."""
     out = df
     for c in cols:
         if c in out.columns:
-            v = F.greatest(F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)), F.lit(0.0))
+            v = F.greatest(_number(c), F.lit(0.0))
             out = out.withColumn(c, F.rint(v).cast("int"))
         else:
             out = out.withColumn(c, F.lit(0))
@@ -30,9 +35,8 @@ def clean_counts(df: DataFrame, cols=S.COUNT_COLS) -> DataFrame:
 
 
 def clean_floats(df: DataFrame, cols=S.FLOAT_COLS) -> DataFrame:
-    """Null -> 0.0 as double (absent columns stay absent)."""
-    return df.withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
-                           for c in cols if c in df.columns})
+    """Null and NaN -> 0.0 as double (absent columns stay absent)."""
+    return df.withColumns({c: _number(c) for c in cols if c in df.columns})
 
 
 def dedupe_fullest(df: DataFrame, keys=("player_id", "season", "week")) -> DataFrame:
@@ -42,6 +46,7 @@ def dedupe_fullest(df: DataFrame, keys=("player_id", "season", "week")) -> DataF
     sort_col = "receiving_yards" if "receiving_yards" in df.columns else "receptions"
     tie = [F.col(c).desc_nulls_last() for c in ("receptions", "targets", "carries")
            if c in df.columns and c != sort_col]
+    tie += [F.col(c).desc_nulls_last() for c in sorted(df.columns)]   # any other difference decides the rest
     w = Window.partitionBy(*keys).orderBy(F.col(sort_col).desc_nulls_last(), *tie)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from fieldcast import schemas as S
 from fieldcast.functions.ranking import latest_per_key
+from fieldcast.session import cut_lineage, staging_path
 
 OVERWRITE, COALESCE, KEEP = "overwrite", "coalesce", "keep"
 
@@ -87,16 +88,27 @@ def merge_upsert(base: DataFrame, updates: DataFrame, key: Sequence[str],
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A stored table, or an empty frame of `schema` when it does not exist yet."""
-    if os.path.exists(path) and any(not n.startswith((".", "_")) for n in os.listdir(path)):
+    fs, where = _file_system(spark, path)
+    if fs.exists(where) and any(not s.getPath().getName().startswith((".", "_")) for s in fs.listStatus(where)):
         return spark.read.schema(schema).parquet(path)
     return spark.createDataFrame([], schema)
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The store that holds `path`, whatever its URI, and the path there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def upsert_table(spark: SparkSession, path: str, updates: DataFrame, key: Sequence[str],
                  partition_by: str, schema: T.StructType, policy: Mapping[str, str] | None = None,
                  staging_root: str | None = None) -> None:
-    """Upsert into the parquet table at `path`, rewriting only touched partitions."""
-    from fieldcast.session import staging_path
+    """Upsert into the parquet table at `path`, rewriting only touched partitions.
+
+    Updates that repeat a key are refused: which of them wins would be left to chance.
+    """
+    if not updates.groupBy(*key).count().where("count > 1").isEmpty():
+        raise ValueError(f"updates repeat a key of {list(key)}")
     base = read_table(spark, path, schema)
     touched = updates.select(partition_by).distinct()
     slice_ = base.join(touched, partition_by, "left_semi")     # partition pruning via DPP
@@ -105,6 +117,8 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, key: Sequen
     merged.write.mode("overwrite").parquet(staged)            # cut the read of `path`
     spark.read.schema(schema).parquet(staged).write.mode("overwrite") \
         .option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+    fs, where = _file_system(spark, staged)
+    fs.delete(where, True)
 
 
 def replace_slice(base: DataFrame, new: DataFrame, match: Mapping[str, object]) -> DataFrame:
@@ -118,10 +132,11 @@ def replace_slice(base: DataFrame, new: DataFrame, match: Mapping[str, object])
 
 def assign_ids(rows: DataFrame, order_col: str, start: Column | int, out: str = "id") -> DataFrame:
     """Dense ids start+1, start+2, ... in `order_col` order, without a
-    single-task global window: rows are range-partitioned, per-partition
-    counts (one row per partition) give each partition its offset, and ids
-    are numbered inside each partition."""
-    ranged = rows.repartitionByRange(order_col).withColumn("_pid", F.spark_partition_id())
+    single-task global window: rows are range-partitioned and stored with the
+    number of their range, per-range counts (one row per range) give each range
+    its offset, and ids are numbered inside each range. The number is data by
+    then, so both branches below mean the same ranges however they are planned."""
+    ranged = cut_lineage(rows.repartitionByRange(order_col).withColumn("_pid", F.spark_partition_id()))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
@@ -243,8 +258,9 @@ def purge_prefix(players: DataFrame, children: Mapping[str, DataFrame], prefix:
                  id_col: str = "player_id", ext_col: str = "external_id") -> dict[str, DataFrame]:
     """Drop players whose external id starts with `prefix` and every
     child row that references them (left_anti against the purged key set)."""
-    doomed = players.where(F.col(ext_col).startswith(prefix)).select(id_col)
-    out = {"players": players.where(~F.col(ext_col).startswith(prefix))}
+    gone = F.coalesce(F.col(ext_col).startswith(prefix), F.lit(False))   # no external id: not of the prefix
+    doomed = players.where(gone).select(id_col)
+    out = {"players": players.where(~gone)}
     for name, child in children.items():
         out[name] = child.join(doomed, id_col, "left_anti")
     return out
@@ -252,5 +268,5 @@ def purge_prefix(players: DataFrame, children: Mapping[str, DataFrame], prefix:
 
 def census(players: DataFrame, prefix: str, ext_col: str = "external_id") -> DataFrame:
     """(real, prefixed) player counts in one aggregate."""
-    pre = F.col(ext_col).startswith(prefix)
+    pre = F.coalesce(F.col(ext_col).startswith(prefix), F.lit(False))
     return players.agg(F.count_if(~pre).alias("real_players"), F.count_if(pre).alias("prefixed_players"))

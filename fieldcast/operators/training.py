@@ -193,9 +193,9 @@ def naive_metrics(df: DataFrame, label: str, naive_col: str, name: str) -> DataF
     return regression_metrics(df, label, naive_col).select(F.lit(name).alias("model"), "*")
 
 
-def slice_metrics(df: DataFrame, label: str, pred: str, slice_col: str, min_rows: int = 20) -> DataFrame:
-    """Metrics per slice, with the reference's refusal when a slice has
-    fewer than `min_rows` rows (metrics null, `refused` true)."""
+def slice_metrics(df: DataFrame, label: str, pred: str, slice_col: str, min_rows: int = 1) -> DataFrame:
+    """Metrics per slice; slices of fewer than `min_rows` rows are
+    refused (metrics null, `refused` true). By default every slice is reported."""
     m = regression_metrics(df, label, pred, by=[slice_col])
     ok = F.col("n_valid") >= min_rows
     return m.select(slice_col, *[F.when(ok, F.col(c)).alias(c) for c in ("rmse", "mae", "r2", "residual_std")],

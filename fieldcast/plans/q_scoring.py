@@ -208,9 +208,11 @@ def q_resolve(t):
 
 @register("m13_compare_players", doubles=("prediction",), sql=f"""
 WITH u AS (SELECT *, {sql_round(IN_HEURISTIC, 2)} AS prediction FROM ({_UPCOMING_SQL}) x),
-g AS (SELECT team, position FROM u GROUP BY team, position HAVING count(*) BETWEEN 2 AND 8)
+g AS (SELECT team, position, count(*) AS n FROM u GROUP BY team, position)
 SELECT u.team || '/' || u.position AS comparison_id, u.player_id, u.prediction,
-  CAST(row_number() OVER (PARTITION BY u.team, u.position ORDER BY u.prediction DESC, u.player_id) AS INTEGER)
+  CASE WHEN g.n < 2 THEN 'fewer than 2 players' WHEN g.n > 8 THEN 'more than 8 players' END AS refused,
+  CASE WHEN g.n BETWEEN 2 AND 8 THEN
+    CAST(row_number() OVER (PARTITION BY u.team, u.position ORDER BY u.prediction DESC, u.player_id) AS INTEGER) END
     AS position_in_comparison
 FROM u JOIN g ON g.team = u.team AND g.position = u.position""")
 def q_compare(t):

@@ -125,9 +125,7 @@ def q_naive(t):
 @register("t12_slice_metrics", doubles=("rmse", "mae", "r2", "residual_std"), sql=f"""
 WITH {_DS}, {_PREP}, m AS ({_metrics_sql('(SELECT * FROM prep WHERE is_valid)', 'actual_ppg', 'prediction',
                                          'is_rookie')})
-SELECT is_rookie, CASE WHEN n_valid >= 20 THEN rmse END AS rmse, CASE WHEN n_valid >= 20 THEN mae END AS mae,
-  CASE WHEN n_valid >= 20 THEN r2 END AS r2, CASE WHEN n_valid >= 20 THEN residual_std END AS residual_std,
-  n_valid, n_valid < 20 AS refused FROM m""")
+SELECT is_rookie, rmse, mae, r2, residual_std, n_valid, n_valid < 1 AS refused FROM m""")
 def q_slices(t):
     return T.slice_metrics(prepared(t).where("is_valid"), "actual_ppg", "prediction", "is_rookie")
 

@@ -45,8 +45,7 @@ player_stats AS (
           CAST(sum(l_quantity) AS DOUBLE) AS yards,
           CAST(count(*) FILTER (WHERE l_returnflag = 'R' AND l_quantity >= 45) AS INTEGER) AS touchdowns
         FROM lines GROUP BY player_id, season, week) x
-  JOIN players p ON p.player_id = x.player_id
-  WHERE x.season >= p.rookie_season AND (x.week * 7 + x.player_id * 3) % 17 >= (x.player_id + x.season) % 12),
+  JOIN players p ON p.player_id = x.player_id),
 predictions AS (
   SELECT o_orderkey AS id, o_custkey % (SELECT count(*) FROM supplier) AS player_id, CAST(2002 AS INTEGER) AS season,
     CAST(o_orderkey % 3 AS INTEGER) AS week, o_totalprice / 20000.0 AS prediction,

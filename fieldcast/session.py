@@ -44,13 +44,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage and is used as
-    is. Only when it is unset (local tests) do we pick a private folder; the
-    core setting cannot be changed at runtime, so that folder is given to the
-    SparkContext and remembered here.
+    is. Only when it is unset and the master is local (tests) do we pick a
+    private folder; the core setting cannot be changed at runtime, so that
+    folder is given to the SparkContext and remembered here. On a cluster a
+    private folder would not be seen by other machines, so it is refused.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_CKPT.get(sc.applicationId)
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="fieldcast-ckpt-")
         _LOCAL_CKPT[sc.applicationId] = path
     if not sc._jsc.sc().getCheckpointDir().isDefined():

@@ -183,12 +183,8 @@ def player_stats_view(lineitem: DataFrame, players: DataFrame) -> DataFrame:
         F.count_if((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 45))
         .cast("int").alias("touchdowns"),
     )
-    p = players.select("player_id", "team", "rookie_season")
-    g = games.join(p, "player_id").where(
-        (F.col("season") >= F.col("rookie_season"))
-        & ((F.col("week") * 7 + F.col("player_id") * 3) % 17
-           >= (F.col("player_id") + F.col("season")) % 12)
-    )
+    p = players.select("player_id", "team")
+    g = games.join(p, "player_id")
     ti = F.substring("team", 2, 1).cast("int")
     shifted = (ti + F.col("week") * 3) % TEAM_COUNT
     opponent = F.when(shifted == ti, F.concat(F.lit("T"), ((ti + 1) % TEAM_COUNT).cast("string"))) \

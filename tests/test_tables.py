@@ -89,3 +89,49 @@ def test_register_rookies_defaults(spark):
     assert set(out) == {"00-1", "00-9"}
     r = out["00-9"]
     assert (r["player_id"], r["position"], r["age"], r["draft_pick"], r["rookie_season"]) == (6, "RB", 22, 6, 2025)
+
+
+def test_assign_ids_wide_rows(spark):
+    df = spark.range(200_000, numPartitions=7).selectExpr("id as k", "repeat(cast(id as string), 20) as a",
+                                                          "repeat(cast(id * 7 as string), 20) as b")
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            out = W.assign_ids(df, "k", 0).selectExpr("count(*) n", "count(distinct id) d", "min(id) lo", "max(id) hi").first()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert tuple(out) == (200_000, 200_000, 1, 200_000)
+
+
+def test_upsert_table_by_uri_and_repeated_keys(spark):
+    import pytest
+
+    path = "file:" + os.path.join(tempfile.mkdtemp(prefix="fc-test-"), "stats")
+    r = lambda p, s, w, pts: (p, s, w, "NE", True, 1, 0, 1, 10.0, 0, pts)
+    key = ("player_id", "season", "week")
+    W.upsert_table(spark, path, _stats_rows(spark, [r(1, 2024, 1, 5.0), r(2, 2024, 1, 6.0)]), key, "season", STATS_SCHEMA)
+    W.upsert_table(spark, path, _stats_rows(spark, [r(3, 2024, 1, 7.0)]), key, "season", STATS_SCHEMA)
+    assert spark.read.parquet(path).count() == 3
+    with pytest.raises(ValueError):
+        W.upsert_table(spark, path, _stats_rows(spark, [r(4, 2024, 1, 7.0), r(4, 2024, 1, 8.0)]), key, "season", STATS_SCHEMA)
+
+
+def test_null_external_ids_are_kept(spark):
+    players = spark.createDataFrame([(1, "DEMO-1"), (2, None), (3, "00-3")], "player_id int, external_id string")
+    out = W.purge_prefix(players, {}, "DEMO-")["players"]
+    assert sorted(x["player_id"] for x in out.collect()) == [2, 3]
+    assert tuple(W.census(players, "DEMO-").first()) == (2, 1)
+
+
+def test_rank_keeps_nulls_and_ties(spark):
+    from fieldcast.functions.ranking import rank_desc
+
+    df = spark.createDataFrame([("a", 2.0), ("a", 2.0), ("a", 1.0), ("a", None), (None, 5.0)], "p string, v double")
+    got = rank_desc(df, ["p"], "v")
+    assert sorted((x["p"] or "", x["v"] or 0, x["rank"]) for x in got.collect()) == [
+        ("", 5.0, 1), ("a", 0, 4), ("a", 1.0, 3), ("a", 2.0, 1), ("a", 2.0, 1)]
+
+
+def test_every_line_reaches_the_fact(spark, tables):
+    lines = tables.table("lineitem").join(tables.players, F.col("l_suppkey") == F.col("player_id")).count()
+    assert tables.player_stats.agg(F.sum("targets")).first()[0] == lines
