@@ -76,7 +76,8 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(packed):
         key <<= bits
-        key[:n - k] |= symbols[k:]
+        if k < n:
+            key[:n - k] |= symbols[k:]
     order = np.argsort(key, kind="stable")
     first = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
     del key
