@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from fieldcast.llm.common import col, shared
 
-PER_CLASS = 1000
+PER_CLASS = 2000
 NEIGHBOURS = 15
 MAX_TERMS = 2048
 MIN_CHI2 = 10.83  # one in a thousand by chance
