@@ -26,7 +26,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +43,11 @@ MIN_EXAMPLES = 5  # that have a term
 BLOCK = 64
 FIRST_BLOCKS = 4
 _TEXTS_AT_ONCE = 512
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"(\w{1,5})\w*")
 
 
 def terms_of(text: str | None) -> list[str]:
-    return [w[:5] for w in _WORD.findall((text or "").lower())]
+    return _WORD.findall((text or "").lower())
 
 
 def _runs(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -105,8 +104,9 @@ class Index:
 
     def _vector(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and weights of a text's terms, scaled to length one."""
-        found = np.fromiter(map(self.terms.get, terms, repeat(-1)), np.int64, len(terms))
-        number, count = np.unique(found[found >= 0], return_counts=True)
+        found = Counter(filter(self.terms.__contains__, terms))
+        pairs = sorted((self.terms[t], n) for t, n in found.items())
+        number, count = np.array(pairs, np.int64).reshape(-1, 2).T
         weight = (1 + np.log(count)) * self.idf[number]
         return number, weight / (np.sqrt((weight * weight).sum()) or 1)
 
@@ -155,8 +155,10 @@ class Index:
                 for a, z in zip(cut, cut[1:]):
                     i = t[a]
                     every = np.concatenate([cosine[i], found[a:z].ravel()])
+                    some = np.flatnonzero((every > 0) & (every >= cosine[i, -1]))
+                    if len(some) > k:  # ties with the k-th stay in
+                        some = some[every[some] >= np.partition(every[some], -k)[-k]]
                     names = np.concatenate([best[i], example[a:z].ravel()])
-                    some = np.flatnonzero(every > 0)
                     top = some[np.lexsort((names[some], -every[some]))[:k]]
                     cosine[i, :len(top)], best[i, :len(top)] = every[top], names[top]
         return best, cosine
