@@ -76,6 +76,16 @@ def test_simhash_links_dense_groups_in_small_blocks(spark):
         assert _components(len(prints), found) == want
 
 
+def test_simhash_hot_and_rare_fingerprints_meet_their_component(spark, monkeypatch):
+    texts = ["a b c d e f"] * 40 + [f"text number {i} of its own kind" for i in range(20)] + [None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: texts.index(t) if t else 60 for i, t in enumerate(texts)}
+    for hot in (1, 4, 1000):  # none, the copies alone, all
+        monkeypatch.setattr(simhash, "HOT", hot)
+        rows = simhash.near_duplicates(frame, max_bits=0).collect()
+        assert len(rows) == len(texts) and {r["doc_id"]: r["component_id"] for r in rows} == want
+
+
 def test_simhash_keeps_one_of_each_group(spark, edges):
     kept = simhash.keep_one(edges)
     assert kept.columns == edges.columns
