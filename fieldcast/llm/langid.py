@@ -7,8 +7,10 @@ row of a small matrix, which is broadcast (languages x bins floats). Batches of
 texts are scored sparsely: each n-gram looks up its bin's column and the sums
 run over each text.
 
-The counts are fitted on a bounded sample: about ``train_rows`` texts of each
-language, picked by a hash of the text. Every text is scored whole.
+The counts are fitted on a bounded sample: about ``train_rows`` distinct texts
+of each language at most, picked by a hash of the text; copies of a text teach
+once, so a large group of them cannot swell the sample. Every text is scored
+whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if there is nothing to learn from. Rows with a null language
@@ -118,7 +120,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tra
         return Model({}, {})
     steps = 1 << 30
     share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(steps, steps * train_rows // v))])
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(steps)) < share[F.col("lang")])
+    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(steps)) < share[F.col("lang")]).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, sums = _letter_table(), {}
