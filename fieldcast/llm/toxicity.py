@@ -211,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, per
     picked = marks.where(part < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
     texts = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
     # About 2 * per_class rows, whatever the tables: small enough to broadcast, and to collect with their texts.
-    found = texts.where("text is not null").join(F.broadcast(picked), "doc_id").collect()
+    found = texts.where("text is not null").join(F.broadcast(picked), "doc_id").distinct().collect()
     unique = {(r["doc_id"], r["text"]): r["y"] for r in found}
     return Index([(i, t, unique[i, t]) for i, t in sorted(unique)], totals)
 
