@@ -144,26 +144,13 @@ def finalise_training(frame: DataFrame, positions=S.FLEX_POSITIONS,
     return frame.select(*cols).where(F.col("fantasy_points").isNotNull())
 
 
-def _request_history(requests: DataFrame, stats: DataFrame, key: list[str]) -> DataFrame:
-    """Requests x the same player's games of that season strictly before the week.
-
-    Equi-join on (player_id, season) first; the `<` is a post-filter, so the
-    fan-out is bounded by the weeks in one season.
-    """
-    s = stats.select("player_id", "season", F.col("week").alias("g_week"), *FORM_STATS)
-    return requests.select(*key, "player_id", "season", "week") \
-        .join(s, ["player_id", "season"]).where(F.col("g_week") < F.col("week"))
-
-
-def opponent_rank_lookup(requests: DataFrame, stats: DataFrame,
-                         key=("player_id", "season", "week")) -> DataFrame:
-    """1-based position of the request's opponent by avg points allowed
-    before the request week (list order; ties by opponent); missing/UNK -> 16.
+def _with_opponent_rank(requests: DataFrame, stats: DataFrame) -> DataFrame:
+    """Requests with the 1-based rank of their opponent by average points allowed
+    before the week; one row out for each row in.
 
     Stats are pre-aggregated to (season, week, opponent) sums before meeting
     the distinct request periods, so the inequality join runs on a tiny table.
     """
-    key = list(key)
     weekly = stats.groupBy("season", "week", "opponent").agg(
         F.sum("fantasy_points").alias("pts"), F.count(F.lit(1)).alias("n"))
     periods = requests.select("season", F.col("week").alias("req_week")).distinct()
@@ -171,38 +158,61 @@ def opponent_rank_lookup(requests: DataFrame, stats: DataFrame,
         .groupBy("season", "req_week", "opponent") \
         .agg(round_half_even(F.sum("pts") / F.sum("n"), 9).alias("pts_allowed"))
     w = Window.partitionBy("season", "req_week").orderBy(F.col("pts_allowed").desc(), "opponent")
-    ranks = allowed.select("season", "req_week", "opponent", F.row_number().over(w).alias("rk"))
-    r = requests.select(*[F.col(k).alias(f"k_{k}") for k in key],
-                        F.col("season").alias("r_season"), F.col("week").alias("r_week"),
-                        F.upper(F.col("opponent")).alias("opp_u"))
-    out = r.join(ranks, (F.col("r_season") == ranks["season"])
-                 & (F.col("r_week") == ranks["req_week"])
-                 & (F.col("opp_u") == ranks["opponent"]), "left")
-    rank = F.when(F.col("opp_u").isNull() | (F.col("opp_u") == "UNK"), F.lit(16)) \
-        .otherwise(F.coalesce(F.col("rk"), F.lit(16)))
-    return out.select(*[F.col(f"k_{k}").alias(k) for k in key],
-                      rank.cast("int").alias("opponent_rank"))
+    ranks = allowed.select(F.col("season").alias("_s"), F.col("req_week").alias("_w"), F.col("opponent").alias("_o"),
+                           F.row_number().over(w).alias("_rk"))
+    opp = F.upper(requests["opponent"])
+    out = requests.join(ranks, (requests["season"] == F.col("_s")) & (requests["week"] == F.col("_w"))
+                        & (opp == F.col("_o")), "left")
+    rank = F.when(opp.isNull() | (opp == "UNK"), F.lit(16)).otherwise(F.coalesce(F.col("_rk"), F.lit(16)))
+    return out.withColumn("opponent_rank", rank.cast("int")).drop("_s", "_w", "_o", "_rk")
+
+
+def opponent_rank_lookup(requests: DataFrame, stats: DataFrame,
+                         key=("player_id", "season", "week")) -> DataFrame:
+    """1-based position of the request's opponent by avg points allowed
+    before the request week (list order; ties by opponent); missing/UNK -> 16.
+
+    Every request keeps its row, also those that repeat a key.
+    """
+    return _with_opponent_rank(requests, stats).select(*key, "opponent_rank")
+
+
+def _form_as_of(asked: DataFrame, stats: DataFrame) -> DataFrame:
+    """Form of each distinct (player_id, season, week) from that season's strictly earlier games.
+
+    Games and asked weeks lie in one partitioning on (player_id, season): each
+    game has the form up to and with it, and an asked week takes that of the
+    last game before it. No join, so no fan-out by the games of a season.
+    """
+    asked = asked.select("player_id", "season", "week").distinct()
+    games = stats.select("player_id", "season", "week", F.lit(1).alias("_game"), *FORM_STATS)
+    both = games.unionByName(asked.withColumn("_game", F.lit(0)), allowMissingColumns=True) \
+        .repartition("player_id", "season")
+    own = Window.partitionBy("player_id", "season", "_game").orderBy("week")
+    last3, to_date = own.rowsBetween(-2, 0), own.rowsBetween(Window.unboundedPreceding, 0)
+    form = F.struct(*[F.avg(c).over(last3).alias(f"{c}_last_3") for c in FORM_STATS],
+                    F.col("fantasy_points").alias("fantasy_points_last_1"),
+                    F.avg("fantasy_points").over(to_date).alias("season_avg_points"),
+                    F.count(F.lit(1)).over(to_date).alias("games_played"))
+    # An asked week sorts before a game of that week.
+    before = Window.partitionBy("player_id", "season").orderBy("week", "_game").rowsBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("_form", form) \
+        .withColumn("_form", F.last(F.when(F.col("_game") == 1, F.col("_form")), ignorenulls=True).over(before))
+    return seen.where("_game = 0").select("player_id", "season", "week", "_form.*")
 
 
 def point_in_time_features(requests: DataFrame, stats: DataFrame,
                            key=("player_id", "season", "week")) -> DataFrame:
     """F8: fs1 vector per request as of (season, week): strictly earlier games.
 
-    Cold start (no earlier game) gives zeros. Means rounded to 3 dp.
+    Cold start (no earlier game) gives zeros. Means rounded to 3 dp. Requests
+    may repeat: each keeps its row, with its own opponent's rank.
     """
     key = list(key)
-    hist = _request_history(requests, stats, key)
-    w = Window.partitionBy(*key).orderBy(F.col("g_week").desc())
-    ranked = hist.withColumn("rn", F.row_number().over(w))
-    recent = F.col("rn") <= 3
-    agg = ranked.groupBy(*key).agg(
-        *[F.avg(F.when(recent, F.col(c))).alias(f"{c}_last_3") for c in FORM_STATS],
-        F.max(F.when(F.col("rn") == 1, F.col("fantasy_points"))).alias("fantasy_points_last_1"),
-        F.avg("fantasy_points").alias("season_avg_points"),
-        F.count(F.lit(1)).alias("games_played"),
-    )
-    base = requests.select(*key, F.col("is_home").cast("int").alias("is_home"))
-    out = base.join(agg, key, "left").join(opponent_rank_lookup(requests, stats, key), key, "left")
+    asked = ["player_id", "season", "week"]
+    base = _with_opponent_rank(requests, stats).select(
+        *dict.fromkeys(key + asked), F.col("is_home").cast("int").alias("is_home"), "opponent_rank")
+    out = base.join(_form_as_of(requests, stats), asked, "left")
     three = [f"{c}_last_3" for c in FORM_STATS] + ["fantasy_points_last_1", "season_avg_points"]
     return out.select(
         *key,

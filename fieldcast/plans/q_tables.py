@@ -93,7 +93,8 @@ def q_append_predictions(t):
 
 # ------------------------------------------------------------------ W4
 @register("w4_replace_season_projection", doubles=("prediction",), sql=f"""
-WITH ctx AS (SELECT * FROM ({CONTEXT_SQL}) c WHERE season = {BOARD_SEASON}),
+WITH ctx AS (SELECT * FROM ({CONTEXT_SQL}) c WHERE season = {BOARD_SEASON}
+  AND player_id IN (SELECT player_id FROM players WHERE position IN ('WR', 'RB', 'TE'))),
 vec AS ({_vec_sql('ctx')}),
 board AS (SELECT player_id, {sql_round(sql_round(PRE_HEURISTIC, 3), 2)} AS prediction FROM vec),
 mx AS (SELECT max(id) AS m FROM predictions)
@@ -105,7 +106,9 @@ SELECT CAST((SELECT m FROM mx) + row_number() OVER (ORDER BY player_id) AS BIGIN
   '{BOARD_VERSION}' AS model_version, CAST('{BATCH_TS}' AS TIMESTAMP) AS created_at
 FROM board""")
 def q_replace_projection(t):
-    ctx = context_table(t).where(F.col("season") == BOARD_SEASON)
+    # Passing earns no points here, so quarterbacks are not projected.
+    projected = t.players.where(F.col("position").isin(*S.FLEX_POSITIONS)).select("player_id")
+    ctx = context_table(t).where(F.col("season") == BOARD_SEASON).join(projected, "player_id", "left_semi")
     scored = M.score_preseason(M.preseason_vector(ctx)).select("player_id", "prediction")
     base = t.predictions
     start = base.select(F.max("id")).scalar()

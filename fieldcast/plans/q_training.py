@@ -61,7 +61,12 @@ def prepared(t):
 
 
 def in_season_frame(t):
-    return T.time_split(ins.training_windows(t.player_stats, t.players))
+    """The rolling windows of the positions that are projected (as F7), split by week."""
+    windows = ins.training_windows(t.player_stats, t.players)
+    return T.time_split(windows.where(F.upper("position").isin(*S.FLEX_POSITIONS)))
+
+
+_IN_SEASON_SQL = f"SELECT * FROM ({_WINDOWS_SQL}) f WHERE upper(position) IN ('WR', 'RB', 'TE')"
 
 
 def ridge(t, directions=None):
@@ -85,8 +90,8 @@ def q_prepare(t):
 
 
 @register("t3_time_split", sql=f"""
-SELECT player_id, season, week, week > (SELECT max(week) FROM ({_WINDOWS_SQL}) m) - 4 AS is_valid
-FROM ({_WINDOWS_SQL}) w""")
+SELECT player_id, season, week, week > (SELECT max(week) FROM ({_IN_SEASON_SQL}) m) - 4 AS is_valid
+FROM ({_IN_SEASON_SQL}) w""")
 def q_time_split(t):
     return in_season_frame(t).select("player_id", "season", "week", "is_valid")
 
@@ -112,7 +117,7 @@ SELECT 'naive_carry_forward' AS model, * FROM (
   {_metrics_sql('(SELECT * FROM prep WHERE is_valid)', 'actual_ppg', 'prior_points_per_game')}) a
 UNION ALL
 SELECT 'naive_last3_avg' AS model, * FROM (
-  {_metrics_sql(f"(SELECT * FROM ({_WINDOWS_SQL}) w WHERE week > (SELECT max(week) FROM ({_WINDOWS_SQL}) m) - 4)",
+  {_metrics_sql(f"(SELECT * FROM ({_IN_SEASON_SQL}) w WHERE week > (SELECT max(week) FROM ({_IN_SEASON_SQL}) m) - 4)",
                 'target', 'fantasy_points_last_3')}) b""")
 def q_naive(t):
     pre = T.naive_metrics(prepared(t).where("is_valid"), "actual_ppg", "prior_points_per_game",

@@ -36,3 +36,27 @@ def test_training_windows_exclude_current_week(spark):
     w = ins.training_windows(_stats(spark), players).where((F.col("player_id") == 1) & (F.col("week") == 4)).first()
     assert w["fantasy_points_last_3"] == 20.0 and w["fantasy_points_last_1"] == 30.0 and w["games_played"] == 3
     assert w["target"] == 40.0
+
+
+def test_repeated_requests_keep_their_rows(spark):
+    req = spark.createDataFrame([(1, 2024, 5, "NE", True), (1, 2024, 5, "KC", False), (1, 2024, 5, "NE", True),
+                                 (1, 2024, 3, None, True)],
+                                "player_id int, season int, week int, opponent string, is_home boolean")
+    out = ins.point_in_time_features(req, _stats(spark)).collect()
+    week5 = [r for r in out if r["week"] == 5]
+    assert len(out) == 4 and len(week5) == 3
+    assert {(r["games_played"], r["fantasy_points_last_3"], r["season_avg_points"]) for r in week5} == {(4, 30.0, 25.0)}
+    assert sorted((r["opponent_rank"], r["is_home"]) for r in week5) == [(1, 1), (1, 1), (2, 0)]
+    early = next(r for r in out if r["week"] == 3)
+    assert early["games_played"] == 2 and early["opponent_rank"] == 16
+    assert ins.opponent_rank_lookup(req, _stats(spark)).count() == 4
+
+
+def test_asked_week_without_a_game(spark):
+    stats = _stats(spark).where("week <> 3")
+    req = spark.createDataFrame([(1, 2024, w, "NE", True) for w in (1, 3, 4, 9)],
+                                "player_id int, season int, week int, opponent string, is_home boolean")
+    out = {r["week"]: r for r in ins.point_in_time_features(req, stats).collect()}
+    assert [out[w]["games_played"] for w in (1, 3, 4, 9)] == [0, 2, 2, 3]
+    assert [out[w]["fantasy_points_last_1"] for w in (1, 3, 4, 9)] == [0.0, 20.0, 20.0, 40.0]
+    assert out[9]["fantasy_points_last_3"] == 23.333

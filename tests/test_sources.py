@@ -49,3 +49,23 @@ def test_project_known_reports_absent(spark):
     df = spark.createDataFrame([(1, 2)], "season int, week int")
     out, absent = R.project_known(df, ["season", "week", "targets"])
     assert out.columns == ["season", "week"] and absent == ["targets"]
+
+
+def test_first_present_alias_is_taken(spark):
+    df = spark.createDataFrame([("x", "y", 1)], "full_name string, player_name string, extra int")
+    out = R.apply_aliases(df, {"name": ["player_name", "full_name"], "absent": ["nowhere"]})
+    assert out.columns == ["full_name", "name", "extra"] and out.first()["name"] == "y"
+
+
+def test_bios_one_row_per_id_whatever_the_order(spark):
+    rows = [("00-1", None, "Al", "KC"), ("00-1", 2, "Bo", "NE"), ("00-1", 2, "Al", "NE"), (None, 1, "No", "KC"),
+            (None, 3, "No", "KC")]
+    schema = "gsis_id string, draft_round int, full_name string, team_abbr string"
+    for some in (rows, rows[::-1]):
+        out = R.read_bios(spark.createDataFrame(some, schema), full=True)
+        assert [tuple(r) for r in out.collect()] == [("00-1", 2, "Al", "NE")]
+        assert out.columns == ["external_id", "draft_round", "name", "team"]
+
+
+def test_bios_without_ids_are_empty(spark):
+    assert R.read_bios(spark.createDataFrame([("x",)], "name string")).count() == 0
