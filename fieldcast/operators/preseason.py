@@ -330,16 +330,16 @@ def max_of_others(df: DataFrame, group: list[str], value: str, out: str) -> Data
     """Largest `value` among the *other* rows of each group (0 when alone).
 
     Exact and skew-proof: two map-side-combined aggregates per group (the
-    maximum with its multiplicity, then the runner-up) joined back by
-    broadcast, instead of a window over a whole (possibly huge) group or a
+    maximum with its multiplicity, then the runner-up) joined back, by broadcast
+    where the groups prove few at run time, instead of a window over a whole (possibly huge) group or a
     self-join emitting all pairs.
     """
     g1 = df.groupBy(*group).agg(F.max(value).alias("_m1"))
-    j = df.join(F.broadcast(g1), group)
+    j = df.join(g1, group)
     g2 = j.groupBy(*group).agg(
         F.count_if(F.col(value) == F.col("_m1")).alias("_n1"),
         F.max(F.when(F.col(value) < F.col("_m1"), F.col(value))).alias("_m2"))
-    k = j.join(F.broadcast(g2), group)
+    k = j.join(g2, group)
     other = F.when(F.col(value) < F.col("_m1"), F.col("_m1")) \
         .when(F.col("_n1") >= 2, F.col("_m1")).otherwise(F.coalesce(F.col("_m2"), F.lit(0.0)))
     return k.withColumn(out, other).drop("_m1", "_n1", "_m2")

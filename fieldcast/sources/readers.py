@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,12 @@ from fieldcast import schemas as S
 from fieldcast.functions.columns import clip, round_half_even
 
 
+log = logging.getLogger(__name__)
+#: What Spark calls a source that is not there or has no columns.
+ABSENT_CONDITIONS = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA",
+                     "UNRESOLVED_COLUMN.WITH_SUGGESTION", "UNRESOLVED_COLUMN.WITHOUT_SUGGESTION")
+
+
 class SchemaMismatch(KeyError):
     """A feed arrived but lacks required columns (not a transport problem)."""
 
@@ -219,16 +227,22 @@ def depth_rank(depth: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- S12 / S13
 def optional_feed(load: Callable[[], DataFrame], schema: T.StructType,
                   spark: SparkSession) -> DataFrame:
-    """A missing or malformed optional feed degrades to an empty frame
-    of the declared schema, so downstream left joins yield nulls/defaults."""
+    """An absent feed, or one without the schema's columns, degrades to an empty
+    frame of the declared schema, so downstream left joins yield nulls/defaults.
+
+    Each such case is logged. Any other failure (denied access, corrupt files) is raised.
+    """
     try:
-        df = load()
-        missing = [f.name for f in schema.fields if f.name not in df.columns]
-        if missing:
-            return empty_frame(spark, schema)
-        return df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-    except Exception:  # noqa: BLE001 - optional by contract
-        return empty_frame(spark, schema)
+        return require_columns(load(), schema.fieldNames()).select(
+            *[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    except (FileNotFoundError, SchemaMismatch) as e:
+        reason = e
+    except AnalysisException as e:
+        if e.getCondition() not in ABSENT_CONDITIONS:
+            raise
+        reason = e
+    log.warning("optional feed left out: %s", reason)
+    return empty_frame(spark, schema)
 
 
 def sql_params(spark: SparkSession, sql: str, args: Mapping[str, object], **frames: DataFrame) -> DataFrame:

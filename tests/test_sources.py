@@ -1,6 +1,7 @@
 """Alias reconciliation, schema checks, derived age, optional feeds."""
 
 import pytest
+from pyspark.sql import types as T
 
 from fieldcast import schemas as S
 from fieldcast.sources import readers as R
@@ -69,3 +70,36 @@ def test_bios_one_row_per_id_whatever_the_order(spark):
 
 def test_bios_without_ids_are_empty(spark):
     assert R.read_bios(spark.createDataFrame([("x",)], "name string")).count() == 0
+
+
+def test_optional_feed_degrades_only_when_absent(spark, tmp_path):
+    schema = T.StructType([T.StructField("external_id", T.StringType()), T.StructField("r", T.IntegerType())])
+
+    def absent():
+        return spark.read.parquet(str(tmp_path / "nowhere"))
+
+    def denied():
+        raise PermissionError("no access")
+
+    assert R.optional_feed(absent, schema, spark).count() == 0
+    assert R.optional_feed(lambda: spark.createDataFrame([(1,)], "other int"), schema, spark).schema == schema
+    assert R.optional_feed(lambda: spark.createDataFrame([("a", 2)], schema), schema, spark).first()["r"] == 2
+    with pytest.raises(PermissionError):
+        R.optional_feed(denied, schema, spark)
+
+
+def test_incomplete_seasons_are_named(spark):
+    seasons = spark.createDataFrame([(2001,), (2002,), (2003,)], "season int")
+    status = R.source_status(seasons, seasons.where("season <> 2002"))
+    with pytest.raises(R.MissingSeasonData, match="2002"):
+        R.assert_complete(status)
+    R.assert_complete(R.source_status(seasons, seasons))
+
+
+def test_read_seasons_reconciles_files(spark, tmp_path):
+    spark.createDataFrame([("a", 3)], "gsis_id string, rec int").write.parquet(str(tmp_path / "2001"))
+    spark.createDataFrame([("b", 4, 9.0)], "player_id string, receptions int, yards double") \
+        .write.parquet(str(tmp_path / "2002"))
+    paths = {y: str(tmp_path / str(y)) for y in (2001, 2002)}
+    out = R.read_seasons(spark, paths, S.WEEKLY_ALIASES, required=["player_id", "receptions"])
+    assert {(r["player_id"], r["receptions"], r["yards"]) for r in out.collect()} == {("a", 3, None), ("b", 4, 9.0)}
