@@ -15,6 +15,14 @@ so one number in two notations stays linked.
 Defined results: a null text stays null, a text without values stays as it is,
 whatever its length. Repeated rows get equal results. A value does not reach
 over a line's end. Other columns of the input are passed through untouched.
+
+At each place every kind is tried, and within a kind every end that its pattern
+allows, longest first, until one passes its check. Readings in a usual form
+(card groupings, an IBAN's length by its country, a numbering plan) are settled
+first in the whole line, other readings then in what is left between them.
+Values whose pseudonyms would be read in another way beside their neighbours are
+permuted on until they are not, so that undoing finds the same places; a value
+that has to go on gets another pseudonym there than elsewhere.
 """
 
 from __future__ import annotations
@@ -38,19 +46,37 @@ DEFAULT_KEY = "set spark.fieldcast.pii.key to a secret of your own"
 KINDS = ("email", "secret", "iban", "card", "ssn", "phone", "ipv4", "date")
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # up to 2099-12-31
 
-_VALUE = re.compile(r"""
-  (?P<email> (?<![A-Za-z0-9._%+-]) [A-Za-z0-9._%+-]+ @ [A-Za-z0-9-]+ (?:\.[A-Za-z0-9-]+)+ )
-| (?P<secret> \b(?:AKIA|ASIA)[0-9A-Z]{16}\b
-    | (?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key))\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_=.-]{8,} )
-| (?P<iban> \b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}\b )
-| (?P<card> (?<![0-9.]) [0-9](?:[ -]?[0-9]){12,18} (?![0-9]) )
-| (?P<ssn> (?<![0-9-]) [0-9]{3}-[0-9]{2}-[0-9]{4} (?![0-9-]) )
-| (?P<date> (?<![0-9./-]) (?: [0-9]{4}(?P<s>[-/.])[0-9]{1,2}(?P=s)[0-9]{1,2} | [0-9]{1,2}(?P<t>[-/.])[0-9]{1,2}(?P=t)[0-9]{4} )
-    (?![0-9]|[./-][0-9]) )
-| (?P<ipv4> (?<![0-9.]) [0-9]{1,3}(?:\.[0-9]{1,3}){3} (?![0-9]|\.[0-9]) )
-| (?P<phone> (?<![0-9.+-]) (?: \+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}
-    | (?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4} ) (?![0-9]) )
-""", re.X)
+_PATTERNS = {
+    "email": r"(?<![A-Za-z0-9._%+-]) [A-Za-z0-9._%+-]+ @ [A-Za-z0-9-]+ (?:\.[A-Za-z0-9-]+)+",
+    "secret": r"""\b(?:AKIA|ASIA)[0-9A-Z]{16}\b
+    | (?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key))\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_=.-]{8,}""",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}\b",
+    "card": r"(?<![0-9.]) [0-9](?:[ -]?[0-9]){12,18} (?![0-9])",
+    "ssn": r"(?<![0-9-]) [0-9]{3}-[0-9]{2}-[0-9]{4} (?![0-9-])",
+    "date": r"""(?<![0-9./-]) (?: [0-9]{4}(?P<s>[-/.])[0-9]{1,2}(?P=s)[0-9]{1,2} | [0-9]{1,2}(?P<t>[-/.])[0-9]{1,2}(?P=t)[0-9]{4} )
+    (?![0-9]|[./-][0-9])""",
+    "ipv4": r"(?<![0-9.]) [0-9]{1,3}(?:\.[0-9]{1,3}){3} (?![0-9]|\.[0-9])",
+    "phone": r"""(?<![0-9.+-]) (?: \+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}
+    | (?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4} ) (?![0-9])""",
+}
+_KIND = {k: re.compile(p, re.X) for k, p in _PATTERNS.items()}
+_VALUE = re.compile("|".join(f"(?P<{k}> {p} )" for k, p in _PATTERNS.items()), re.X)
+# Kinds that can end at several places: what they are made of, and their pattern without what stands around it.
+_RUN = {"iban": re.compile(r"[A-Z0-9 ]{1,80}"), "card": re.compile(r"[0-9 -]{1,80}"), "phone": re.compile(r"[0-9 .()+-]{1,80}")}
+_FORM = {k: re.compile(re.sub(r"^(?:\\b|\(\?<![^)]*\))|(?:\\b|\(\?![^)]*\))$", "", _PATTERNS[k]), re.X) for k in _RUN}
+_LOOSE = re.compile("|".join(_PATTERNS[k] for k in _RUN), re.X)
+_GROUPED = re.compile(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?"
+                      r"|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}|[0-9]{4}([ -])[0-9]{3}\3[0-9]{3}\3[0-9]{3}")
+# Lengths by the IBAN registry; digits, country code included, where a numbering plan has one length.
+_IBAN_LENGTH = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
+_PLAN = {"1": 11, "7": 11, "27": 11, "30": 12, "31": 11, "33": 11, "34": 11, "41": 11, "44": 12, "45": 10, "47": 10,
+         "48": 11, "61": 11, "65": 10, "91": 12}
+_CUT = re.compile(r"[a-z,;] (?!\s{0,2}[=:])")  # no value reaches over it
+_WALK = 1000
 _DIGIT_OR_AT = re.compile(r"[0-9@]")
 _NAMES = ("password", "passwd", "pwd", "token", "secret", "api")
 
@@ -219,6 +245,85 @@ def _replaced(kind: str, value: str, key: bytes, back: bool) -> str | None:
     return _RULES[kind](value, key, back)
 
 
+def _ends(kind: str, line: str, start: int, stop: int, usual: bool) -> Iterator[int]:
+    """Where a value of a kind that starts at ``start`` can end: by its ``usual`` forms, or by the others."""
+    found = _KIND[kind].match(line, start, stop)
+    if not found:
+        return
+    if kind not in _RUN:
+        if usual:
+            yield found.end()
+        return
+    run, more = _RUN[kind].match(line, start, stop)[0], re.compile(r"\w" if kind == "iban" else "[0-9]")
+    ends = [e for e in range(start + len(run), start, -1)
+            if line[e - 1] not in " .()+-" and not more.match(line, e, stop) and _FORM[kind].fullmatch(line, start, e)]
+    for k, e in enumerate(ends):
+        v = line[start:e]
+        if kind == "iban":
+            known = _IBAN_LENGTH.get(v[:2])
+            mine, other = len(v.replace(" ", "")) == known, known is None or k == 0
+        elif kind == "card":
+            token = "-" in v and " " not in v and not re.match("-[0-9]", line[e:e + 2]) and line[max(0, start - 1):start] != "-"
+            mine, other = bool(_GROUPED.fullmatch(v)) or token, True
+        else:
+            digits = _digits(v)
+            plan = _PLAN.get(digits[:1]) or _PLAN.get(digits[:2])
+            mine, other = v[0] != "+" or len(digits) == plan, True
+        if mine if usual else other and not mine:
+            yield e
+
+
+def _read(line: str, start: int, stop: int, usual: bool, key: bytes, back: bool) -> list[tuple[int, int, str]]:
+    """The values between two places: (start, end, kind) of each."""
+    found = []
+    pattern, kinds = (_VALUE, _KIND) if usual else (_LOOSE, _RUN)
+    while m := pattern.search(line, start, stop):
+        at = m.start()
+        start = at + 1
+        for kind, end in ((k, e) for k in kinds for e in _ends(k, line, at, stop, usual)):
+            if _replaced(kind, line[at:end], key, back) is not None:
+                found.append((at, end, kind))
+                start = end
+                break
+    return found
+
+
+def _values(line: str, key: bytes, back: bool) -> list[tuple[int, int, str]]:
+    found = _read(line, 0, len(line), True, key, back)
+    gaps = zip([0, *(e for _, e, _ in found)], [*(s for s, *_ in found), len(line)])
+    return sorted([*found, *(v for a, z in gaps for v in _read(line, a, z, False, key, back))])
+
+
+def _put(line: str, values: list[tuple[int, int, str]], key: bytes, back: bool) -> tuple[str, list[tuple[int, int, str]]]:
+    """The line with pseudonyms, and where they are."""
+    out, there, at, size = [], [], 0, 0
+    for start, end, kind in values:
+        new = _replaced(kind, line[start:end], key, back)
+        size += start - at
+        out += [line[at:start], new]
+        there.append((size, size + len(new), kind))
+        at, size = end, size + len(new)
+    return "".join([*out, line[at:]]), there
+
+
+def _line(line: str, key: bytes, back: bool) -> tuple[str, list[str]]:
+    """The line with pseudonyms that are read at the same places, and the kinds of its values."""
+    values = _values(line, key, back)
+    if not values:
+        return line, []
+    kinds = [k for *_, k in values]
+    first, there = out, _ = _put(line, values, key, back)
+    if _values(out, key, back) == there:
+        return out, kinds
+    if cuts := [m.end() for m in _CUT.finditer(line)]:  # go on only where they are read in another way
+        return "".join(_line(line[a:z], key, back)[0] for a, z in zip([0, *cuts], [*cuts, len(line)])), kinds
+    for _ in range(_WALK):
+        out, there = _put(out, there, key, back)
+        if _values(out, key, back) == there:
+            return out, kinds
+    return first, kinds
+
+
 def pseudonymise(text: str | None, key: bytes, back: bool = False) -> tuple[str | None, dict[str, int]]:
     """The text with pseudonyms (``back``: with the values again), and the replaced values by kind."""
     if not text or not _may_hold(text):
@@ -228,16 +333,9 @@ def pseudonymise(text: str | None, key: bytes, back: bool = False) -> tuple[str
     for n, line in enumerate(lines):
         if not _may_hold(line):
             continue
-        out, at, start = [], 0, 0
-        while m := _VALUE.search(line, start):
-            new = _replaced(m.lastgroup, m[0], key, back)
-            if new is None:  # fails its check: look for another kind past its first character run
-                start = m.start() + len(re.match(r"[A-Za-z0-9]+|.", m[0])[0])
-                continue
-            out += [line[at:m.start()], new]
-            at = start = m.end()
-            counts[m.lastgroup] = counts.get(m.lastgroup, 0) + 1
-        lines[n] = "".join([*out, line[at:]])
+        lines[n], kinds = _line(line, key, back)
+        for kind in kinds:
+            counts[kind] = counts.get(kind, 0) + 1
     return "\n".join(lines), counts
 
 

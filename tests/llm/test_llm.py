@@ -190,6 +190,24 @@ def test_pseudonyms_keep_format_and_links(spark):
         assert pii.pseudonymise(plain, key) == (plain, {})
 
 
+def test_pseudonyms_of_values_that_follow_each_other():
+    key, rng = b"k" * 32, random.Random(9)
+    for _ in range(60):
+        body = "4" + "".join(rng.choices("0123456789", k=14))
+        card = body + str(pii._luhn(body))
+        grouped = " ".join(card[i:i + 4] for i in range(0, 16, 4))
+        iban = pii._iban("DE89370400440532013000", rng.randbytes(16), False)
+        ssn, date = f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}", f"1984-05-{rng.randint(10, 28)}"
+        phone, uk = f"+1 988-555-{rng.randint(1000, 9999)}", f"+44 20 7946 {rng.randint(1000, 9999)}"
+        for values, rest in (([card], "12/26"), ([grouped], str(rng.randint(100, 999))), ([date], "12345"), ([ssn, grouped], ""),
+                             ([ssn, card], ""), ([iban], "USD"), ([iban, card], "EUR"), ([phone, grouped], ""), ([uk, card], "99"),
+                             ([date, ssn, phone, grouped], "12")):
+            text = " ".join([*values, rest]).strip()
+            out, counts = pii.pseudonymise(text, key)
+            assert not any(v in out for v in values) and sum(counts.values()) == len(values), text
+            assert pii.pseudonymise(out, key, back=True)[0] == text
+
+
 def test_pseudonyms_pass_rows_through(spark, edges):
     out = pii.pseudonyms(edges, counts=False)
     assert out.columns == edges.columns and sorted(map(str, out.collect())) == sorted(map(str, edges.collect()))
