@@ -8,9 +8,11 @@ texts are scored sparsely: each n-gram looks up its bin's column and the sums
 run over each text.
 
 The counts are fitted on a bounded sample: about ``train_rows`` distinct texts
-of each language at most, picked by a hash of the text; copies of a text teach
-once, so a large group of them cannot swell the sample. Every text is scored
-whole.
+of each language at most, picked by a hash of the text at a rate that follows
+from the number of distinct texts. Copies of a text teach once, so a large group
+of them neither swells the sample nor thins it out, and a language with no more
+than ``train_rows`` distinct texts teaches with all of them. The priors are the
+shares of all rows. Every text is scored whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so is every text if there is nothing to learn from. Rows with a null language
@@ -115,11 +117,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tra
     """A model of the rows with a text and a language: of each language a sample of about ``train_rows``."""
     rows = labelled.select(col(text_col).cast("string").alias("text"), col(lang_col).cast("string").alias("lang"))
     rows = rows.where("text is not null and lang is not null")
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct(F.xxhash64("text")).alias("texts")).collect()
+    n = {r["lang"]: r["n"] for r in sizes}
     if not n:
         return Model({}, {})
     steps = 1 << 30
-    share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(steps, steps * train_rows // v))])
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(steps, steps * train_rows // r["texts"]))])
     picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(steps)) < share[F.col("lang")]).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -249,6 +249,18 @@ def test_language_edges(spark, docs, edges):
     assert langid.fit(docs.limit(0)).score(["abc"], langid._letter_table())[0] == ["und"]
 
 
+def test_language_of_copies_and_a_few_other_texts(spark):
+    rng = random.Random(12)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=5)) for _ in range(12))
+    others = [(text("abcdefg"), "aa") for _ in range(40)]
+    plain = [(text("nopqrst"), "bb") for _ in range(60)]
+    copies = spark.createDataFrame(others[:1], "text string, lang string").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(20_000))))
+    frame = spark.createDataFrame(others + plain, "text string, lang string").unionByName(copies.drop("k"))
+    model, whole = langid.fit(frame, train_rows=100), langid.fit(frame.distinct(), train_rows=1 << 20)
+    assert model.langs == whole.langs == ["aa", "bb"] and np.array_equal(model.logp, whole.logp)
+    assert model.score([t for t, _ in others + plain], langid._letter_table())[0] == ["aa"] * 40 + ["bb"] * 60
+
+
 def test_token_counts_against_library():
     from tokenizers import Tokenizer
     from tokenizers.models import Unigram
