@@ -8,7 +8,8 @@ examples, and each term has the largest weight that it takes in each block. A
 text's cosine with any example of a block is at most the block's bound, the dot
 product with those weights. Each text visits its most promising blocks, then
 every other one whose bound reaches its k-th cosine so far, so the k nearest
-are exact. Ties in cosine go to the example that comes first.
+are exact in this reduced space; by the cosine over all whole words other
+examples are near (README). Ties in cosine go to the example that comes first.
 
 The share of the neighbours' votes for toxic, weighted by cosine and by class
 against the sampling, is mapped to a probability by isotonic regression on the
