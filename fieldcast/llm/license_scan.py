@@ -1,7 +1,9 @@
 """License scans: a trained paragraph classifier, confirmed by template comparison.
 
-A paragraph (a line of a text) is a candidate if it holds the key phrase of a
-template. Its distinct words and word pairs are the features of a multinomial
+A candidate is a line that holds the key phrase of a template, and in a block of
+lines without a blank one between them each key phrase with up to 60 words on
+either side, so that wrapped notices are seen whole. A block's finding counts if
+none of its lines has the same family; then its lines' unknowns do not count. Its distinct words and word pairs are the features of a multinomial
 logistic regression over the license families and an unknown class, trained
 here on the templates, on variants of them with words left out or put in, and
 on sentences that only sound like them. A temperature fitted on variants that
@@ -66,6 +68,20 @@ TEMPLATES = [
      "documentation files"),
     ("mpl-2.0", "mozilla public license", "subject to the terms of the Mozilla Public License, version 2.0"),
     ("unlicense", "free and unencumbered", "This is free and unencumbered software released into the public domain"),
+    *((family, "gnu " + name.lower(),
+       f"redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, "
+       f"either version {version} of the License, or (at your option) any later version")
+      for family, name, version in (("agpl-3.0", "Affero General Public License", "3"), ("gpl-2.0", "General Public License", "2"),
+                                    ("gpl-3.0", "General Public License", "3"), ("lgpl-3.0", "Lesser General Public License", "3"))),
+    *((family, "spdx license identifier " + " ".join(name.lower().replace("-", " ").replace(".", " ").split()),
+       f"SPDX-License-Identifier: {name}")
+      for family, names in (("agpl-3.0", "AGPL-3.0-only AGPL-3.0-or-later"), ("apache-2.0", "Apache-2.0"),
+                            ("bsd-2-clause", "BSD-2-Clause"), ("bsd-3-clause", "BSD-3-Clause"), ("cc-by-4.0", "CC-BY-4.0"),
+                            ("cc-by-nc-4.0", "CC-BY-NC-4.0"), ("cc-by-sa-4.0", "CC-BY-SA-4.0"), ("cc0-1.0", "CC0-1.0"),
+                            ("gpl-2.0", "GPL-2.0 GPL-2.0-only GPL-2.0-or-later"), ("gpl-3.0", "GPL-3.0 GPL-3.0-only GPL-3.0-or-later"),
+                            ("lgpl-3.0", "LGPL-3.0-only LGPL-3.0-or-later"), ("mit", "MIT"), ("mpl-2.0", "MPL-2.0"),
+                            ("unlicense", "Unlicense"))
+      for name in names.split()),
 ]
 # Sentences that share words with the notices and license nothing.
 UNRELATED = [
@@ -193,15 +209,36 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pr
         return found
 
     plain = lambda p: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(p), "[^a-z0-9]+", " ")), F.lit(" "))
-    numbered = F.transform(F.split("text", "\n"), lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-    candidates = F.filter(F.filter(numbered, lambda s: any_of(F.lower(s["p"]), marks)),
-                          lambda s: any_of(plain(s["p"]), [f" {k} " for k in keys]))
-    empty = F.array().cast("array<struct<p:string,i:int>>")
+    held = lambda s: any_of(plain(s["p"]), [f" {k} " for k in keys])
+    numbered = F.transform(F.split("text", "\n"), lambda p, i: F.struct(p.alias("p"), i.alias("i"), i.alias("z")))
+    lines = F.filter(F.filter(numbered, lambda s: any_of(F.lower(s["p"]), marks)), held)
+    # A key phrase in a block of two lines or more, with the words around it.
+    parts = F.split("text", "\n[ \\t\r]*\n")
+    blocks = F.filter(F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i"))),
+                      lambda s: s["p"].contains("\n") & any_of(F.lower(s["p"]), marks) & held(s))
+    around = "((?:[a-z0-9]+ ){0,60}(?:" + "|".join(keys) + ")(?: [a-z0-9]+){0,60})"
+    breaks = lambda p: F.size(F.split(p, "\n"))
+    windows = F.flatten(F.transform(blocks, lambda s: F.transform(
+        F.regexp_extract_all(plain(s["p"]), F.lit(" " + around + " "), F.lit(1)),
+        lambda p: F.struct(p.alias("p"),
+                           F.when(s["i"] > 0, breaks(F.concat_ws("\n\n", F.slice(parts, 1, s["i"]))) + 1).otherwise(0).alias("i"),
+                           breaks(s["p"]).alias("z")))))
+    windows = F.transform(windows, lambda s: F.struct(s["p"].alias("p"), s["i"].alias("i"), (s["i"] + s["z"] - 1).alias("z")))
+    empty = F.array().cast("array<struct<p:string,i:int,z:int>>")
     may = F.coalesce(any_of(F.lower(F.col("text")), marks), F.lit(False))
-    found = src.select("doc_id", F.when(may, candidates).otherwise(empty).alias("c"))
+    found = src.select("doc_id", F.when(may, F.transform(F.sequence(F.lit(0), F.lit(1)), lambda k: F.when(k == 0, lines).otherwise(windows)))
+                       .otherwise(F.array(empty, empty)).alias("c"))
     # A row for each candidate, or one for none; put together again inside the row by transform.
-    told = F.transform("c", lambda s: _paragraph(s["p"], s["i"], min_probability, min_share))
-    out = found.select("doc_id", told.alias("findings"))
+    told = F.transform("c", lambda c: F.transform(c, lambda s: F.struct(
+        s["z"].alias("z"), _paragraph(s["p"], s["i"], min_probability, min_share).alias("f"))))
+    judged = found.select("doc_id", told.alias("told"))
+    of_lines, of_blocks = F.col("told")[0], F.col("told")[1]
+    inside = lambda b, x: (b["f"]["paragraph"] <= x["f"]["paragraph"]) & (x["f"]["paragraph"] <= b["z"])
+    more = F.filter(of_blocks, lambda b: (b["f"]["family"] != UNKNOWN) & ~F.exists(
+        of_lines, lambda x: inside(b, x) & (x["f"]["family"] == b["f"]["family"])))
+    judged = judged.select("doc_id", of_lines.alias("of_lines"), more.alias("more"))
+    left = F.filter("of_lines", lambda x: (x["f"]["family"] != UNKNOWN) | ~F.exists("more", lambda b: inside(b, x)))
+    out = judged.select("doc_id", F.transform(F.concat(left, F.col("more")), lambda x: x["f"]).alias("findings"))
     named = F.filter("findings", lambda f: f["family"] != UNKNOWN)
     return out.select(
         "doc_id", F.concat_ws(",", F.array_sort(F.array_distinct(F.transform(named, lambda f: f["family"])))).alias("licenses"),

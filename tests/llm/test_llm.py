@@ -124,6 +124,25 @@ def test_license_families(spark):
     assert got[0]["findings"][0]["paragraph"] == 1 and got[6]["licenses"] == "" and got[7]["findings"] == []
 
 
+def test_license_notices_as_they_are_wrapped(spark):
+    gnu = ("This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {0}\n# as published "
+           "by the Free Software Foundation, either version {1} of\n# the License, or (at your option) any later version.\n# It comes "
+           "without any warranty.")
+    texts = [("Copyright 2020 Ann\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and "
+              "associated documentation files (the \"Software\"), to deal\nin the Software without restriction", "mit"),
+             ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the "
+              "following conditions\nare met:", "bsd-3-clause"),
+             (gnu.format("General Public License", 3), "gpl-3.0"), (gnu.format("General Public License", 2), "gpl-2.0"),
+             (gnu.format("Affero General Public License", 3), "agpl-3.0"), (gnu.format("Lesser General Public License", 3), "lgpl-3.0"),
+             ("Licensed under the Apache\nLicense, Version 2.0 (the \"License\");\nyou may not use this file", "apache-2.0"),
+             ("# SPDX-License-Identifier: MIT\nimport os", "mit"), ("// SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0"),
+             ("The license of the\nband was lost; all seats reserved.", "")]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(frame).collect()}
+    assert [got[i]["licenses"] for i in range(len(texts))] == [x for _, x in texts]
+    assert got[0]["findings"][0]["paragraph"] == 2 and got[0]["n_unknown"] == 0
+
+
 def test_decontamination_against_brute_force(spark, docs):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
