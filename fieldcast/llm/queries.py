@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcast.llm import bpe, decontaminate, embedding, langid, license_scan, packing, pii, simhash, spelling, sql, token_count, toxicity
+from fieldcast.llm import bpe, conversations, decontaminate, embedding, langid, license_scan, packing, pii, simhash, spelling, sql, token_count, toxicity
 
 #: Where the ranks of the byte-level BPE come from; a parameter of the operators.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -90,6 +90,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        digest=True)
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by a rule and repaired: its faults, the cost, the audit and a digest of the repaired text."""
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"), one_in=20)
+    return conversations.digest(conversations.repaired(rows, present=F.col("present")))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of seven letters or more with its near words' count, its form and the root of its forms."""
     words = spelling.word_counts(table(spark, sf_dir, "documents"), min_length=7, min_count=2, one_in=31)
@@ -107,6 +113,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_token_count": op9_token_count,
     "op10_bpe": op10_bpe,
+    "op12_conversations": op12_conversations,
     "op13_spelling": op13_spelling,
 }
 ORACLE: dict[str, str] = sql.ORACLE

@@ -40,4 +40,52 @@ roots as (select word, last(root order by n) as root from chain join (select wor
 select word, form, root, n, n_near, form_n from told join roots using (word)
 """
 
-ORACLE = {"op13_spelling": _SPELLING}
+
+
+def _edit(state: str, cost: str, letter: str, out: str = "''") -> str:
+    """``state`` (nine digits of cost, the audit, chr(1), the repaired text) after one more edit."""
+    audit = f"substr({state}, 10, instr({state}, chr(1)) - 10)"
+    return (f"(lpad((left({state}, 9)::int + {cost})::varchar, 9, '0') || {audit} || '{letter}' || "
+            f"substr({state}, instr({state}, chr(1))) || {out})")
+
+
+#: Best way to each end of the roles so far, row by row; strings compare by cost, then by audit.
+_CONVERSATIONS = f"""
+with recursive {_CRC},
+planted as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {_crc32("concat(coalesce(conv_id::varchar, ' '), ':', coalesce(turn::varchar, ' '))")} % 20 as h from conversations, crc_table),
+damaged as (select conv_id, turn, case when h = 4 then 'user' else role end as role,
+    case when h = 1 then '' when h = 2 then translate(text, '.!?', '') else text end as text,
+    unnest(case when h = 3 then [0, 1] else [0] end) as copy from planted where h <> 0),
+numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as k from damaged),
+judged as (select *, left(role, 1) as initial,
+    case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 'blank'
+      when row_number() over (partition by conv_id, role, text order by k) > 1 then 'duplicate'
+      when not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') then 'truncated' else '' end as fault,
+    lag(left(role, 1)) over (partition by conv_id order by k) || left(role, 1) as two from numbered),
+ids as (select distinct conv_id from conversations),
+walk as (
+  select conv_id, 0::bigint as k, '000000000' || chr(1) as s, null::varchar as y, null::varchar as u, null::varchar as a from ids
+  union all
+  select conv_id, k, {_edit("s0", "3", "D")}, least({_edit("y0", "3", "D")}, case when stays and initial = 's' then {_edit("s0", "more", "K", "said")} end),
+    least({_edit("u0", "3", "D")}, {", ".join(f"case when stays and initial = 'u' then {_edit(x, 'more', 'K', 'said')} when stays then {_edit(x, 'more + 2', 'R', 'as_user')} end" for x in ("s0", "y0", "a0"))}),
+    least({_edit("a0", "3", "D")}, case when stays and initial = 'a' then {_edit("u0", "more", "K", "said")} when stays then {_edit("u0", "more + 2", "R", "as_assistant")} end)
+  from (select j.conv_id, j.k, initial, fault in ('', 'truncated') as stays, (fault = 'truncated')::int as more,
+      chr(10) || role || ':' || text as said, chr(10) || 'user:' || text as as_user, chr(10) || 'assistant:' || text as as_assistant,
+      s as s0, y as y0, u1 as u0, least(a, {_edit("u1", "2", "I", "chr(10) || 'assistant:'")}) as a0
+    from (select *, least(u, {", ".join(_edit(x, "2", "I", "chr(10) || 'user:'") for x in ("s", "y", "a"))}) as u1 from walk) w
+    join judged j on j.conv_id is not distinct from w.conv_id and j.k = w.k + 1)),
+ended as (select conv_id, least(s, a, {_edit("u", "2", "I", "chr(10) || 'assistant:'")},
+    {_edit(_edit("y", "2", "I", "chr(10) || 'user:'"), "2", "I", "chr(10) || 'assistant:'")}) as z
+  from walk qualify row_number() over (partition by conv_id order by k desc) = 1),
+told as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (two not in ('su', 'ua', 'au')) as illegal
+  from judged group by conv_id)
+select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, left(z, 9)::bigint as cost,
+  substr(z, 10, instr(z, chr(1)) - 10) as audit, sha256(substr(z, instr(z, chr(1)) + 2)) as repaired_sha256
+from ended e left join told t on t.conv_id is not distinct from e.conv_id
+"""
+
+ORACLE = {"op12_conversations": _CONVERSATIONS, "op13_spelling": _SPELLING}
