@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcast.llm import bpe, conversations, decontaminate, embedding, langid, license_scan, packing, pii, simhash, spelling, sql, token_count, toxicity
+from fieldcast.llm import bpe, conversations, decontaminate, embedding, langid, license_scan, packing, pii, simhash, spelling, sql, substring, token_count, toxicity
 
 #: Where the ranks of the byte-level BPE come from; a parameter of the operators.
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -90,6 +90,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        digest=True)
 
 
+def op11_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words that a smaller document has in a window of 13: counts and a digest of the rest."""
+    found = substring.scan(table(spark, sf_dir, "documents"), ["doc_id"], window=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "removal_spans")
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged by a rule and repaired: its faults, the cost, the audit and a digest of the repaired text."""
     rows = conversations.damaged(table(spark, sf_dir, "conversations"), one_in=20)
@@ -113,6 +119,7 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_token_count": op9_token_count,
     "op10_bpe": op10_bpe,
+    "op11_substring": op11_substring,
     "op12_conversations": op12_conversations,
     "op13_spelling": op13_spelling,
 }

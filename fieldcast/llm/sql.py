@@ -88,4 +88,17 @@ select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coales
 from ended e left join told t on t.conv_id is not distinct from e.conv_id
 """
 
-ORACLE = {"op12_conversations": _CONVERSATIONS, "op13_spelling": _SPELLING}
+#: Every window as text, its least document, and the words under windows that a smaller document has.
+_SUBSTRING = """
+with docs as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+windows as (select doc_id, k, array_to_string(w[k:k + 12], ' ') as said
+  from (select doc_id, w, unnest(range(1, len(w) - 11)) as k from docs where len(w) >= 13)),
+least as (select said, min(doc_id) as low from windows group by said),
+hit as (select distinct doc_id, unnest(range(k, k + 13)) as k from windows join least using (said) where low < doc_id),
+gone as (select doc_id, list(k) as ks from hit group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(len(ks), 0)::bigint as n_removed,
+  sha256(array_to_string(case when ks is null then w else list_filter(w, lambda x, i: not list_contains(ks, i)) end, ' ')) as kept_sha256
+from docs left join gone using (doc_id)
+"""
+
+ORACLE = {"op11_substring": _SUBSTRING, "op12_conversations": _CONVERSATIONS, "op13_spelling": _SPELLING}
