@@ -289,28 +289,65 @@ def efficiency_delta(ps: DataFrame, targets: Targets, career: DataFrame) -> Data
 
 
 # ------------------------------------------------------------------ P15-P17
+def team_stints(game_teams: DataFrame) -> DataFrame:
+    """Spells of a player with one team, from the team of each game.
+
+    Gaps and islands along (season, week): a spell ends where the next game is
+    for another team, so a player who returns has two spells with that team.
+    One row per spell: first and last game, and games played. The window's
+    partition is one player's career. Games without a known team are left out.
+    """
+    games = game_teams.where(F.col("team").isNotNull()).select("player_id", "season", "week", "team")
+    along = Window.partitionBy("player_id").orderBy("season", "week", "team")
+    moved = F.coalesce(F.col("team") != F.lag("team").over(along), F.lit(True))
+    spells = games.withColumn("_moved", moved.cast("int")) \
+        .withColumn("stint", F.sum("_moved").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    first, last = F.min(F.struct("season", "week")), F.max(F.struct("season", "week"))
+    return spells.groupBy("player_id", "stint", "team").agg(
+        first.alias("_f"), last.alias("_l"), F.count(F.lit(1)).alias("games")) \
+        .select("player_id", "stint", "team", F.col("_f.season").alias("first_season"), F.col("_f.week").alias("first_week"),
+                F.col("_l.season").alias("last_season"), F.col("_l.week").alias("last_week"), "games")
+
+
+def team_volumes(stats: DataFrame, game_teams: DataFrame, max_week: int = MAX_WEEK) -> DataFrame:
+    """Regular-season volume per (player, season, team of the game).
+
+    Every game counts once, for the team it was played for; repeated rows of a
+    game in `game_teams` are one, games without a known team have none.
+    """
+    keys = ["player_id", "season", "week"]
+    teams = game_teams.where(F.col("week") <= max_week).groupBy(*keys).agg(F.min("team").alias("team"))
+    rows = stats.where(F.col("week") <= max_week).select(*keys, "targets", "carries").join(teams, keys, "left")
+    return rows.groupBy("player_id", "season", "team").agg(
+        F.count(F.lit(1)).alias("games"), F.sum("targets").alias("targets"), F.sum("carries").alias("carries"))
+
+
 def roster_shares(ps: DataFrame, players: DataFrame, targets: Targets,
-                  team_of_record: str = "game", game_teams: DataFrame | None = None) -> DataFrame:
+                  team_of_record: str = "game", volumes: DataFrame | None = None) -> DataFrame:
     """S-1 target & carry share within the team the volume was produced for.
 
-    Team denominators are a groupBy joined back (team x season rows,
-    broadcast) rather than a window partitioned by team, which would put a
-    whole team in one task. With ``team_of_record="game"`` and a per-game team
-    table (`game_teams`: player_id, season, team) the producing team is the
-    team of record for those games (D1); otherwise the player's current team.
+    ``team_of_record="game"`` needs `volumes` (`team_volumes`): a traded player
+    has a row for each team of the season, with the volume produced there.
+    ``"current"`` takes the player's current team for all of it (D1: nobody
+    ever departs). Team denominators are a groupBy joined back (team x season
+    rows) rather than a window partitioned by team, which would put a whole
+    team in one task.
     """
+    if team_of_record not in ("game", "current"):
+        raise ValueError(f"unknown team_of_record {team_of_record!r}")
+    if team_of_record == "game" and volumes is None:
+        raise ValueError('team_of_record="game" needs the volumes by team of the game')
     rows = _prior(_dims(ps, players), targets).withColumn("now_team", F.col("team"))
-    if team_of_record == "game" and game_teams is not None:
-        gt = game_teams.select("player_id", (F.col("season") + 1).cast("int").alias("season"),
-                               F.col("team").alias("prod_team"))
-        rows = rows.join(gt, ["player_id", "season"], "left") \
-            .withColumn("prod_team", F.coalesce(F.col("prod_team"), F.col("now_team")))
+    if team_of_record == "game":
+        per = rows.select("player_id", "season", "position", "now_team").join(
+            volumes.select("player_id", (F.col("season") + 1).cast("int").alias("season"),
+                           F.col("team").alias("prod_team"), "targets", "carries"), ["player_id", "season"])
     else:
-        rows = rows.withColumn("prod_team", F.col("now_team"))
-    per = rows.select("player_id", "season", "position", "prod_team", "now_team", "targets", "carries")
+        per = rows.select("player_id", "season", "position", "now_team", F.col("now_team").alias("prod_team"),
+                          "targets", "carries")
     team = per.where(F.col("prod_team").isNotNull()).groupBy("prod_team", "season").agg(
         F.sum("targets").alias("team_targets"), F.sum("carries").alias("team_carries"))
-    j = per.join(F.broadcast(team), ["prod_team", "season"], "left")
+    j = per.join(team, ["prod_team", "season"], "left")
     return j.select(
         "player_id", "season", "position", "prod_team", "now_team",
         F.coalesce(safe_ratio("targets", "team_targets"), F.lit(0.0)).alias("target_share"),
@@ -321,9 +358,10 @@ def roster_shares(ps: DataFrame, players: DataFrame, targets: Targets,
 
 def departed_share(shares: DataFrame) -> DataFrame:
     """Team share owned by players no longer on that team."""
-    return shares.where(~F.col("still_here")).groupBy(F.col("prod_team").alias("team"), "season").agg(
-        F.sum("target_share").alias("team_departed_target_share"),
-        F.sum("carry_share").alias("team_departed_carry_share"))
+    return shares.where(~F.col("still_here") & F.col("prod_team").isNotNull()) \
+        .groupBy(F.col("prod_team").alias("team"), "season").agg(
+            F.sum("target_share").alias("team_departed_target_share"),
+            F.sum("carry_share").alias("team_departed_carry_share"))
 
 
 def max_of_others(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
@@ -357,11 +395,11 @@ def top_teammate_share(shares: DataFrame) -> DataFrame:
 
 def build_situation(ps: DataFrame, players: DataFrame, targets: Targets,
                     roster: DataFrame, team_of_record: str = "game",
-                    game_teams: DataFrame | None = None) -> DataFrame:
+                    volumes: DataFrame | None = None) -> DataFrame:
     """P15-P17 expanded onto roster keys (player_id, season, team), 4 dp, nulls -> 0."""
-    shares = roster_shares(ps, players, targets, team_of_record, game_teams)
+    shares = roster_shares(ps, players, targets, team_of_record, volumes)
     out = roster.select("player_id", "season", "team").join(
-        F.broadcast(departed_share(shares)), ["team", "season"], "left") \
+        departed_share(shares), ["team", "season"], "left") \
         .join(top_teammate_share(shares), ["player_id", "season"], "left")
     cols = ("team_departed_target_share", "team_departed_carry_share",
             "teammate_top_target_share", "teammate_top_carry_share")
@@ -462,7 +500,7 @@ CONTEXT_COLUMNS = (
 def build_context(stats: DataFrame, players: DataFrame, targets: Targets,
                   snaps: DataFrame | None = None, bios: DataFrame | None = None,
                   depth: DataFrame | None = None, recency_base: int = 0,
-                  team_of_record: str = "game", game_teams: DataFrame | None = None,
+                  team_of_record: str = "game", volumes: DataFrame | None = None,
                   ps: DataFrame | None = None) -> DataFrame:
     """P1-P21 for every target season in one plan: the player_context table.
 
@@ -477,7 +515,7 @@ def build_context(stats: DataFrame, players: DataFrame, targets: Targets,
     career = build_career(ps, players, targets, recency_base)
     efficiency = efficiency_delta(ps, targets, career)
     eligible = eligible_players(ps, players, targets)
-    extra = build_situation(ps, players, targets, eligible, team_of_record, game_teams)
+    extra = build_situation(ps, players, targets, eligible, team_of_record, volumes)
     snap = snap_feed(snaps, bios, targets) if snaps is not None and bios is not None else None
     df = context_assembly(eligible, production, situation, career, efficiency, extra, snap, depth, bios)
     df = context_defaults(df)

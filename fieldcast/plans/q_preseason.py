@@ -127,10 +127,11 @@ eff AS (
   LEFT JOIN career c ON c.player_id = pr.player_id AND c.season = pr.season)"""
 
 SHARES = """rs AS (
-  SELECT ps.player_id, t.season, p.position, p.team AS prod_team, p.team AS now_team,
+  SELECT ps.player_id, t.season, p.position, g.team AS prod_team, p.team AS now_team,
     sum(ps.targets) AS targets, sum(ps.carries) AS carries
   FROM player_stats ps JOIN tg t ON ps.season = t.season - 1 JOIN players p ON p.player_id = ps.player_id
-  WHERE ps.week <= 18 GROUP BY ps.player_id, t.season, p.position, p.team),
+  JOIN game_teams g ON g.player_id = ps.player_id AND g.season = ps.season AND g.week = ps.week
+  WHERE ps.week <= 18 GROUP BY ps.player_id, t.season, p.position, g.team, p.team),
 rt AS (SELECT prod_team, season, sum(targets) AS team_targets, sum(carries) AS team_carries
        FROM rs WHERE prod_team IS NOT NULL GROUP BY prod_team, season),
 shares AS (
@@ -228,8 +229,14 @@ CONTEXT_DOUBLES = (
     "team_departed_carry_share", "teammate_top_target_share", "teammate_top_carry_share")
 
 
+def _volumes(t):
+    """Volume by the team of the game, stored once like the other season tables."""
+    return t.stored("team_volumes", lambda: P.team_volumes(t.player_stats, t.game_teams),
+                    sources=("lineitem", "supplier"))
+
+
 def build_context(t):
-    return P.build_context(t.player_stats, t.players, _targets(t), snaps=t.snap_counts,
+    return P.build_context(t.player_stats, t.players, _targets(t), snaps=t.snap_counts, volumes=_volumes(t),
                            bios=R.read_bios(t.bios), depth=R.depth_rank(t.depth_charts), ps=_ps(t))
 
 
@@ -348,19 +355,31 @@ def q_efficiency(t):
 WITH {TG},\n{SHARES}
 SELECT player_id, season, position, prod_team, now_team, target_share, carry_share, still_here FROM shares""")
 def q_roster_shares(t):
-    return P.roster_shares(_ps(t), t.players, _targets(t))
+    return P.roster_shares(_ps(t), t.players, _targets(t), volumes=_volumes(t))
+
+
+@register("p15_team_stints", sql="""
+WITH moves AS (SELECT *, CASE WHEN team IS DISTINCT FROM lag(team) OVER w THEN 1 ELSE 0 END AS moved
+  FROM game_teams WINDOW w AS (PARTITION BY player_id ORDER BY season, week)),
+spells AS (SELECT *, sum(moved) OVER (PARTITION BY player_id ORDER BY season, week) AS stint FROM moves)
+SELECT player_id, CAST(stint AS INTEGER) AS stint, team, CAST(min(season * 100 + week) // 100 AS INTEGER) AS first_season,
+  CAST(min(season * 100 + week) % 100 AS INTEGER) AS first_week, CAST(max(season * 100 + week) // 100 AS INTEGER) AS last_season,
+  CAST(max(season * 100 + week) % 100 AS INTEGER) AS last_week, count(*) AS games
+FROM spells GROUP BY player_id, stint, team""")
+def q_team_stints(t):
+    return P.team_stints(t.game_teams)
 
 
 @register("p16_departed_share", doubles=("team_departed_target_share", "team_departed_carry_share"),
           sql=f"WITH {TG},\n{SHARES}\nSELECT * FROM dep")
 def q_departed(t):
-    return P.departed_share(P.roster_shares(_ps(t), t.players, _targets(t)))
+    return P.departed_share(P.roster_shares(_ps(t), t.players, _targets(t), volumes=_volumes(t)))
 
 
 @register("p17_top_teammate_share", doubles=("teammate_top_target_share", "teammate_top_carry_share"),
           sql=f"WITH {TG},\n{SHARES}\nSELECT * FROM top")
 def q_top_teammate(t):
-    return P.top_teammate_share(P.roster_shares(_ps(t), t.players, _targets(t)))
+    return P.top_teammate_share(P.roster_shares(_ps(t), t.players, _targets(t), volumes=_volumes(t)))
 
 
 @register("p18_eligible_players", sql=f"WITH {TG},\n{ELIG}\nSELECT * FROM elig")

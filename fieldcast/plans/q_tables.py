@@ -14,7 +14,7 @@ from fieldcast.operators import preseason as P
 from fieldcast.operators import scoring as M
 from fieldcast.operators import tables as W
 from fieldcast.plans.q_cleaning import _CLEAN, ROSTERS_CLEAN
-from fieldcast.plans.q_preseason import CONTEXT_DOUBLES, CONTEXT_SQL, FEEDS, _ps, _targets, context_table
+from fieldcast.plans.q_preseason import CONTEXT_DOUBLES, CONTEXT_SQL, FEEDS, _ps, _targets, _volumes, context_table
 from fieldcast.plans.q_inseason import SEASON, WEEK, _UPCOMING_SQL
 from fieldcast.plans.q_scoring import IN_HEURISTIC, PRE_HEURISTIC, _vec_sql
 from fieldcast.plans.registry import register, sql_round
@@ -149,7 +149,7 @@ SELECT {_policy_select()}
 FROM o FULL OUTER JOIN n ON n.player_id = o.player_id AND n.season = o.season""")
 def q_upsert_context(t):
     """A rebuild whose optional feeds failed: feed columns must survive."""
-    feedless = P.build_context(t.player_stats, t.players, _targets(t), ps=_ps(t))
+    feedless = P.build_context(t.player_stats, t.players, _targets(t), volumes=_volumes(t), ps=_ps(t))
     return W.upsert_context(context_table(t), feedless).select(*P.CONTEXT_COLUMNS)
 
 

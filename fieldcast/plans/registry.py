@@ -75,12 +75,18 @@ rosters AS (
     CAST(p.age - (2002 - s.season) AS DOUBLE) AS age, CAST(66 + p.player_id % 12 AS INTEGER) AS height,
     CAST(180 + s.season % 7 * 5 AS INTEGER) AS weight, p.draft_round, p.draft_pick, p.rookie_season
   FROM (SELECT DISTINCT player_id, season FROM player_stats) s JOIN players p ON p.player_id = s.player_id),
+game_teams AS (
+  SELECT s.player_id, s.season, s.week, concat('T', CAST((CAST(substr(p.team, 2, 1) AS INTEGER)
+    + CASE WHEN s.player_id % 7 = 0 AND s.season * 100 + s.week < 199705 THEN 3
+           WHEN s.player_id % 5 = 0 AND s.season * 100 + s.week < 200010 THEN 1 ELSE 0 END) % 8 AS VARCHAR)) AS team
+  FROM player_stats s JOIN players p ON p.player_id = s.player_id),
 weekly_feed AS (
-  SELECT p.external_id AS player_id, p.name AS player_display_name, p.position, p.team AS recent_team,
+  SELECT p.external_id AS player_id, p.name AS player_display_name, p.position, g.team AS recent_team,
     s.season, s.week, s.opponent AS opponent_team, s.targets, s.carries, s.receptions,
     s.yards * 0.75 AS receiving_yards, CAST(s.touchdowns % 2 AS INTEGER) AS receiving_tds,
     s.yards * 0.25 AS rushing_yards, CAST(s.touchdowns - s.touchdowns % 2 AS INTEGER) AS rushing_tds
-  FROM player_stats s JOIN players p ON p.player_id = s.player_id),
+  FROM player_stats s JOIN players p ON p.player_id = s.player_id
+  JOIN game_teams g ON g.player_id = s.player_id AND g.season = s.season AND g.week = s.week),
 dirty_weekly AS (
   SELECT player_id, player_display_name, position,
     CASE WHEN week = 21 THEN NULL ELSE recent_team END AS recent_team, season, week,

@@ -20,6 +20,8 @@ TEAM_COUNT = 8
 FIRST_ROOKIE_SEASON = 1995
 ROOKIE_CLASSES = 8
 DAYS_PER_WEEK = 17
+# Trades: every (n)th player, until (season * 100 + week), played for the team so many places on.
+TRADES = ((7, 199705, 3), (5, 200010, 1))
 
 
 _MATERIALIZED: dict[tuple, str] = {}
@@ -125,6 +127,10 @@ class Tables:
     def rosters(self) -> DataFrame:
         return rosters_view(self.player_stats, self.players)
 
+    @cached_property
+    def game_teams(self) -> DataFrame:
+        return game_teams_view(self.player_stats, self.players)
+
     @cached_property
     def weekly_feed(self) -> DataFrame:
         return weekly_feed_view(self.player_stats, self.players)
@@ -276,10 +282,26 @@ def rosters_view(player_stats: DataFrame, players: DataFrame) -> DataFrame:
     )
 
 
+def game_team() -> Column:
+    """The team a player played a game for: the current one, or before a trade another."""
+    moved = F.lit(0)
+    for every, until, places in reversed(TRADES):
+        traded = (F.col("player_id") % every == 0) & (F.col("season") * 100 + F.col("week") < until)
+        moved = F.when(traded, F.lit(places)).otherwise(moved)
+    here = F.substring("team", 2, 1).cast("int")
+    return F.concat(F.lit("T"), ((here + moved) % TEAM_COUNT).cast("string"))
+
+
+def game_teams_view(player_stats: DataFrame, players: DataFrame) -> DataFrame:
+    """(player, season, week, team): the team of each game, trades included."""
+    return player_stats.select("player_id", "season", "week").join(players.select("player_id", "team"), "player_id") \
+        .select("player_id", "season", "week", game_team().alias("team"))
+
+
 def weekly_feed_view(player_stats: DataFrame, players: DataFrame) -> DataFrame:
     """Raw-feed shaped weekly rows (reference column names) from the fact."""
     s = player_stats.join(players.select("player_id", "external_id", "name", "position", "team"),
-                          "player_id")
+                          "player_id").withColumn("team", game_team())
     return s.select(
         F.col("external_id").alias("player_id"),
         F.col("name").alias("player_display_name"),

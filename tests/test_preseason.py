@@ -64,9 +64,58 @@ def test_context_does_not_look_ahead(tables):
     stats = tables.player_stats
     last = stats.select(F.max("season")).first()[0]
     cols = ["player_id", "season", "prior_games", "prior_points_per_game", "career_weighted_ppg"]
-    full = P.build_context(stats, tables.players, [last]).select(*cols)
-    cut = P.build_context(stats.where(F.col("season") < last), tables.players, [last]).select(*cols)
+    volumes = P.team_volumes(stats, tables.game_teams)
+    full = P.build_context(stats, tables.players, [last], volumes=volumes).select(*cols)
+    past = stats.where(F.col("season") < last)
+    cut = P.build_context(past, tables.players, [last], volumes=P.team_volumes(past, tables.game_teams)).select(*cols)
     both = full.join(cut, ["player_id", "season"])
     assert both.count() > 0
     assert full.join(cut, cols, "left_anti").join(cut.select("player_id"), "player_id", "left_semi").count() == 0
     assert _targets(tables)[-1] == last + 1
+
+
+GAMES = [  # player, season, week, team, targets, carries: 1 is traded from A to B in mid-season and back to A a year later
+    (1, 2023, 1, "A", 10, 0), (1, 2023, 2, "A", 10, 0), (1, 2023, 3, "B", 5, 2), (2, 2023, 1, "A", 20, 0),
+    (3, 2023, 1, "B", 5, 8), (3, 2023, 19, "B", 99, 99), (4, 2023, 1, None, 7, 7), (1, 2024, 1, "A", 4, 0), (5, 2023, 2, "A", 10, 5)]
+
+
+def _trades(spark):
+    rows = spark.createDataFrame(GAMES, "player_id int, season int, week int, team string, targets int, carries int")
+    stats = rows.drop("team").withColumns({"yards": F.lit(1.0), "fantasy_points": F.lit(1.0)})
+    now = {1: "B", 2: "A", 3: "B", 4: "A", 5: "C"}
+    players = spark.createDataFrame([(i, f"x{i}", "WR", t, 25) for i, t in now.items()],
+                                    "player_id int, external_id string, position string, team string, age int")
+    return stats, rows.select("player_id", "season", "week", "team"), players
+
+
+def test_team_stints(spark):
+    _, teams, _ = _trades(spark)
+    got = {(r["player_id"], r["stint"]): tuple(r)[2:] for r in P.team_stints(teams).collect()}
+    assert got == {(1, 1): ("A", 2023, 1, 2023, 2, 2), (1, 2): ("B", 2023, 3, 2023, 3, 1), (1, 3): ("A", 2024, 1, 2024, 1, 1),
+                   (2, 1): ("A", 2023, 1, 2023, 1, 1), (3, 1): ("B", 2023, 1, 2023, 19, 2), (5, 1): ("A", 2023, 2, 2023, 2, 1)}
+
+
+def test_traded_player_counts_once_per_game(spark):
+    stats, teams, players = _trades(spark)
+    volumes = P.team_volumes(stats, teams.unionByName(teams))     # repeated rows are one game
+    assert volumes.where("season = 2023").agg(F.sum("targets")).first()[0] == 67
+    shares = P.roster_shares(P.player_seasons(stats), players, [2024], volumes=volumes)
+    got = {(r["player_id"], r["prod_team"]): (r["target_share"], r["carry_share"], r["still_here"]) for r in shares.collect()}
+    assert got == {(1, "A"): (0.4, 0.0, False), (1, "B"): (0.5, 0.2, True), (2, "A"): (0.4, 0.0, True),
+                   (3, "B"): (0.5, 0.8, True), (4, None): (0.0, 0.0, False), (5, "A"): (0.2, 1.0, False)}
+    gone = {r["team"]: tuple(r)[2:] for r in P.departed_share(shares).collect()}
+    assert {k: tuple(round(x, 9) for x in v) for k, v in gone.items()} == {"A": (0.6, 1.0)}
+    top = {r["player_id"]: r["teammate_top_target_share"] for r in P.top_teammate_share(shares).collect()}
+    assert top == {1: 0.5, 2: 0.0, 3: 0.5}
+
+
+def test_team_of_the_game_needs_its_table(spark):
+    import pytest
+    stats, _, players = _trades(spark)
+    ps = P.player_seasons(stats)
+    with pytest.raises(ValueError):
+        P.roster_shares(ps, players, [2024])
+    with pytest.raises(ValueError):
+        P.roster_shares(ps, players, [2024], team_of_record="last")
+    now = P.roster_shares(ps, players, [2024], team_of_record="current")
+    assert now.where("still_here").count() == now.count() == 5 and P.departed_share(now).isEmpty()
