@@ -90,22 +90,30 @@ def project_clean(df: DataFrame) -> DataFrame:
     )
 
 
-def clean_weekly(raw: DataFrame) -> DataFrame:
-    """C1-C8 composed: the weekly feed in the relational fact's shape."""
-    df = drop_unjoinable(raw)
-    df = clean_floats(clean_counts(df))
-    df = dedupe_fullest(df)
-    df = df.withColumn("fantasy_points", fantasy_points(df))
+def joinable_weekly(raw: DataFrame) -> DataFrame:
+    """Joinable rows with clean numbers, duplicates still among them."""
+    return clean_floats(clean_counts(drop_unjoinable(raw)))
+
+
+def shaped_weekly(unique: DataFrame) -> DataFrame:
+    """C5-C8 over rows that are unique by key."""
+    df = unique.withColumn("fantasy_points", fantasy_points(unique))
     df = derive_totals(df).withColumn("opponent", normalise_opponent("opponent_team"))
     return project_clean(df)
 
 
+def clean_weekly(raw: DataFrame) -> DataFrame:
+    """C1-C8 composed: the weekly feed in the relational fact's shape."""
+    return shaped_weekly(dedupe_fullest(joinable_weekly(raw)))
+
+
 def clean_rosters(rosters: DataFrame, order_col: str = "season") -> DataFrame:
     """Drop null ids, keep the latest row per player (by `order_col`, the
     explicit version of 'keep last'), rename, coerce numerics, +-inf -> null."""
     df = rosters.where(F.col("player_id").isNotNull())
     if order_col in df.columns:
-        w = Window.partitionBy("player_id").orderBy(F.col(order_col).desc_nulls_last())
+        rest = [F.col(c).desc_nulls_last() for c in sorted(df.columns)]   # any other difference decides ties
+        w = Window.partitionBy("player_id").orderBy(F.col(order_col).desc_nulls_last(), *rest)
         df = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
     renames = {"player_name": "name", "height": "height_inches", "weight": "weight_lbs"}
     df = df.select(*[F.col(c).alias(renames.get(c, c)) for c in df.columns])

@@ -19,7 +19,7 @@ job that dies half way is repaired by running it again.
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from fieldcast import schemas as S
 from fieldcast.functions.ranking import latest_per_key
+from fieldcast.operators.cleaning import dedupe_fullest
 from fieldcast.session import cut_lineage, staging_path
 
 OVERWRITE, COALESCE, KEEP = "overwrite", "coalesce", "keep"
@@ -100,6 +101,34 @@ def _file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def rewrite_partitions(spark: SparkSession, path: str, schema: T.StructType, partition_by: str,
+                       touched: DataFrame, change: Callable[[DataFrame], DataFrame],
+                       staging_root: str | None = None) -> None:
+    """Replace the `touched` partitions (a frame of their values) of the table at `path` by ``change(old rows)``.
+
+    The new rows are staged under the shared checkpoint folder before the table
+    is written, so it is never overwritten while it is being read. Partitions
+    that end up without rows are removed; all others stay as they are. Only
+    partition values (seasons, batches) reach the driver. `change` must be
+    idempotent: a job that dies half way is repaired by running it again.
+    """
+    values = touched.select(F.col(partition_by).cast(schema[partition_by].dataType).alias(partition_by)).distinct()
+    slice_ = read_table(spark, path, schema).join(values, partition_by, "left_semi")     # partition pruning via DPP
+    staged = staging_path(spark, "rewrite") if staging_root is None else os.path.join(staging_root, "rewrite")
+    change(slice_).select(*schema.fieldNames()).write.mode("overwrite").parquet(staged)
+    new = spark.read.schema(schema).parquet(staged)
+    left = {r[0] for r in new.select(partition_by).distinct().collect()}
+    gone = {r[0] for r in values.collect()} - left
+    # a partition's rows meet in few tasks, and a large one's are split over several
+    new.hint("rebalance", partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy(partition_by).parquet(path)
+    for value in gone:
+        fs, where = _file_system(spark, f"{path}/{partition_by}={value}")
+        fs.delete(where, True)
+    fs, where = _file_system(spark, staged)
+    fs.delete(where, True)
+
+
 def upsert_table(spark: SparkSession, path: str, updates: DataFrame, key: Sequence[str],
                  partition_by: str, schema: T.StructType, policy: Mapping[str, str] | None = None,
                  staging_root: str | None = None) -> None:
@@ -109,16 +138,79 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, key: Sequen
     """
     if not updates.groupBy(*key).count().where("count > 1").isEmpty():
         raise ValueError(f"updates repeat a key of {list(key)}")
-    base = read_table(spark, path, schema)
-    touched = updates.select(partition_by).distinct()
-    slice_ = base.join(touched, partition_by, "left_semi")     # partition pruning via DPP
-    merged = merge_upsert(slice_, updates, key, policy).select(*schema.fieldNames())
-    staged = staging_path(spark, "upsert") if staging_root is None else os.path.join(staging_root, "upsert")
-    merged.write.mode("overwrite").parquet(staged)            # cut the read of `path`
-    spark.read.schema(schema).parquet(staged).write.mode("overwrite") \
-        .option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
-    fs, where = _file_system(spark, staged)
-    fs.delete(where, True)
+    rewrite_partitions(spark, path, schema, partition_by, updates,
+                       lambda old: merge_upsert(old, updates, key, policy), staging_root)
+
+
+def merge_fullest(spark: SparkSession, path: str, rows: DataFrame, schema: T.StructType,
+                  key: Sequence[str] = ("player_id", "season", "week"), partition_by: str = "season",
+                  staging_root: str | None = None) -> None:
+    """C4 across deliveries: of a stored record and late ones of its key the fullest stays.
+
+    Whole records are compared by the same order as inside one feed
+    (`dedupe_fullest`), so it does not matter in which file, or in which order,
+    duplicates arrive, and a replay changes nothing.
+    """
+    rows = rows.select(*schema.fieldNames())
+    rewrite_partitions(spark, path, schema, partition_by, rows,
+                       lambda old: dedupe_fullest(old.unionByName(rows), key), staging_root)
+
+
+def replace_in_table(spark: SparkSession, path: str, new: DataFrame, match: Mapping[str, object],
+                     schema: T.StructType, partition_by: str = "season") -> None:
+    """W4 in storage: rows that match go, `new` comes, in the partitions that either touches."""
+    touched = new.select(partition_by)
+    if partition_by in match:
+        touched = touched.unionByName(spark.range(1).select(F.lit(match[partition_by]).alias(partition_by)))
+    else:
+        touched = touched.unionByName(read_table(spark, path, schema).select(partition_by))
+    rewrite_partitions(spark, path, schema, partition_by, touched, lambda old: replace_slice(old, new, match))
+
+
+def prune_table(spark: SparkSession, path: str, build: DataFrame, schema: T.StructType,
+                key: Sequence[str] = ("player_id",), season_col: str = "season") -> None:
+    """W6 in storage: stale rows of the seasons of `build` go, other seasons are not read."""
+    rewrite_partitions(spark, path, schema, season_col, build, lambda old: prune_stale(old, build, key, season_col))
+
+
+def append_once(spark: SparkSession, path: str, rows: DataFrame, batch_id: int, schema: T.StructType,
+                batch_col: str = "batch_id") -> None:
+    """Append `rows` as batch `batch_id` of the log at `path`; the same batch again takes its own place.
+
+    The batch is a partition: a replay overwrites it and no other, so each batch
+    is in the log exactly once however often its job ran.
+    """
+    new = rows.withColumn(batch_col, F.lit(batch_id).cast(schema[batch_col].dataType))
+    rewrite_partitions(spark, path, schema, batch_col, spark.range(1).select(F.lit(batch_id).alias(batch_col)),
+                       lambda old: new)
+
+
+def publish(spark: SparkSession, path: str, table: DataFrame) -> None:
+    """Write an unpartitioned table as the next version under `path`.
+
+    Readers take the newest version that is complete (`published`), so a job that
+    dies while writing leaves the one before in place; older ones than that go.
+    """
+    done = _versions(spark, path)
+    table.write.mode("overwrite").parquet(f"{path}/v{max(done, default=0) + 1:09d}")
+    for old in sorted(done)[:-1]:
+        fs, where = _file_system(spark, f"{path}/v{old:09d}")
+        fs.delete(where, True)
+
+
+def published(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The newest complete version of the table under `path`; empty if there is none."""
+    done = _versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/v{max(done):09d}") if done else spark.createDataFrame([], schema)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    fs, where = _file_system(spark, path)
+    if not fs.exists(where):
+        return []
+    found = [s.getPath().getName() for s in fs.listStatus(where)]
+    return [int(name[1:]) for name in found
+            if name.startswith("v") and fs.exists(_file_system(spark, f"{path}/{name}/_SUCCESS")[1])]
 
 
 def replace_slice(base: DataFrame, new: DataFrame, match: Mapping[str, object]) -> DataFrame:
@@ -161,15 +253,22 @@ def player_identities(weekly: DataFrame, rosters: DataFrame) -> DataFrame:
         .select(F.col("player_id").alias("external_id"), "name", "team", "position", *meta_cols)
 
 
+def newer_identities(base: DataFrame, updates: DataFrame) -> DataFrame:
+    """Updates (with season and week) that are not older than what `base` has seen of the player."""
+    seen = base.select("external_id", F.struct("seen_season", "seen_week").alias("_seen"))
+    late = F.struct(F.col("season").cast("int"), F.col("week").cast("int")) < F.col("_seen")
+    return updates.join(seen, "external_id", "left").where(~F.coalesce(late, F.lit(False))).drop("_seen")
+
+
 def upsert_players(base: DataFrame, weekly: DataFrame, rosters: DataFrame) -> DataFrame:
     """Merge identities into the players dimension (PLAYER_POLICY);
     new players get the next ids."""
     ups = player_identities(weekly, rosters)
     merged = merge_upsert(base, ups, ["external_id"], PLAYER_POLICY)
-    return _fill_ids(merged, base)
+    return fill_ids(merged, base)
 
 
-def _fill_ids(merged: DataFrame, base: DataFrame) -> DataFrame:
+def fill_ids(merged: DataFrame, base: DataFrame) -> DataFrame:
     start = base.select(F.coalesce(F.max("player_id"), F.lit(0))).scalar()
     old = merged.where(F.col("player_id").isNotNull())
     new = assign_ids(merged.where(F.col("player_id").isNull()).drop("player_id"), "external_id", start,
@@ -250,7 +349,7 @@ def register_rookies(base: DataFrame, bios: DataFrame, picks: DataFrame, season:
     with the defaults, existing rows keep name/age/size)."""
     merged = merge_upsert(base, incoming_rookies(bios, picks, season, positions), ["external_id"],
                           ROOKIE_POLICY)
-    return _fill_ids(merged, base)
+    return fill_ids(merged, base)
 
 
 # ------------------------------------------------------------------ W8 / W9

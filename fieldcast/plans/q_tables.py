@@ -1,11 +1,15 @@
-"""Registered table-maintenance queries (W1-W9): each returns the table as
-it stands after the operation, computed over the whole input tables."""
+"""Registered table-maintenance queries (W1-W10), computed over the whole input tables.
+
+W1 and W3-W7 store the table, run the operation twice, as a job that is repeated
+after a failure does, and return what is read back from storage.
+"""
 
 from __future__ import annotations
 
 import os
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldcast import schemas as S
 from fieldcast.operators import cleaning as C
@@ -15,10 +19,12 @@ from fieldcast.operators import scoring as M
 from fieldcast.operators import tables as W
 from fieldcast.plans.q_cleaning import _CLEAN, ROSTERS_CLEAN
 from fieldcast.plans.q_preseason import CONTEXT_DOUBLES, CONTEXT_SQL, FEEDS, _ps, _targets, _volumes, context_table
-from fieldcast.plans.q_inseason import SEASON, WEEK, _UPCOMING_SQL
-from fieldcast.plans.q_scoring import IN_HEURISTIC, PRE_HEURISTIC, _vec_sql
+from fieldcast.plans.q_inseason import SEASON, WEEK, _UPCOMING_SQL, upcoming_sql
+from fieldcast.plans.q_scoring import IN_HEURISTIC, PRE_CONFIDENCE, PRE_HEURISTIC, _vec_sql
 from fieldcast.plans.registry import register, sql_round
+from fieldcast.session import staging_path
 from fieldcast.sources import readers as R
+from fieldcast.streaming.weekly import LOG_SCHEMA, incremental_weekly, weekly_run, weekly_run_batch
 
 BOARD_SEASON, BOARD_VERSION = 2002, "F"
 BATCH_TS = "2003-01-01 00:00:00"
@@ -33,6 +39,25 @@ def _ti(x):
     return f"CAST(trunc({x}) AS INTEGER)"
 
 
+def _stored_table(t, name: str, table, partition_by: str = "season") -> tuple[str, T.StructType]:
+    """A copy of `table` in storage, by partitions: its path and schema."""
+    path = staging_path(t.spark, name)
+    table.write.partitionBy(partition_by).parquet(path)
+    return path, table.schema
+
+
+def _published_twice(t, name: str, base, change):
+    """`base` as a published table, changed twice, read back."""
+    path = staging_path(t.spark, name)
+    W.publish(t.spark, path, base)
+    schema = base.schema
+    for _ in range(2):
+        new = change(W.published(t.spark, path, schema))
+        W.publish(t.spark, path, new)
+        schema = new.schema
+    return W.published(t.spark, path, schema)
+
+
 # ------------------------------------------------------------------ W1
 @register("w1_upsert_players", sql=f"""
 WITH cw AS ({_CLEAN}), cr AS ({ROSTERS_CLEAN}),
@@ -53,7 +78,8 @@ SELECT b.player_id, b.external_id,
 FROM players b LEFT JOIN ups u ON u.external_id = b.external_id""")
 def q_upsert_players(t):
     weekly = C.clean_weekly(t.dirty_weekly)
-    return W.upsert_players(t.players, weekly, C.clean_rosters(t.rosters)).select(*PLAYER_COLS)
+    return _published_twice(t, "players", t.players, lambda base: W.upsert_players(
+        base, weekly, C.clean_rosters(t.rosters)).select(*PLAYER_COLS))
 
 
 # ------------------------------------------------------------------ W2
@@ -74,49 +100,58 @@ def q_upsert_stats(t):
 
 
 # ------------------------------------------------------------------ W3
-@register("w3_append_predictions", doubles=("prediction",), sql=f"""
-WITH scored AS (SELECT player_id, {sql_round(sql_round(IN_HEURISTIC, 3), 2)} AS prediction FROM ({_UPCOMING_SQL}) u)
-SELECT id, player_id, season, week, prediction, model_version, created_at FROM predictions
+_LOG_COLS = "id, player_id, season, week, opponent, prediction, confidence, model_version, created_at"
+
+
+@register("w3_append_predictions", doubles=("prediction", "confidence"), sql=f"""
+WITH scored AS (SELECT player_id, team, {sql_round(sql_round(IN_HEURISTIC, 3), 2)} AS prediction FROM ({_UPCOMING_SQL}) u)
+SELECT {_LOG_COLS} FROM predictions
 UNION ALL
 SELECT CAST((SELECT max(id) FROM predictions) + row_number() OVER (ORDER BY player_id) AS BIGINT), player_id,
-  CAST({SEASON} AS INTEGER), CAST({WEEK} AS INTEGER), prediction, '{M.FALLBACK_VERSION}',
-  CAST('{BATCH_TS}' AS TIMESTAMP)
+  CAST({SEASON} AS INTEGER), CAST({WEEK} AS INTEGER), coalesce(team, 'UNK'), prediction, CAST(NULL AS DOUBLE),
+  '{M.FALLBACK_VERSION}', CAST('{BATCH_TS}' AS TIMESTAMP)
 FROM scored""")
 def q_append_predictions(t):
     feats = ins.upcoming_features(t.players, t.player_stats, SEASON, WEEK)
     scored = M.batch_score_weekly(feats, SEASON, WEEK)
-    base = t.predictions
-    new = W.assign_ids(scored.select("player_id", "season", "week", "prediction", "model_version"),
-                       "player_id", base.select(F.max("id")).scalar(), out="id")
-    return W.append_predictions(base, new, BATCH_TS)
+    path, schema = _stored_table(t, "prediction-log", t.predictions.withColumn("batch_id", F.lit(0).cast("long")), "batch_id")
+    for _ in range(2):   # the second run is a replay: it takes the place of the first
+        log = W.read_table(t.spark, path, schema).where("batch_id <> 1")
+        new = W.assign_ids(scored, "player_id", log.select(F.max("id")).scalar(), out="id")
+        W.append_once(t.spark, path, new.withColumn("created_at", F.to_timestamp(F.lit(BATCH_TS))), 1, schema)
+    return W.read_table(t.spark, path, schema).select(*_LOG_COLS.split(", "))
 
 
 # ------------------------------------------------------------------ W4
-@register("w4_replace_season_projection", doubles=("prediction",), sql=f"""
+@register("w4_replace_season_projection", doubles=("prediction", "confidence"), sql=f"""
 WITH ctx AS (SELECT * FROM ({CONTEXT_SQL}) c WHERE season = {BOARD_SEASON}
   AND player_id IN (SELECT player_id FROM players WHERE position IN ('WR', 'RB', 'TE'))),
 vec AS ({_vec_sql('ctx')}),
-board AS (SELECT player_id, {sql_round(sql_round(PRE_HEURISTIC, 3), 2)} AS prediction FROM vec),
+board AS (SELECT player_id, {sql_round(sql_round(PRE_HEURISTIC, 3), 2)} AS prediction, {PRE_CONFIDENCE} AS confidence FROM vec),
 mx AS (SELECT max(id) AS m FROM predictions)
-SELECT id, player_id, season, week, prediction, model_version, created_at FROM predictions
+SELECT {_LOG_COLS} FROM predictions
 WHERE NOT (season = {BOARD_SEASON} AND week = 0 AND model_version = '{BOARD_VERSION}')
 UNION ALL
 SELECT CAST((SELECT m FROM mx) + row_number() OVER (ORDER BY player_id) AS BIGINT) AS id, player_id,
-  CAST({BOARD_SEASON} AS INTEGER) AS season, CAST(0 AS INTEGER) AS week, prediction,
-  '{BOARD_VERSION}' AS model_version, CAST('{BATCH_TS}' AS TIMESTAMP) AS created_at
-FROM board""")
+  CAST({BOARD_SEASON} AS INTEGER) AS season, CAST(0 AS INTEGER) AS week, coalesce(team, 'UNK') AS opponent, prediction,
+  confidence, '{BOARD_VERSION}' AS model_version, CAST('{BATCH_TS}' AS TIMESTAMP) AS created_at
+FROM board JOIN players USING (player_id)""")
 def q_replace_projection(t):
     # Passing earns no points here, so quarterbacks are not projected.
     projected = t.players.where(F.col("position").isin(*S.FLEX_POSITIONS)).select("player_id")
     ctx = context_table(t).where(F.col("season") == BOARD_SEASON).join(projected, "player_id", "left_semi")
-    scored = M.score_preseason(M.preseason_vector(ctx)).select("player_id", "prediction")
-    base = t.predictions
-    start = base.select(F.max("id")).scalar()
+    scored = M.score_preseason(M.preseason_vector(ctx)).select("player_id", "prediction", "confidence") \
+        .join(t.players.select("player_id", "team"), "player_id")
+    start = t.predictions.select(F.max("id")).scalar()
     board = W.assign_ids(scored, "player_id", start, out="id").select(
         "id", "player_id", F.lit(BOARD_SEASON).cast("int").alias("season"), F.lit(0).cast("int").alias("week"),
-        "prediction", F.lit(BOARD_VERSION).alias("model_version"),
-        F.to_timestamp(F.lit(BATCH_TS)).alias("created_at"))
-    return W.replace_season_projection(base, board, BOARD_SEASON, BOARD_VERSION)
+        F.coalesce("team", F.lit("UNK")).alias("opponent"), "prediction", "confidence",
+        F.lit(BOARD_VERSION).alias("model_version"), F.to_timestamp(F.lit(BATCH_TS)).alias("created_at"))
+    path, schema = _stored_table(t, "season-board", t.predictions)
+    match = {"season": BOARD_SEASON, "week": 0, "model_version": BOARD_VERSION}
+    for _ in range(2):
+        W.replace_in_table(t.spark, path, board, match, schema)
+    return W.read_table(t.spark, path, schema).select(*_LOG_COLS.split(", "))
 
 
 # ------------------------------------------------------------------ W5
@@ -150,7 +185,11 @@ FROM o FULL OUTER JOIN n ON n.player_id = o.player_id AND n.season = o.season"""
 def q_upsert_context(t):
     """A rebuild whose optional feeds failed: feed columns must survive."""
     feedless = P.build_context(t.player_stats, t.players, _targets(t), volumes=_volumes(t), ps=_ps(t))
-    return W.upsert_context(context_table(t), feedless).select(*P.CONTEXT_COLUMNS)
+    path, schema = _stored_table(t, "context", context_table(t).select(*P.CONTEXT_COLUMNS))
+    policy = {c: W.COALESCE for c in W.CONTEXT_COALESCE}
+    for _ in range(2):
+        W.upsert_table(t.spark, path, feedless, ("player_id", "season"), "season", schema, policy)
+    return W.read_table(t.spark, path, schema).select(*P.CONTEXT_COLUMNS)
 
 
 # ------------------------------------------------------------------ W6
@@ -165,7 +204,10 @@ def q_prune_stale(t):
     """The build is the prior-production frame (players with a prior
     regular season); context rows of built seasons outside it are stale."""
     build = P.prior_production(_ps(t), t.players, _targets(t)).select("player_id", "season")
-    return W.prune_stale(context_table(t), build).select(*P.CONTEXT_COLUMNS)
+    path, schema = _stored_table(t, "context", context_table(t).select(*P.CONTEXT_COLUMNS))
+    for _ in range(2):
+        W.prune_table(t.spark, path, build, schema)
+    return W.read_table(t.spark, path, schema).select(*P.CONTEXT_COLUMNS)
 
 
 # ------------------------------------------------------------------ W7
@@ -194,8 +236,9 @@ def q_register_rookies(t):
     base = t.players.join(t.player_stats.select("player_id").distinct(), "player_id", "left_semi")
     bios = R.read_bios(t.bios, full=True)
     picks = R.read_draft_picks(t.draft_picks, season=BOARD_SEASON)
-    out = W.register_rookies(base, bios, picks, BOARD_SEASON, S.INGEST_POSITIONS)
-    return out.select(*PLAYER_COLS).withColumn("player_id", F.col("player_id").cast("long"))
+    return _published_twice(t, "rookies", base, lambda known: W.register_rookies(
+        known, bios, picks, BOARD_SEASON, S.INGEST_POSITIONS).select(*PLAYER_COLS)
+        .withColumn("player_id", F.col("player_id").cast("long")))
 
 
 # ------------------------------------------------------------------ W8 / W9
@@ -232,18 +275,68 @@ SELECT p.player_id, c.season, c.week, c.opponent, c.is_home, c.targets, c.carrie
        c.yards, c.touchdowns, c.fantasy_points
 FROM cw c JOIN players p ON p.external_id = c.player_id""")
 def q_incremental_weekly(t):
-    """The dirty weekly feed lands as files (whole (season, week) groups per
-    file, so duplicates of a key arrive together); the stream upserts them
-    batch by batch into an empty stats table, which is returned."""
-    from fieldcast.session import staging_path
-    from fieldcast.streaming.weekly import incremental_weekly
-
+    """The dirty weekly feed lands in three files by a hash of the rows, so that
+    duplicates of a key come in different batches; the stream merges them file
+    by file into an empty stats table, which is returned."""
     root = staging_path(t.spark, "weekly-stream")
     src, stats, ckpt = (os.path.join(root, d) for d in ("landing", "player_stats", "checkpoint"))
     feed = t.dirty_weekly
-    feed.repartition("season", "week").write.parquet(src)
-    q = incremental_weekly(t.spark, src, feed.schema, t.players, stats, ckpt, max_files_per_trigger=4)
+    feed.repartition(3, *feed.columns).write.parquet(src)
+    q = incremental_weekly(t.spark, src, feed.schema, t.players, stats, ckpt, max_files_per_trigger=1)
     q.awaitTermination()
     return t.spark.read.parquet(stats).select(
         "player_id", F.col("season").cast("int").alias("season"), "week", "opponent", "is_home", "targets",
         "carries", "receptions", "yards", "touchdowns", "fantasy_points")
+
+
+# ------------------------------------------------------------------ the weekly job
+#: Two deliveries: games until the first week, without some of the duplicates, and the rest until the second.
+FIRST, SECOND = 200106, 200111
+_LATE = "(week % 4 = 0 AND receptions % 2 = 1)"
+
+
+def _delivered(n: int) -> str:
+    """Clean games, roster and features as they are after delivery n."""
+    last = FIRST if n == 1 else SECOND
+    rows = f"season * 100 + week <= {last}" + (f" AND NOT {_LATE}" if n == 1 else "")
+    return f"""feed{n} AS (SELECT * FROM dirty_weekly WHERE {rows}),
+clean{n} AS ({_CLEAN.replace("FROM dirty_weekly", f"FROM feed{n}")}),
+who{n} AS (SELECT player_id AS external_id, arg_max(name, season * 100 + week) AS name, arg_max(team, season * 100 + week) AS team,
+  arg_max(position, season * 100 + week) AS position FROM clean{n} GROUP BY player_id)"""
+
+
+def _log_sql(n: int) -> str:
+    week = (FIRST if n == 1 else SECOND) % 100 + 1
+    return f"""scored{n} AS (SELECT player_id, team, {sql_round(sql_round(IN_HEURISTIC, 3), 2)} AS prediction
+  FROM ({upcoming_sql(f"stats{n}", f"roster{n}", SEASON, week)}) u),
+log{n} AS (SELECT row_number() OVER (ORDER BY player_id) AS k, player_id, {week} AS week, team, prediction, {n - 1} AS batch_id FROM scored{n})"""
+
+
+@register("w10_weekly_run", doubles=("prediction", "confidence"), sql=f"""
+WITH {_delivered(1)},
+{_delivered(2)},
+ids AS (SELECT external_id, row_number() OVER (ORDER BY w.external_id IS NULL, external_id) AS player_id
+  FROM who2 LEFT JOIN (SELECT external_id FROM who1) w USING (external_id)),
+{", ".join(f"roster{n} AS (SELECT * FROM who{n} JOIN ids USING (external_id))" for n in (1, 2))},
+{", ".join(f"stats{n} AS (SELECT c.* REPLACE (i.player_id AS player_id) FROM clean{n} c JOIN ids i ON i.external_id = c.player_id)" for n in (1, 2))},
+{_log_sql(1)},
+{_log_sql(2)}
+SELECT CAST(k + (CASE WHEN batch_id = 1 THEN (SELECT count(*) FROM log1) ELSE 0 END) AS BIGINT) AS id, CAST(player_id AS BIGINT) AS player_id,
+  {SEASON} AS season, week, coalesce(team, 'UNK') AS opponent, prediction, CAST(NULL AS DOUBLE) AS confidence,
+  '{M.FALLBACK_VERSION}' AS model_version, CAST('{BATCH_TS}' AS TIMESTAMP) AS created_at, CAST(batch_id AS BIGINT) AS batch_id
+FROM (SELECT * FROM log1 UNION ALL SELECT * FROM log2) x""")
+def q_weekly_run(t):
+    """Ingest, clean, upserts, features, score and append over two deliveries, the second of which is replayed:
+    the log holds each batch once. Some duplicates of old weeks come late, thinner and fuller ones."""
+    root = staging_path(t.spark, "weekly-run")
+    src, ckpt = (os.path.join(root, d) for d in ("landing", "checkpoint"))
+    at = F.col("season") * 100 + F.col("week")
+    first = (at <= FIRST) & ~F.expr(_LATE)
+    feed = t.dirty_weekly
+    deliveries = feed.where(first), feed.where((at <= SECOND) & ~first)
+    for n, rows in enumerate(deliveries):
+        rows.write.parquet(os.path.join(src, f"d{n}"))
+        weekly_run(t.spark, src + "/*", feed.schema, root, ckpt, max_files_per_trigger=1 << 20, created_at=BATCH_TS).awaitTermination()
+    weekly_run_batch(t.spark, root, os.path.join(ckpt, "replay"), BATCH_TS)(
+        t.spark.read.schema(feed.schema).parquet(os.path.join(src, "d1")), 1)
+    return W.read_table(t.spark, f"{root}/predictions", LOG_SCHEMA)

@@ -48,7 +48,8 @@ player_stats AS (
   JOIN players p ON p.player_id = x.player_id),
 predictions AS (
   SELECT o_orderkey AS id, o_custkey % (SELECT count(*) FROM supplier) AS player_id, CAST(2002 AS INTEGER) AS season,
-    CAST(o_orderkey % 3 AS INTEGER) AS week, o_totalprice / 20000.0 AS prediction,
+    CAST(o_orderkey % 3 AS INTEGER) AS week, concat('T', CAST(o_orderkey % 8 AS VARCHAR)) AS opponent,
+    o_totalprice / 20000.0 AS prediction, CAST((5 + o_orderkey % 90) / 100.0 AS DOUBLE) AS confidence,
     o_orderstatus AS model_version, o_orderdate AS created_at
   FROM orders),
 depth_charts AS (

@@ -213,7 +213,9 @@ def predictions_view(orders: DataFrame, supplier: DataFrame) -> DataFrame:
         (F.col("o_custkey") % n_players).alias("player_id"),
         F.lit(PROJECTION_SEASON).cast("int").alias("season"),
         (F.col("o_orderkey") % 3).cast("int").alias("week"),
+        F.concat(F.lit("T"), (F.col("o_orderkey") % TEAM_COUNT).cast("string")).alias("opponent"),
         (F.col("o_totalprice") / 20000.0).alias("prediction"),
+        ((5 + F.col("o_orderkey") % 90) / 100.0).cast("double").alias("confidence"),
         F.col("o_orderstatus").alias("model_version"),
         F.col("o_orderdate").alias("created_at"),
     )

@@ -34,3 +34,49 @@ def test_incremental_weekly_replay_safe(spark):
     # the checkpoint remembers both files: a third run changes nothing
     incremental_weekly(spark, src + "/*", wk1.schema, players, stats, ckpt).awaitTermination()
     assert spark.read.parquet(stats).count() == 2
+
+
+def _week(spark, *rows):
+    return spark.createDataFrame([(p, "Al", "WR", team, s, w, "NE", 8, 0, rec, yards, 0, 0.0, 0) for p, team, s, w, rec, yards in rows], FEED)
+
+
+def test_thinner_duplicate_in_a_later_file_loses(spark):
+    root = tempfile.mkdtemp(prefix="fc-fullest-")
+    src, stats, ckpt = (os.path.join(root, d) for d in ("landing", "stats", "ckpt"))
+    players = spark.createDataFrame([(1, "00-1"), (2, "00-2")], "player_id long, external_id string")
+    deliveries = [_week(spark, ("00-1", "KC", 2024, 1, 6, 60.0), ("00-2", "KC", 2024, 1, 1, 10.0)),
+                  _week(spark, ("00-1", "KC", 2024, 1, 5, 50.0), ("00-2", "KC", 2024, 1, 9, 90.0)),   # thinner, fuller
+                  _week(spark, ("00-1", "KC", 2024, 1, 9, None), ("00-1", "KC", 2023, 4, 2, 20.0))]
+    for n, rows in enumerate(deliveries):
+        rows.coalesce(1).write.parquet(os.path.join(src, f"w{n}"))
+        incremental_weekly(spark, src + "/*", rows.schema, players, stats, ckpt).awaitTermination()
+    got = {(r["player_id"], r["season"]): (r["yards"], r["receptions"]) for r in spark.read.parquet(stats).collect()}
+    assert got == {(1, 2024): (60.0, 6), (2, 2024): (90.0, 9), (1, 2023): (20.0, 2)}
+    whole = deliveries[0].unionByName(deliveries[1]).unionByName(deliveries[2])
+    assert sorted((r["yards"], r["receptions"]) for r in C.clean_weekly(whole).collect()) == sorted(got.values())
+
+
+def test_weekly_run_appends_each_batch_once(spark):
+    from fieldcast.streaming.weekly import LOG_SCHEMA, PLAYER_SCHEMA, weekly_run, weekly_run_batch
+    from fieldcast.operators import tables as W
+
+    root = tempfile.mkdtemp(prefix="fc-run-")
+    src, ckpt = os.path.join(root, "landing"), os.path.join(root, "ckpt")
+    first = _week(spark, ("00-2", "KC", 2024, 1, 6, 60.0), ("00-1", "NE", 2024, 1, 1, 10.0), ("00-7", "NE", 2023, 9, 1, 10.0))
+    second = _week(spark, ("00-2", "SF", 2024, 2, 5, 50.0), ("00-9", "KC", 2024, 2, 9, 90.0), ("00-1", "OLD", 2023, 8, 9, 90.0))
+    body = weekly_run_batch(spark, root, os.path.join(ckpt, "again"))
+
+    def log():
+        return sorted((r["id"], r["player_id"], r["season"], r["week"], r["opponent"], r["batch_id"])
+                      for r in W.read_table(spark, f"{root}/predictions", LOG_SCHEMA).collect())
+
+    for n, rows in enumerate((first, second)):
+        rows.write.parquet(os.path.join(src, f"d{n}"))
+        weekly_run(spark, src + "/*", first.schema, root, ckpt, max_files_per_trigger=99).awaitTermination()
+        once = log()
+        body(rows, n)                                   # a replay of the batch
+        assert [x[1:] for x in log()] == [x[1:] for x in once] and [x[0] for x in log()] == [x[0] for x in once]
+    assert log() == [(1, 1, 2024, 2, "NE", 0), (2, 2, 2024, 2, "KC", 0),
+                     (3, 1, 2024, 3, "NE", 1), (4, 2, 2024, 3, "SF", 1), (5, 4, 2024, 3, "KC", 1)]
+    players = {r["external_id"]: (r["player_id"], r["team"], r["seen_season"]) for r in W.published(spark, f"{root}/players", PLAYER_SCHEMA).collect()}
+    assert players == {"00-1": (1, "NE", 2024), "00-2": (2, "SF", 2024), "00-7": (3, "NE", 2023), "00-9": (4, "KC", 2024)}

@@ -135,3 +135,54 @@ def test_rank_keeps_nulls_and_ties(spark):
 def test_every_line_reaches_the_fact(spark, tables):
     lines = tables.table("lineitem").join(tables.players, F.col("l_suppkey") == F.col("player_id")).count()
     assert tables.player_stats.agg(F.sum("targets")).first()[0] == lines
+
+
+LOG = "player_id int, season int, week int, model_version string, prediction double"
+
+
+def test_stored_replace_prune_and_empty_partitions(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="fc-stored-"), "log")
+    base = spark.createDataFrame([(1, 2025, 0, "v1", 1.0), (1, 2025, 0, "v2", 2.0), (1, 2024, 0, "v1", 3.0)], LOG)
+    base.write.partitionBy("season").parquet(path)
+    new = spark.createDataFrame([(2, 2025, 0, "v1", 7.0)], LOG)
+    stored = lambda: sorted(r["prediction"] for r in W.read_table(spark, path, base.schema).collect())
+    for _ in range(2):
+        W.replace_in_table(spark, path, new, {"season": 2025, "week": 0, "model_version": "v1"}, base.schema)
+        assert stored() == [2.0, 3.0, 7.0]
+    W.replace_in_table(spark, path, new.limit(0), {"season": 2024, "week": 0, "model_version": "v1"}, base.schema)
+    assert stored() == [2.0, 7.0] and not os.path.exists(f"{path}/season=2024")     # nothing is left of the season
+    W.replace_in_table(spark, path, new.limit(0), {"model_version": "v2"}, base.schema)
+    assert stored() == [7.0]
+    W.prune_table(spark, path, spark.createDataFrame([(9, 2025)], "player_id int, season int"), base.schema)
+    assert stored() == []
+
+
+def test_append_once(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="fc-once-"), "log")
+    rows = spark.createDataFrame([(1, 2025, 1, "v", 1.0)], LOG)
+    schema = rows.withColumn("batch_id", F.lit(0).cast("long")).schema
+    for batch in (0, 1, 1, 0):
+        W.append_once(spark, path, rows, batch, schema)
+    assert sorted(r["batch_id"] for r in W.read_table(spark, path, schema).collect()) == [0, 1]
+    W.append_once(spark, path, rows.limit(0), 1, schema)       # a replay that has nothing now
+    assert [r["batch_id"] for r in W.read_table(spark, path, schema).collect()] == [0]
+
+
+def test_published_versions_survive_a_broken_write(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="fc-pub-"), "dim")
+    one = spark.createDataFrame([(1,)], "x int")
+    assert W.published(spark, path, one.schema).count() == 0
+    for n in range(4):
+        W.publish(spark, path, one.withColumn("x", F.lit(n)))
+    os.makedirs(f"{path}/v000000005")                          # began, never ended
+    assert [r["x"] for r in W.published(spark, path, one.schema).collect()] == [3]
+    W.publish(spark, path, W.published(spark, path, one.schema).withColumn("x", F.col("x") + 7))
+    assert [r["x"] for r in W.published(spark, path, one.schema).collect()] == [10]
+
+
+def test_rosters_with_ties_are_decided(spark):
+    from fieldcast.operators.cleaning import clean_rosters
+    rows = [("a", 2024, "KC", 30.0), ("a", 2024, "NE", 31.0), ("a", 2023, "ZZ", 29.0)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "player_id string, season int, team string, age double").repartition(2)
+        assert [(r["team"], r["age"]) for r in clean_rosters(df).collect()] == [("NE", 31.0)]
