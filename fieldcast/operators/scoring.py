@@ -89,6 +89,13 @@ def score_inseason(feats: DataFrame, residual_std: float = S.INSEASON_FALLBACK_S
         .withColumn("confidence", inseason_confidence(raw, "games_played", residual_std))
 
 
+def scored_as_stored(model, df: DataFrame) -> DataFrame:
+    """``df`` with the model's prediction as it is stored (3 dp at the model boundary, then 2 dp) and its version."""
+    raw = model.score(df, "prediction")
+    return raw.withColumn("prediction", round_half_even(round_half_even("prediction", 3), 2)) \
+        .withColumn("model_version", F.lit(model.version))
+
+
 def projection_basis(prefix: str = "") -> Column:
     """M8: what a pre-season number rests on (raw, pre-default inputs)."""
     c = lambda n: F.col(prefix + n)
@@ -121,29 +128,43 @@ def asof_context(requests: DataFrame, context: DataFrame, key: Sequence[str]) ->
 
 # ------------------------------------------------------------------ M9 / M13
 def route_model(requests: DataFrame, stats: DataFrame, context: DataFrame,
-                key: Sequence[str] = ("player_id", "season", "week")) -> DataFrame:
+                key: Sequence[str] = ("player_id", "season", "week"), inseason_model=None, preseason_model=None,
+                residual_std: Mapping[str, float] | None = None) -> DataFrame:
     """M9: >= 1 game before the week -> in-season; else pre-season when a
     context row exists (as-of); else in-season on a cold-start vector.
 
-    Both branches are computed for the routed rows only and unioned.
+    Both branches are computed for the routed rows only and unioned. Each is
+    scored by the heuristic or by the stored model that was asked for, whose
+    residual spread (``residual_std`` by version) goes into the confidence.
     """
     key = list(key)
+    spread = residual_std or {}
     feats = ins.point_in_time_features(requests, stats, key)
     ctx = asof_context(requests, context, key)
     routed = feats.join(ctx.select(*key, "ctx_season"), key, "left").withColumn(
         "mode", F.when(F.col("games_played") >= 1, F.lit("in_season"))
         .when(F.col("ctx_season").isNotNull(), F.lit("preseason")).otherwise(F.lit("in_season")))
-    inseason = score_inseason(routed.where(F.col("mode") == "in_season")).select(
-        *key, "mode", "prediction", "confidence", F.lit(FALLBACK_VERSION).alias("model_version"),
-        F.lit(None).cast("int").alias("context_season"))
+    in_rows = routed.where(F.col("mode") == "in_season")
+    if inseason_model is None:
+        inseason = score_inseason(in_rows).withColumn("model_version", F.lit(FALLBACK_VERSION))
+    else:
+        std = spread.get(inseason_model.version, S.INSEASON_MISSING_STD)
+        inseason = scored_as_stored(inseason_model, in_rows) \
+            .withColumn("confidence", inseason_confidence("prediction", "games_played", std))
+    inseason = inseason.select(*key, "mode", "prediction", "confidence", "model_version",
+                               F.lit(None).cast("int").alias("context_season"))
     pre_rows = routed.where(F.col("mode") == "preseason").select(*key, "mode").join(ctx, key)
     renamed = pre_rows.select(*key, "mode", *[F.col(f"ctx_{c}").alias(c) for c in context.columns
                                               if c not in ("player_id", "season")],
                               F.col("ctx_season").alias("context_season"))
     vec = preseason_vector(renamed, keys=(*key, "mode", "context_season"))
-    pre = score_preseason(vec).select(*key, "mode", "prediction", "confidence",
-                                      F.lit(PRESEASON_FALLBACK_VERSION).alias("model_version"),
-                                      "context_season")
+    if preseason_model is None:
+        pre = score_preseason(vec).withColumn("model_version", F.lit(PRESEASON_FALLBACK_VERSION))
+    else:
+        std = spread.get(preseason_model.version, S.PRESEASON_MISSING_STD)
+        pre = scored_as_stored(preseason_model, vec).withColumn("confidence", preseason_confidence(
+            "prior_games", "_raw_depth", "_raw_snap", "is_rookie", std))
+    pre = pre.select(*key, "mode", "prediction", "confidence", "model_version", "context_season")
     return inseason.unionByName(pre)
 
 
@@ -161,29 +182,19 @@ def compare_players(scored: DataFrame, group: str = "comparison_id", lo: int = 2
 
 
 # ------------------------------------------------------------------ M11 / M12
-def batch_score_weekly(features: DataFrame, season: int, week: int) -> DataFrame:
-    """The weekly prediction rows as stored - heuristic scoring in plan,
-    3 dp at the model boundary then 2 dp, opponent = own team or 'UNK' (D4)."""
-    raw = round_half_even(inseason_heuristic(), 3)
-    return features.select(
+def batch_score_weekly(features: DataFrame, season: int, week: int, model=None) -> DataFrame:
+    """The weekly prediction rows as stored - 3 dp at the model boundary
+    then 2 dp, opponent = own team or 'UNK' (D4). Scored by the heuristic, or by
+    a stored `model` (`models.load_model`)."""
+    if model is None:
+        told = features.withColumn("prediction", round_half_even(round_half_even(inseason_heuristic(), 3), 2)) \
+            .withColumn("model_version", F.lit(FALLBACK_VERSION))
+    else:
+        told = scored_as_stored(model, features)
+    return told.select(
         "player_id", F.lit(season).alias("season"), F.lit(week).alias("week"),
-        F.coalesce(F.col("team"), F.lit("UNK")).alias("opponent"),
-        round_half_even(raw, 2).alias("prediction"),
-        F.lit(None).cast("double").alias("confidence"),
-        F.lit(FALLBACK_VERSION).alias("model_version"))
-
-
-def score_with_model(df: DataFrame, model, feature_cols: Sequence[str], version: str,
-                     output: str = "prediction") -> DataFrame:
-    """M11 for a fitted MLlib model: assemble, transform, round 2 dp."""
-    from pyspark.ml.feature import VectorAssembler
-    vec = VectorAssembler(inputCols=list(feature_cols), outputCol="_features").transform(df)
-    model_out = model.copy()
-    if hasattr(model_out, "setFeaturesCol"):
-        model_out = model_out.setFeaturesCol("_features").setPredictionCol("_raw")
-    out = model_out.transform(vec)
-    return out.withColumn(output, round_half_even(round_half_even("_raw", 3), 2)) \
-        .withColumn("model_version", F.lit(version)).drop("_features", "_raw")
+        F.coalesce(F.col("team"), F.lit("UNK")).alias("opponent"), "prediction",
+        F.lit(None).cast("double").alias("confidence"), "model_version")
 
 
 def resolve_version(requests: DataFrame, registry: DataFrame, fallback: str = FALLBACK_VERSION,
@@ -201,10 +212,4 @@ def resolve_version(requests: DataFrame, registry: DataFrame, fallback: str = FA
         .withColumn("refused", F.col("_v").isNotNull() & ~compatible).drop("_v", "_order")
 
 
-def model_registry(spark, entries: Sequence[tuple[str, str, str, float]]) -> DataFrame:
-    """Model-metadata table (version, kind, feature_order, residual_std)."""
-    return spark.createDataFrame(list(entries), "version string, kind string, feature_order string, "
-                                                "residual_std double")
-
-
 __all__ = ["draft_capital_weight"]

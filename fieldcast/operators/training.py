@@ -1,8 +1,8 @@
 """Training and evaluation.
 
-Data never leaves the executors: a linear fit needs only the Gram matrix,
-which one aggregate over the training rows produces (k(k+1)/2 + 2k + 3
-sums; k <= 31 here), and the k x k solve runs on the driver. Predictions are
+Data never leaves the executors: a linear fit needs only the means and the
+centred scatter of features and label (k <= 31 here), which tasks condense and
+merge, and the k x k solve runs on the driver. Predictions are
 column expressions, so scoring stays in whole-stage codegen. Boosted trees
 use MLlib. Metrics are one aggregate each.
 """
@@ -75,32 +75,75 @@ class LinearModel:
             expr = expr + F.col(f).cast("double") * F.lit(float(c))
         return expr.alias(name)
 
+    def score(self, df: DataFrame, name: str = "prediction") -> DataFrame:
+        return df.withColumn(name, self.predict())
+
     def coefficients(self, spark) -> DataFrame:
         rows = [(f, float(c), float(m)) for f, c, m in zip(self.features, self.coef, self.means)]
         return spark.createDataFrame(rows, "feature string, coef double, mean double")
 
 
-def gram(df: DataFrame, features: Sequence[str], label: str) -> dict[str, np.ndarray]:
-    """One distributed aggregate: n, sums, cross-products of features and label."""
-    k = len(features)
-    x = [F.col(f).cast("double") for f in features]
-    y = F.col(label).cast("double")
-    exprs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")]
-    exprs += [F.sum(x[i]).alias(f"s{i}") for i in range(k)]
-    exprs += [F.sum(x[i] * y).alias(f"sy{i}") for i in range(k)]
-    exprs += [F.sum(x[i] * x[j]).alias(f"x{i}_{j}") for i in range(k) for j in range(i, k)]
-    r = df.agg(*exprs).first().asDict()
-    xx = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            xx[i, j] = xx[j, i] = r[f"x{i}_{j}"] or 0.0
-    return {"n": float(r["n"]), "sy": float(r["sy"] or 0.0), "syy": float(r["syy"] or 0.0),
-            "sx": np.array([r[f"s{i}"] or 0.0 for i in range(k)]),
-            "sxy": np.array([r[f"sy{i}"] or 0.0 for i in range(k)]), "xx": xx}
-
-
-def _constrained_solve(a: np.ndarray, c: np.ndarray, signs: np.ndarray, iters: int = 5000,
-                       tol: float = 1e-12) -> np.ndarray:
+def gram(df: DataFrame, features: Sequence[str], label: str, collected: int = 64) -> dict[str, np.ndarray]:
+    """Counts, means and the centred scatter of features and label (the label last).
+
+    Each task condenses its rows to (n, means, scatter about its own means);
+    two such states combine exactly without sums of raw products, so nothing
+    cancels at large means or many rows. States are merged over a shuffle until
+    at most `collected` of them reach the driver, whatever the input's size.
+    Nulls count as 0; rows with a null label are left out.
+    """
+    k = len(features) + 1
+    columns = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)]
+    rows = df.where(F.col(label).isNotNull()).select(*columns, F.col(label).cast("double").alias("y"))
+    state = "n double, mean array<double>, scatter array<double>"
+
+    def condense(batches):
+        return _state_rows((np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) for b in batches if b.num_rows), k)
+
+    def combine(batches):
+        total = None
+        for b in batches:
+            for n, mean, scatter in zip(*[c.to_pylist() for c in b.columns]):
+                total = merged_moments(total, (n, np.array(mean), np.array(scatter).reshape(k, k)))
+        yield from _state_batch(total)
+
+    states = rows.mapInArrow(condense, state)
+    met = states.repartition(collected).mapInArrow(combine, state).collect()
+    total = None
+    for r in sorted(met, key=lambda r: (r["n"], r["mean"])):
+        total = merged_moments(total, (r["n"], np.array(r["mean"]), np.array(r["scatter"]).reshape(k, k)))
+    n, mean, scatter = total if total else (0.0, np.zeros(k), np.zeros((k, k)))
+    return {"n": n, "mean": mean[:-1], "label_mean": mean[-1], "scatter": scatter[:-1, :-1], "cross": scatter[:-1, -1]}
+
+
+def merged_moments(a, b):
+    """(n, means, centred scatter) of two sets of rows together."""
+    if a is None or b is None:
+        return b if a is None else a
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
+
+
+def _state_rows(blocks, k: int):
+    total = None
+    for x in blocks:
+        x = np.asfortranarray(x)   # sums run along the columns, pairwise
+        mean = x.mean(axis=0)
+        total = merged_moments(total, (float(len(x)), mean, (x - mean).T @ (x - mean)))
+    yield from _state_batch(total)
+
+
+def _state_batch(total):
+    import pyarrow as pa
+
+    if total is not None:
+        n, mean, scatter = total
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([mean.tolist()]), pa.array([scatter.ravel().tolist()])],
+                                         ["n", "mean", "scatter"])
+
+
+def _constrained_solve(a: np.ndarray, c: np.ndarray, signs: np.ndarray, iters: int = 200_000,
+                       tol: float = 1e-10) -> np.ndarray:
     """min 1/2 b'Ab - c'b subject to signs[j] * b[j] >= 0 (0 = free), by
     cyclic coordinate descent (A is positive definite thanks to the ridge)."""
     b = np.zeros(len(c))
@@ -117,8 +160,8 @@ def _constrained_solve(a: np.ndarray, c: np.ndarray, signs: np.ndarray, iters: i
             delta = max(delta, abs(new - b[j]))
             b[j] = new
         if delta < tol:
-            break
-    return b
+            return b
+    raise RuntimeError(f"the constrained fit has not converged after {iters} rounds (last step {delta:g})")
 
 
 def fit_linear(df: DataFrame, features: Sequence[str], label: str, alpha: float = 1.0,
@@ -133,12 +176,11 @@ def fit_linear(df: DataFrame, features: Sequence[str], label: str, alpha: float
     n = g["n"]
     if n == 0:
         raise ValueError("no training rows")
-    mx, my = g["sx"] / n, g["sy"] / n
-    cov = g["xx"] - n * np.outer(mx, mx)
+    mx, my, cov = g["mean"], g["label_mean"], g["scatter"]
     sd = np.sqrt(np.maximum(np.diag(cov) / n, 0.0))
     sd[sd == 0] = 1.0
     a = cov / np.outer(sd, sd) + alpha * np.eye(len(features))
-    c = (g["sxy"] - n * mx * my) / sd
+    c = g["cross"] / sd
     if directions:
         signs = np.array([float(directions.get(f, 0)) for f in features])
         bz = _constrained_solve(a, c, signs)
@@ -241,3 +283,28 @@ def monotone_audit(rows: DataFrame, key: Sequence[str], feature: str, lo: float,
     return scored.withColumn("_bad", bad).groupBy(*key).agg(
         F.sum("_bad").cast("int").alias("violations"), F.min("prediction").alias("min_prediction"),
         F.max("prediction").alias("max_prediction")).withColumn("feature", F.lit(feature))
+
+
+def monotone_audits(rows: DataFrame, key: Sequence[str], directions: Mapping[str, int], steps: int, score,
+                    lo_hi: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
+    """T14 for every feature of `directions`: (feature, direction, rows, violations, largest).
+
+    A feature is swept from its smallest to its largest value in `rows` (or over
+    `lo_hi`). Rows are spread once over features and steps and scored once;
+    `largest` is the largest move against the direction.
+    """
+    names = list(directions)
+    ends = rows.agg(*[F.min(f).cast("double").alias(f"a{i}") for i, f in enumerate(names)],
+                    *[F.max(f).cast("double").alias(f"z{i}") for i, f in enumerate(names)]).first()
+    span = {f: (lo_hi or {}).get(f, (ends[f"a{i}"] or 0.0, ends[f"z{i}"] or 0.0)) for i, f in enumerate(names)}
+    sweeps = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(int(d)).alias("direction"), F.lit(float(span[f][0])).alias("lo"),
+                                F.lit(float(span[f][1])).alias("hi")) for f, d in directions.items()])
+    swept = rows.withColumn("_s", F.explode(sweeps)).withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    at = F.col("_s.lo") + (F.col("_s.hi") - F.col("_s.lo")) * F.col("_step") / F.lit(max(steps - 1, 1))
+    scored = score(swept.withColumns({f: F.when(F.col("_s.feature") == f, at).otherwise(F.col(f).cast("double")) for f in names}))
+    w = Window.partitionBy(*key, "_s.feature").orderBy("_step")
+    against = (F.lag("prediction").over(w) - F.col("prediction")) * F.col("_s.direction")
+    moved = scored.withColumn("_against", F.coalesce(against, F.lit(0.0)))
+    return moved.groupBy(F.col("_s.feature").alias("feature"), F.col("_s.direction").alias("direction")).agg(
+        F.count_if(F.col("_step") == 0).alias("rows"), F.count_if(F.col("_against") > 1e-9).alias("violations"),
+        F.greatest(F.max("_against"), F.lit(0.0)).alias("largest"))

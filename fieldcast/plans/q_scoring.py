@@ -191,19 +191,38 @@ def q_batch_score(t):
     return M.batch_score_weekly(feats, SEASON, WEEK)
 
 
-REGISTRY = (("F", "in_season", ",".join(S.FEATURE_ORDER), 5.3412),
-            ("O", "preseason", ",".join(S.PRESEASON_FEATURE_ORDER), 2.8173))
+@register("m11_batch_score_fitted")
+def q_batch_score_fitted(t):
+    """The weekly batch scored by the stored in-season ridge."""
+    from fieldcast.plans import q_training as Q
+    feats = ins.upcoming_features(t.players, t.player_stats, SEASON, WEEK)
+    return M.batch_score_weekly(feats, SEASON, WEEK, Q.model(t, Q.IN_RIDGE))
+
+
+@register("m9_route_fitted")
+def q_route_fitted(t):
+    """Every game's request routed to stored models of either kind, with the spread that the registry has for each."""
+    from fieldcast.operators import models as store
+    from fieldcast.plans import q_training as Q
+    inside, before = Q.model(t, Q.IN_RIDGE), Q.model(t, Q.PRE_MONOTONE)
+    std = {r["version"]: r["residual_std"] for r in store.registry(t.spark, Q.model_root(t)).collect()}
+    return M.route_model(_requests(t), t.player_stats, context_table(t), inseason_model=inside, preseason_model=before,
+                         residual_std=std)
 
 
 @register("m12_resolve_version", sql=f"""
 SELECT model_version,
-  CASE WHEN model_version = 'F' THEN 'F' WHEN model_version = 'O' THEN NULL
+  CASE WHEN model_version = 'ridge_fs1' THEN model_version WHEN model_version = 'ridge_ps5' THEN NULL
        ELSE '{M.FALLBACK_VERSION}' END AS resolved_version,
-  model_version = 'O' AS refused
-FROM (SELECT DISTINCT model_version FROM predictions) d""")
+  model_version = 'ridge_ps5' AS refused
+FROM (SELECT DISTINCT model_version FROM predictions UNION VALUES ('ridge_fs1'), ('ridge_ps5')) d""")
 def q_resolve(t):
-    reg = M.model_registry(t.spark, REGISTRY)
-    return M.resolve_version(t.predictions.select("model_version").distinct(), reg)
+    """Versions of the log, and two that the store has: the in-season one resolves, the other's feature order is refused."""
+    from fieldcast.operators import models as store
+    from fieldcast.plans import q_training as Q
+    asked = [(Q.model(t, v).version,) for v in (Q.IN_RIDGE, Q.PRE_RIDGE)]
+    versions = t.predictions.select("model_version").union(t.spark.createDataFrame(asked, "model_version string")).distinct()
+    return M.resolve_version(versions, store.registry(t.spark, Q.model_root(t)).select("version", "feature_order"))
 
 
 @register("m13_compare_players", doubles=("prediction",), sql=f"""

@@ -1,9 +1,10 @@
 """Registered training, evaluation and attribution queries.
 
 Relational steps (dataset, preparation, splits, metrics of fixed scorers,
-gates) have DuckDB oracles. Model fits are checked by invariants in tests
-(ridge equals MLlib's normal-equation fit, sign constraints hold, the
-attributions add up to the projection), so their queries are rows-only.
+gates) have DuckDB oracles. Fitted models are stored once and read back by
+version; SQL cannot express their coefficients, so those queries are rows-only,
+and check queries beside them have oracles: a fit is optimal on the rows it was
+trained on, no sweep reverses, baseline plus contributions give the projection.
 """
 
 from __future__ import annotations
@@ -13,15 +14,20 @@ from pyspark.sql import functions as F
 from fieldcast import schemas as S
 from fieldcast.operators import explain as E
 from fieldcast.operators import inseason as ins
+from fieldcast.operators import models as store
 from fieldcast.operators import scoring as M
 from fieldcast.operators import training as T
 from fieldcast.plans.q_inseason import _WINDOWS_SQL
 from fieldcast.plans.q_preseason import CONTEXT_DOUBLES, CONTEXT_SQL, context_table
 from fieldcast.plans.q_scoring import PRE_HEURISTIC, _vec_sql
 from fieldcast.plans.registry import register, sql_round
+from fieldcast.session import cut_lineage, staging_path
+from fieldcast.sources.fixtures import _fingerprint
 
 FEATURES = list(S.PRESEASON_FEATURE_ORDER)
-IN_FEATURES = [f for f in S.FEATURE_ORDER if f != "opponent_rank"]
+IN_FEATURES = list(S.FEATURE_ORDER)
+PRE_RIDGE, PRE_MONOTONE, PRE_TREES, IN_RIDGE, IN_TREES = "ridge_ps5", "monotone_ps5", "gbt_ps5", "ridge_fs1", "gbt_fs1"
+ALPHA = 1.0
 BOARD_SEASON = 2002
 TOP = 6
 
@@ -69,10 +75,46 @@ def in_season_frame(t):
 _IN_SEASON_SQL = f"SELECT * FROM ({_WINDOWS_SQL}) f WHERE upper(position) IN ('WR', 'RB', 'TE')"
 
 
-def ridge(t, directions=None):
-    p = prepared(t)
-    return T.fit_linear(p.where(~F.col("is_valid")), FEATURES, "actual_ppg",
-                        directions=directions, version="monotone_ridge" if directions else "ridge")
+def in_season_training(t):
+    """F7's frame, all ten features, split by week."""
+    return T.time_split(ins.finalise_training(ins.training_windows(t.player_stats, t.players)))
+
+
+_ROOTS: dict[tuple, str] = {}
+_FRAMES: dict[tuple, object] = {}
+
+
+def model_root(t) -> str:
+    """The model store of these tables, one a session."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, _fingerprint(t.sf_dir, ("lineitem", "supplier", "events")))
+    if key not in _ROOTS:
+        _ROOTS[key] = staging_path(t.spark, "models")
+    return _ROOTS[key]
+
+
+def _training_rows(t, kind: str):
+    """The prepared rows of a kind, stored once: several models are fitted on them."""
+    key = (model_root(t), kind)
+    if key not in _FRAMES:
+        _FRAMES[key] = cut_lineage(prepared(t) if kind == "preseason" else in_season_training(t))
+    return _FRAMES[key]
+
+
+def model(t, version: str):
+    """A stored model, fitted and saved with its holdout metrics the first time that it is asked for."""
+    root = model_root(t)
+    if store.registry(t.spark, root).where(F.col("version") == version).isEmpty():
+        kind = "preseason" if version in (PRE_RIDGE, PRE_MONOTONE, PRE_TREES) else "in_season"
+        features, label = (FEATURES, "actual_ppg") if kind == "preseason" else (IN_FEATURES, "fantasy_points")
+        rows = _training_rows(t, kind).drop("prediction")
+        if version in (PRE_TREES, IN_TREES):
+            fitted = store.TreeModel(features, T.train_gbt(rows, features, label), version)
+        else:
+            fitted = T.fit_linear(rows.where(~F.col("is_valid")), features, label, ALPHA,
+                                  directions=S.MONOTONE if version == PRE_MONOTONE else None, version=version)
+        scored = fitted.score(rows.where("is_valid"), "prediction")
+        store.save_model(t.spark, root, fitted, kind, T.regression_metrics(scored, label, "prediction").first().asDict())
+    return store.load_model(t.spark, root, version)
 
 
 # ------------------------------------------------------------------ T1-T4
@@ -139,78 +181,133 @@ def q_slices(t):
 WITH {_DS} SELECT least(count(*), {S.MIN_TRAINING_ROWS}) AS rows_checked,
   count(*) >= {S.MIN_TRAINING_ROWS} AS passes FROM ds""")
 def q_gate(t):
-    n = dataset(t).limit(S.MIN_TRAINING_ROWS).agg(F.count(F.lit(1)).alias("rows_checked"))
-    return n.withColumn("passes", F.col("rows_checked") >= S.MIN_TRAINING_ROWS)
+    rows = dataset(t)
+    n = rows.limit(S.MIN_TRAINING_ROWS).agg(F.count(F.lit(1)).alias("rows_checked"))
+    return n.withColumn("passes", F.lit(T.training_source_gate(rows)))
+
+
+# ------------------------------------------------------------------ T5-T7, T10, T11, T14
+def _coefficients(t, version):
+    m = model(t, version)
+    d = F.create_map(*[x for k, v in S.MONOTONE.items() for x in (F.lit(k), F.lit(v))])
+    return m.coefficients(t.spark).withColumn("direction", F.coalesce(d[F.col("feature")], F.lit(0)))
 
 
-# ------------------------------------------------------------------ T5-T7, T10, T11, T14 (rows-only)
 @register("t5_train_ridge")
 def q_ridge(t):
-    return ridge(t).coefficients(t.spark)
+    """The pre-season ridge, and the in-season one on its ten features."""
+    one, two = (model(t, v).coefficients(t.spark).withColumn("model_version", F.lit(v)) for v in (PRE_RIDGE, IN_RIDGE))
+    return one.unionByName(two)
 
 
 @register("t6_train_gbt")
 def q_gbt(t):
-    p = prepared(t).drop("prediction")
-    model = T.train_gbt(p, FEATURES, "actual_ppg", max_iter=60)
-    return model.transform(p.where("is_valid")).select("player_id", "season", "actual_ppg", "prediction")
+    valid = _training_rows(t, "preseason").where("is_valid").drop("prediction")
+    return model(t, PRE_TREES).score(valid).select("player_id", "season", "actual_ppg", "prediction")
 
 
 @register("t7_train_monotone")
 def q_monotone(t):
-    m = ridge(t, directions=S.MONOTONE)
-    d = F.create_map(*[x for k, v in S.MONOTONE.items() for x in (F.lit(k), F.lit(v))])
-    return m.coefficients(t.spark).withColumn("direction", F.coalesce(d[F.col("feature")], F.lit(0))) \
-        .withColumn("respects", F.col("coef") * F.col("direction") >= 0)
+    return _coefficients(t, PRE_MONOTONE).withColumn("respects", F.col("coef") * F.col("direction") >= 0)
+
+
+def _optimal(t, kind: str, version: str, label: str):
+    """Of each feature of a linear fit: whether its penalised gradient over the training rows vanishes, or, where a
+    sign binds, points out of what is allowed. Taken from residuals, not from the sums that the fit used."""
+    m = model(t, version)
+    rows = _training_rows(t, kind).where(~F.col("is_valid")).drop("prediction")
+    x = {f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in m.features}
+    resid = rows.withColumn("_e", F.col(label) - m.predict()).withColumns({f: v for f, v in x.items()})
+    sums = resid.agg(*[F.struct(F.covar_pop(f, "_e").alias("g"), F.var_pop(f).alias("v"), F.count(F.lit(1)).alias("n")).alias(f)
+                       for f in m.features])
+    table = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(float(c)).alias("coef"), F.col(f).alias("s"),
+                               F.lit(S.MONOTONE.get(f, 0) if version == PRE_MONOTONE else 0).alias("direction"))
+                      for f, c in zip(m.features, m.coef)])
+    r = F.explode(table).alias("r")
+    sd = F.when(F.col("r.s.v") > 0, F.sqrt("r.s.v")).otherwise(F.lit(1.0))
+    # the derivative of the objective by the standardised coefficient, for each row
+    slope = (F.col("r.s.n") * F.col("r.s.g") / sd - F.lit(ALPHA) * F.col("r.coef") * sd) / F.col("r.s.n")
+    bound = (F.col("r.direction") != 0) & (F.abs(F.col("r.coef") * sd) < 1e-9)
+    ok = F.when(bound, slope * F.col("r.direction") <= 1e-6).otherwise(F.abs(slope) <= 1e-6)
+    return sums.select(r).select(F.col("r.feature").alias("feature"), F.col("r.s.n").alias("training_rows"), ok.alias("optimal"))
+
+
+def _optimal_sql(features, rows: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{f}' AS feature, ({rows}) AS training_rows, true AS optimal" for f in features)
+
+
+_N_TRAIN = f"WITH {_DS} SELECT count(*) FROM ds WHERE season < (SELECT max(season) FROM ds)"
+_N_VALID = f"WITH {_DS} SELECT count(*) FROM ds WHERE season = (SELECT max(season) FROM ds)"
+
+
+@register("t5_ridge_is_optimal", sql=f"WITH n AS ({_N_TRAIN} ) {_optimal_sql(FEATURES, 'SELECT * FROM n')}")
+def q_ridge_optimal(t):
+    return _optimal(t, "preseason", PRE_RIDGE, "actual_ppg")
+
+
+@register("t5_in_season_ridge_is_optimal", sql=f"""
+WITH n AS (SELECT count(*) FROM ({_IN_SEASON_SQL}) f WHERE week <= (SELECT max(week) FROM ({_IN_SEASON_SQL}) g) - 4)
+{_optimal_sql(IN_FEATURES, 'SELECT * FROM n')}""")
+def q_in_season_ridge_optimal(t):
+    return _optimal(t, "in_season", IN_RIDGE, "fantasy_points")
+
+
+@register("t7_monotone_is_optimal", sql=f"WITH n AS ({_N_TRAIN} ) {_optimal_sql(FEATURES, 'SELECT * FROM n')}")
+def q_monotone_optimal(t):
+    return _optimal(t, "preseason", PRE_MONOTONE, "actual_ppg")
+
+
+def _entrants(t, kind: str, label: str, entrants):
+    """Holdout metrics of (model, framework, column or version, is_baseline) over one scored frame."""
+    valid = _training_rows(t, kind).where("is_valid")
+    columns = []
+    for name, _, source, _ in entrants:
+        if source in valid.columns:
+            valid = valid.withColumn(f"_p_{name}", F.col(source).cast("double"))
+        else:
+            valid = model(t, source).score(valid.withColumnRenamed("prediction", "_kept"), f"_p_{name}") \
+                .withColumnRenamed("_kept", "prediction")
+        columns.append(f"_p_{name}")
+    valid = cut_lineage(valid.select(label, *columns))
+    parts = [T.regression_metrics(valid, label, c).select(
+        F.lit(kind).alias("kind"), F.lit(name).alias("model"), F.lit(fw).alias("framework"), "rmse", "mae",
+        F.lit(base).alias("is_baseline")) for c, (name, fw, _, base) in zip(columns, entrants)]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 @register("t10_bake_off")
 def q_bake_off(t):
-    p = prepared(t)
-    valid = p.where("is_valid")
-    ridge_m, mono = ridge(t), ridge(t, directions=S.MONOTONE)
-    scored = valid.select("actual_ppg", "prior_points_per_game", "prediction",
-                          ridge_m.predict("ridge"), mono.predict("mono"))
-    rows = [("preseason", "naive_carry_forward", "none", "prior_points_per_game", True),
-            ("preseason", M.PRESEASON_FALLBACK_VERSION, "heuristic", "prediction", False),
-            ("preseason", "ridge", "linear", "ridge", False),
-            ("preseason", "monotone_ridge", "monotone_linear", "mono", False)]
-    parts = [T.regression_metrics(scored, "actual_ppg", col).select(
-        F.lit(kind).alias("kind"), F.lit(name).alias("model"), F.lit(fw).alias("framework"),
-        "rmse", "mae", F.lit(base).alias("is_baseline")) for kind, name, fw, col, base in rows]
-    fr = in_season_frame(t)
-    im = T.fit_linear(fr.where(~F.col("is_valid")).na.fill(0.0, IN_FEATURES), IN_FEATURES, "target")
-    iv = fr.where("is_valid").na.fill(0.0, IN_FEATURES).select("target", "fantasy_points_last_3",
-                                                               im.predict("ridge_in"))
-    parts += [T.regression_metrics(iv, "target", col).select(
-        F.lit("in_season").alias("kind"), F.lit(name).alias("model"), F.lit(fw).alias("framework"),
-        "rmse", "mae", F.lit(base).alias("is_baseline"))
-        for name, fw, col, base in (("naive_last3_avg", "none", "fantasy_points_last_3", True),
-                                    ("ridge_in_season", "linear", "ridge_in", False))]
-    res = parts[0]
-    for x in parts[1:]:
-        res = res.unionByName(x)
-    return T.bake_off(res)
+    pre = _entrants(t, "preseason", "actual_ppg", [
+        ("naive_carry_forward", "none", "prior_points_per_game", True),
+        (M.PRESEASON_FALLBACK_VERSION, "heuristic", "prediction", False),
+        (PRE_RIDGE, "linear", PRE_RIDGE, False), (PRE_MONOTONE, "monotone_linear", PRE_MONOTONE, False),
+        (PRE_TREES, "gbt", PRE_TREES, False)])
+    now = _entrants(t, "in_season", "fantasy_points", [
+        ("naive_last3_avg", "none", "fantasy_points_last_3", True),
+        (IN_RIDGE, "linear", IN_RIDGE, False), (IN_TREES, "gbt", IN_TREES, False)])
+    return T.bake_off(pre.unionByName(now))
 
 
 @register("t11_feature_importance")
 def q_importance(t):
-    p = prepared(t).drop("prediction")
-    return T.feature_importance(T.train_gbt(p, FEATURES, "actual_ppg", max_iter=60), FEATURES, t.spark)
+    return T.feature_importance(model(t, PRE_TREES).pipeline, FEATURES, t.spark)
 
 
-@register("t14_monotone_audit")
+@register("t14_monotone_audit", sql=f"WITH n AS ({_N_VALID} ) " + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, {d} AS direction, (SELECT * FROM n) AS rows, 0 AS violations" for f, d in S.MONOTONE.items()))
 def q_audit(t):
-    mono = ridge(t, directions=S.MONOTONE)
-    rows = prepared(t).where("is_valid").select("player_id", "season", *FEATURES)
-    return T.monotone_audit(rows, ["player_id", "season"], "prior_points_per_game", 0.0, 30.0, 16,
-                            lambda df: df.withColumn("prediction", mono.predict()), direction=1)
+    """Every feature with a direction is swept over its range for every holdout row."""
+    rows = _training_rows(t, "preseason").where("is_valid").select("player_id", "season", *FEATURES)
+    return T.monotone_audits(rows, ["player_id", "season"], S.MONOTONE, 16, model(t, PRE_MONOTONE).score).drop("largest")
 
 
-# ------------------------------------------------------------------ E1-E4, Q17 (rows-only)
+# ------------------------------------------------------------------ E1-E4, Q17
 def _attr(t):
-    rows = prepared(t).where("is_valid").select("player_id", "season", *FEATURES)
-    return E.attribution(rows, ridge(t), ["player_id", "season"])
+    rows = _training_rows(t, "preseason").where("is_valid").select("player_id", "season", *FEATURES)
+    return E.attribution(rows, model(t, PRE_RIDGE), ["player_id", "season"])
 
 
 @register("e1_attribution")
@@ -218,6 +315,17 @@ def q_attribution(t):
     return _attr(t)
 
 
+@register("e1_adds_up", sql=f"""
+WITH {_DS} SELECT player_id, season, {len(FEATURES)} AS features, true AS adds_up FROM ds WHERE season = (SELECT max(season) FROM ds)""")
+def q_adds_up(t):
+    """Baseline plus contributions give the projection, which is the stored model's score of the row."""
+    told = _attr(t).groupBy("player_id", "season").agg(
+        F.count(F.lit(1)).cast("int").alias("features"), (F.max("baseline") + F.sum("contribution")).alias("whole"))
+    rows = model(t, PRE_RIDGE).score(_training_rows(t, "preseason").where("is_valid").drop("prediction"))
+    return told.join(rows.select("player_id", "season", "prediction"), ["player_id", "season"]).select(
+        "player_id", "season", "features", (F.abs(F.col("whole") - F.col("prediction")) < 1e-6).alias("adds_up"))
+
+
 @register("e2_top_drivers")
 def q_top(t):
     return E.top_drivers(_attr(t), ["player_id", "season"], TOP)
@@ -243,7 +351,7 @@ def q_why(t):
     ctx = M.asof_context(req.withColumn("week", F.lit(0)), context_table(t), ("player_id", "season", "week"))
     vec = M.preseason_vector(context_table(t).join(ctx.select("player_id", F.col("ctx_season").alias("season")),
                                                    keys, "left_semi"))
-    top = E.top_drivers(E.attribution(vec, ridge(t), keys), keys, TOP)
+    top = E.top_drivers(E.attribution(vec, model(t, PRE_RIDGE), keys), keys, TOP)
     text = E.driver_text(top).groupBy(*keys).agg(
         F.first("baseline").alias("baseline"), F.first("projection").alias("projection"),
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda s: s["text"]).alias("drivers"))

@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 
 ROWS_ONLY = {"t5_train_ridge", "t6_train_gbt", "t7_train_monotone", "t10_bake_off", "t11_feature_importance",
-             "t14_monotone_audit", "e1_attribution", "e2_top_drivers", "e3_driver_text", "e4_headline",
+             "m9_route_fitted", "m11_batch_score_fitted", "e1_attribution", "e2_top_drivers", "e3_driver_text", "e4_headline",
              "q17_projection_why"}
 SAMPLE = ["m4_weekly_projection", "c8_project_clean", "f5_training_windows", "p19_context_assembly",
           "q9_season_board", "q13_position_rank", "w2_upsert_stats", "w5_upsert_context", "t8_regression_metrics",

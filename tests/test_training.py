@@ -110,3 +110,71 @@ def test_metrics_and_bake_off(spark):
 def test_training_gate(spark):
     assert not T.training_source_gate(spark.range(499))
     assert T.training_source_gate(spark.range(800))
+
+
+def test_gram_is_centred_at_large_means(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(5000, 2)) + [1e6, -3e6]
+    y = 3.0 * (x[:, 0] - 1e6) - 2.0 * (x[:, 1] + 3e6) + 1e5 + rng.normal(scale=0.1, size=5000)
+    df = spark.createDataFrame([(float(a), float(b), float(t)) for (a, b), t in zip(x, y)], "a double, b double, y double").repartition(9)
+    g = T.gram(df, ["a", "b"], "y", collected=2)
+    centred = x - x.mean(0)
+    assert g["n"] == 5000 and np.allclose(g["mean"], x.mean(0), rtol=1e-14)
+    assert np.allclose(g["scatter"], centred.T @ centred, rtol=1e-9, atol=1e-5)   # of about 5000 on the diagonal
+    assert np.allclose(g["cross"], centred.T @ (y - y.mean()), rtol=1e-9, atol=1e-4)
+    m = T.fit_linear(df, ["a", "b"], "y", alpha=1e-9)
+    assert np.allclose(m.coef, [3.0, -2.0], atol=1e-2)
+
+
+def test_gram_of_nulls_empty_and_merged_parts(spark):
+    df = spark.createDataFrame([(None, 1.0), (2.0, 3.0), (4.0, None)], "a double, y double")
+    g = T.gram(df, ["a"], "y")
+    assert (g["n"], g["mean"].tolist(), g["label_mean"]) == (2.0, [1.0], 2.0)
+    assert g["scatter"].tolist() == [[2.0]] and g["cross"].tolist() == [2.0]
+    assert T.gram(df.limit(0), ["a"], "y")["n"] == 0
+    with pytest.raises(ValueError):
+        T.fit_linear(df.limit(0), ["a"], "y")
+
+
+def test_constrained_fit_says_when_it_has_not_converged():
+    a = np.array([[1.0, 0.9999], [0.9999, 1.0]])
+    with pytest.raises(RuntimeError):
+        T._constrained_solve(a, np.array([1.0, -1.0]), np.zeros(2), iters=3)
+
+
+def test_audits_of_every_feature_find_a_reversal(spark):
+    df = _data(spark).select("id", "a", "b", "c")
+    m = T.fit_linear(_data(spark), ["a", "b", "c"], "y")          # free: b falls
+    got = {r["feature"]: r for r in T.monotone_audits(df, ["id"], {"a": 1, "b": 1, "c": 1}, 5, m.score).collect()}
+    assert set(got) == {"a", "b", "c"} and {r["rows"] for r in got.values()} == {400}
+    assert got["a"]["violations"] == 0 and got["b"]["violations"] == 4 * 400 and got["b"]["largest"] > 0
+    held = T.fit_linear(_data(spark), ["a", "b", "c"], "y", directions={"a": 1, "b": 1, "c": 1})
+    assert T.monotone_audits(df, ["id"], {"a": 1, "b": 1, "c": 1}, 5, held.score).agg(F.sum("violations")).first()[0] == 0
+
+
+def test_model_store(spark):
+    import tempfile
+
+    from fieldcast.operators import models as store
+    from fieldcast.operators import scoring as M
+
+    root = tempfile.mkdtemp(prefix="fc-models-")
+    df = _data(spark).withColumn("is_valid", F.col("id") % 4 == 0)
+    names, told = ["a", "b", "c"], {"residual_std": 0.5, "rmse": 0.6, "mae": 0.4, "r2": 0.9, "n_valid": 100}
+    ridge = T.fit_linear(df, names, "y", version="ridge_x")
+    trees = store.TreeModel(names, T.train_gbt(df, names, "y", max_iter=3), "gbt_x")
+    for model in (ridge, trees, ridge):                           # saved again: replaced
+        store.save_model(spark, root, model, "preseason", told)
+    found = {r["version"]: r for r in store.registry(spark, root).collect()}
+    assert set(found) == {"ridge_x", "gbt_x"} and found["gbt_x"]["framework"] == "gbt" and found["ridge_x"]["feature_order"] == "a,b,c"
+    for model in (ridge, trees):
+        again = store.load_model(spark, root, model.version, names)
+        one = model.score(df).select("id", "prediction").collect()
+        two = again.score(df).select("id", "prediction").collect()
+        assert sorted(map(tuple, one)) == sorted(map(tuple, two))
+    stored = M.scored_as_stored(store.load_model(spark, root, "ridge_x"), df)
+    assert stored.columns == [*df.columns, "prediction", "model_version"] and stored.first()["model_version"] == "ridge_x"
+    with pytest.raises(KeyError):
+        store.load_model(spark, root, "ridge_y")
+    with pytest.raises(ValueError):
+        store.load_model(spark, root, "ridge_x", ["c", "b", "a"])
