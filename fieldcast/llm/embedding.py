@@ -44,6 +44,10 @@ SLACK = 1e-6
 _ROWS_AT_ONCE, _PAIRS_AT_ONCE = 1024, 1 << 16
 
 
+#: A class with more than this part of all rows is hot.
+HOT = 1000
+
+
 def rotation(dims: int) -> np.ndarray:
     """A fixed random orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(dims).standard_normal((dims, dims)))
@@ -60,15 +64,40 @@ def share(dims: int, part: tuple[int, int], budget: float) -> float:
     return budget * (part[1] - part[0]) / dims + SLACK
 
 
+def turned(given: np.ndarray, turns: dict[int, np.ndarray]) -> np.ndarray:
+    """Rotated unit vectors; ``turns`` keeps the rotations by dimension."""
+    dims = given.shape[1]
+    if dims not in turns:
+        turns[dims] = rotation(dims)
+    return given / np.sqrt((given * given).sum(1, keepdims=True)) @ turns[dims]
+
+
+def at_least(a: np.ndarray, b: np.ndarray, min_cosine: float) -> np.ndarray:
+    """Whether the cosine of each pair of rows, as the nearest double, reaches the threshold.
+
+    Taken of the vectors as they came, since a rotation's rounding would move pairs
+    on the threshold; pairs next to it are computed again with longer numbers.
+    """
+    def cosine(a, b):
+        return (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
+
+    found = cosine(a, b)
+    close = np.flatnonzero(np.abs(found - min_cosine) < 1e-12)
+    found[close] = cosine(a[close].astype(np.longdouble), b[close].astype(np.longdouble)).astype(np.float64)
+    return found >= min_cosine
+
+
 def _prepared(vectors: DataFrame, min_cosine: float, blocks: int, grid_dims: int) -> DataFrame:
-    """(vec_id, class, keys, probes, unit): class is null for vectors that link with nothing."""
+    """(vec_id, class, keys, probes, given): class is null for vectors that link with nothing.
+
+    ``given`` is the vector as it came, but for a power of two that brings it near 1."""
     budget = 2 - 2 * min_cosine
     bits = 38 // grid_dims
     forward = [o for o in itertools.product((-1, 0, 1), repeat=grid_dims) if o > (0,) * grid_dims]
     shift = np.array([bits * k for k in range(grid_dims)], np.int64)
     schema = T.StructType([vectors.schema["vec_id"], T.StructField("class", T.BinaryType()),
                            T.StructField("keys", T.ArrayType(T.LongType())),
-                           T.StructField("probes", T.ArrayType(T.LongType())), T.StructField("unit", T.BinaryType())])
+                           T.StructField("probes", T.ArrayType(T.LongType())), T.StructField("given", T.BinaryType())])
 
     def place(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         dims = units.shape[1]
@@ -95,14 +124,10 @@ def _prepared(vectors: DataFrame, min_cosine: float, blocks: int, grid_dims: int
                 mine = [i for i in good if len(raw[i]) == dims]
                 x = np.stack([raw[i] for i in mine])
                 names = [hashlib.blake2b((v + 0.0).tobytes(), digest_size=16).digest() for v in x]
-                x /= np.abs(x).max(1, keepdims=True)
-                x /= np.sqrt((x * x).sum(1, keepdims=True))
-                if dims not in turns:
-                    turns[dims] = rotation(dims)
-                units = x @ turns[dims]
-                keys, probes = place(units)
+                given = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+                keys, probes = place(turned(given, turns))
                 for k, i in enumerate(mine):
-                    out[i] = names[k], keys[k].tolist(), probes[k].tolist(), units[k].tobytes()
+                    out[i] = names[k], keys[k].tolist(), probes[k].tolist(), given[k].tobytes()
             kinds = [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *[pa.array([r and r[k] for r in out], t) for k, t in enumerate(kinds)]], schema.names)
@@ -113,6 +138,7 @@ def _prepared(vectors: DataFrame, min_cosine: float, blocks: int, grid_dims: int
 def _joined(laid: DataFrame, min_cosine: float, blocks: int) -> DataFrame:
     """Spanning-forest links (u, v) of the pairs found, and (u, null, n): n more links of class u."""
     budget = 2 - 2 * min_cosine
+    turns: dict[int, np.ndarray] = {}
 
     class Cell:
         """The indexed rows of a block of a cell, and the links counted for them."""
@@ -122,9 +148,9 @@ def _joined(laid: DataFrame, min_cosine: float, blocks: int) -> DataFrame:
             self.parts = subspaces(self.dims, blocks)
             self.names: list[bytes] = []
             self.weight, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
-            self.units = np.empty((0, self.dims))
+            self.units, self.given = np.empty((0, self.dims)), np.empty((0, self.dims))
 
-    def pairs(cell: Cell, units: np.ndarray, upto: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(cell: Cell, units: np.ndarray, given: np.ndarray, upto: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Links between rows and the cell's; ``upto``: only with rows before that place."""
         lo, hi = cell.parts[cell.b]
         limit = share(cell.dims, (lo, hi), budget)
@@ -139,26 +165,27 @@ def _joined(laid: DataFrame, min_cosine: float, blocks: int) -> DataFrame:
             apart = (units[p] - index[i]) ** 2
             within = [apart[:, x:y].sum(1) <= share(cell.dims, (x, y), budget) for x, y in cell.parts[:cell.b + 1]]
             first = within[-1] & ~np.logical_or.reduce([np.zeros(len(p), bool), *within[:-1]])
-            good = first & ((units[p] * index[i]).sum(1) >= min_cosine)
+            p, i = p[first], i[first]
+            good = at_least(given[p], cell.given[i], min_cosine)
             yield p[good], i[good]
 
     def batch(names: list[bytes], others: list[bytes | None], n: list[int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(others, pa.binary()),
                                            pa.array(n, pa.int64())], ["u", "v", "n"])
 
-    def links(cell: Cell, names: list[bytes], weight: np.ndarray, units: np.ndarray, indexed: bool):
-        base = len(cell.names)
+    def links(cell: Cell, names: list[bytes], weight: np.ndarray, given: np.ndarray, indexed: bool):
+        base, units = len(cell.names), turned(given, turns)
         if indexed:
             cell.names += names
             cell.weight = np.concatenate([cell.weight, weight])
-            cell.units = np.concatenate([cell.units, units])
+            cell.units, cell.given = np.concatenate([cell.units, units]), np.concatenate([cell.given, given])
             cell.n = np.concatenate([cell.n, np.zeros(len(names), np.int64)])
         for at in range(0, len(names), _ROWS_AT_ONCE):
             some = slice(at, at + _ROWS_AT_ONCE)
             mine = names[some]
             upto = base + at + np.arange(len(mine)) if indexed else None
             n = np.zeros(len(mine), np.int64)
-            for p, i in pairs(cell, units[some], upto):
+            for p, i in pairs(cell, units[some], given[some], upto):
                 if len(p):
                     np.add.at(n, p, cell.weight[i])
                     np.add.at(cell.n, i, weight[some][p])
@@ -192,7 +219,7 @@ def _joined(laid: DataFrame, min_cosine: float, blocks: int) -> DataFrame:
                 yield from links(cell, names[a:z], weight[a:z], rows, role[a] == 0)
         yield from closed(cell)
 
-    return (laid.select("key", "block", "role", "weight", "class", "unit")
+    return (laid.select("key", "block", "role", "weight", "class", "given")
             .mapInArrow(run, "u binary, v binary, n long"))
 
 
@@ -206,9 +233,9 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = 0.9, id_col: str = "
     rows = stored(_prepared(src, min_cosine, blocks, grid_dims), "embedding-rows")
     classes = stored(rows.where("class is not null").groupBy("class")
                      .agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"), F.first("keys").alias("keys"),
-                          F.first("probes").alias("probes"), F.first("unit").alias("unit")), "embedding-classes")
+                          F.first("probes").alias("probes"), F.first("given").alias("given")), "embedding-classes")
     member = lambda role, keys: classes.select(
-        F.explode(keys).alias("key"), F.lit(role).alias("role"), "weight", "class", "unit",
+        F.explode(keys).alias("key"), F.lit(role).alias("role"), "weight", "class", "given",
         F.xxhash64("class").alias("spread"))
     # Unit vectors: at most (2 / width + 3) ** grid_dims cells of a subspace can hold one.
     found = stored(_joined(in_blocks(member(0, "keys").union(member(1, "probes")), block_rows, few_keys=grid_dims <= 2),
@@ -216,9 +243,14 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = 0.9, id_col: str = "
     named = smallest_of_component(classes.select("class", "low"), found.where("v is not null").select("u", "v"),
                                   "class", "low")
     counts = found.where("v is null").groupBy(F.col("u").alias("class")).agg(F.sum("n").alias("n"))
-    told = (classes.select("class", "weight").join(counts, "class", "left").join(named, "class")
-            .select("class", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component"))
-    return (rows.select("vec_id", "class").join(told, "class", "left")
-            .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                    F.coalesce("component", "vec_id").alias("component_id"))
+    told = stored(classes.select("class", "weight").join(counts, "class", "left").join(named, "class").select(
+        "class", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"),
+        F.col("component").alias("component_id")), "embedding-told")
+    # Rows of hot classes stay where they are and meet a broadcast of fewer than HOT rows; the others are shuffled.
+    hot = F.col("weight") > (classes.agg(F.sum("weight")).first()[0] or 0) // HOT
+    few, rest = F.broadcast(told.where(hot).drop("weight")), told.where(~hot).drop("weight")
+    linked = rows.where("class is not null").select("vec_id", "class")
+    cold = linked.join(few.select("class"), "class", "left_anti")
+    alone = rows.where("class is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return (linked.join(few, "class").unionByName(cold.join(rest, "class")).drop("class").unionByName(alone)
             .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))))

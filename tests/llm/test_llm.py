@@ -114,6 +114,40 @@ def test_embedding_against_all_pairs(spark):
     assert embedding.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_embedding_pairs_on_the_threshold(spark):
+    """Cosines of exactly 0.9 by whole numbers (9 of 10 common ones), huge and tiny vectors, and pairs just below."""
+    rng = np.random.default_rng(8)
+    rows, n = [], 50
+    for k in range(n):
+        a, b = np.zeros(64), np.zeros(64)
+        at = rng.permutation(64)[:11]
+        a[at[:10]], b[at[1:]] = 1.0, 1.0
+        signs = rng.choice([-1.0, 1.0], 64)
+        scale = [1.0, 3.0, 1e200, 1e-200][k % 4]
+        rows += [(2 * k, (a * signs * scale).tolist()), (2 * k + 1, (b * signs * scale).tolist())]
+    below = np.zeros(64)
+    below[0], below[1] = 0.9 - 1e-9, np.sqrt(1 - (0.9 - 1e-9) ** 2)
+    rows += [(1000, np.eye(64)[0].tolist()), (1001, below.tolist())]
+    got = {r["vec_id"]: r for r in embedding.near_duplicates(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[2 * k + 1]["component_id"] for k in range(n)] == [2 * k for k in range(n)]
+    assert [got[k]["n_links"] for k in range(2 * n)] == [1] * (2 * n)
+    assert got[1000]["n_links"] == got[1001]["n_links"] == 0
+
+
+def test_embedding_query_against_all_pairs(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids = np.array([r["vec_id"] for r in rows])
+    order = np.argsort(ids)
+    x = np.array([rows[i]["embedding"] for i in order], np.float64)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    roots = _components(len(x), [(i, j) for i in range(len(x)) for j in np.flatnonzero(near[i, :i])])
+    got = {r["vec_id"]: r for r in queries.op2_embedding(spark, SF).collect()}
+    for k, i in enumerate(ids[order]):
+        assert (got[i]["n_links"], got[i]["component_id"]) == (near[k].sum() - 1, ids[order][roots[k]])
+
+
 def test_license_families(spark):
     texts = ["Foo bar.\nLicensed under the Apache License, Version 2.0.\nbaz", "Released under the MIT License.", None, "",
              "The license was lost.", "This work is licensed under the GNU General Public License, version 3.\nAll rights reserved.",
