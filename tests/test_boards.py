@@ -56,3 +56,12 @@ def test_latest_per_key_breaks_ties_by_id(spark):
 def test_position_filter():
     assert B.position_filter("flex") == ("WR", "RB", "TE")
     assert B.position_filter("qb") == ("QB",)
+
+
+def test_search_meets_every_condition(spark):
+    rows = [(1, "Ann%", "KC", "WR"), (2, "Bob", "KC", "WR"), (3, "anna", "NE", "WR"), (4, None, "KC", "QB")]
+    df = spark.createDataFrame(rows, "player_id int, name string, team string, position string")
+    found = lambda **k: [(r["player_id"], r["total"]) for r in B.search_players(df, **k).collect()]
+    assert found(position="wr", team="kc") == [(1, 2), (2, 2)]
+    assert found(name="ANN") == [(1, 2), (3, 2)] and found(name="a_n") == [(1, 2), (3, 2)]
+    assert found(limit=1, offset=1) == [(1, 4)] and found(team="zz") == []
