@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,9 +104,20 @@ def shaped_weekly(unique: DataFrame) -> DataFrame:
     return project_clean(df)
 
 
-def clean_weekly(raw: DataFrame) -> DataFrame:
-    """C1-C8 composed: the weekly feed in the relational fact's shape."""
-    return shaped_weekly(dedupe_fullest(joinable_weekly(raw)))
+def clean_weekly(raw: DataFrame, counts: dict | None = None) -> DataFrame:
+    """C1-C8 composed: the weekly feed in the relational fact's shape.
+
+    With `counts` (an empty dict) every stage counts its rows while the result
+    is computed; after an action `observed_counts(counts)` has them.
+    """
+    def counted(df: DataFrame, stage: str) -> DataFrame:
+        if counts is None:
+            return df
+        df, counts[stage] = observed(df, stage)
+        return df
+
+    joinable = counted(joinable_weekly(counted(raw, "raw")), "drop_unjoinable")
+    return counted(shaped_weekly(counted(dedupe_fullest(joinable), "dedupe_fullest")), "clean_weekly")
 
 
 def clean_rosters(rosters: DataFrame, order_col: str = "season") -> DataFrame:
@@ -134,6 +147,39 @@ def observed(df: DataFrame, name: str) -> tuple[DataFrame, object]:
     return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
 
 
+def observed_counts(counts: Mapping[str, object]) -> dict[str, int]:
+    """Rows by stage of a `clean_weekly(raw, counts)` that an action has run.
+
+    For the log of a run: a map task that is computed again after an executor
+    was lost is counted again. `stage_counts` is exact.
+    """
+    return {stage: seen.get["rows"] for stage, seen in counts.items()}
+
+
+def stage_counts(raw: DataFrame, keys=("player_id", "season", "week"), also=("position", "recent_team")) -> DataFrame:
+    """(stage, rows_in, rows_out, dropped) of every cleaning stage, exact, in one pass over `raw`.
+
+    What a stage keeps follows from the rows by key (C1 decides by row, C4 leaves
+    one a key), so one aggregate by key tells all; it combines map-side.
+    """
+    needed = [*keys, *[c for c in also if c in raw.columns]]
+    whole = reduce(and_, [_present(raw, c) for c in needed])
+    by_key = raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(whole).alias("ok"))
+    total = by_key.agg(*[F.coalesce(c, F.lit(0)).alias(n) for n, c in (
+        ("raw", F.sum("n")), ("joinable", F.sum("ok")), ("unique", F.count_if(F.col("ok") > 0)))])
+    steps = (("drop_unjoinable", "raw", "joinable"), ("clean_numbers", "joinable", "joinable"),
+             ("dedupe_fullest", "joinable", "unique"), ("shape", "unique", "unique"), ("clean_weekly", "raw", "unique"))
+    rows = F.array(*[F.struct(F.lit(stage).alias("stage"), F.col(a).alias("rows_in"), F.col(b).alias("rows_out"),
+                              (F.col(a) - F.col(b)).alias("dropped")) for stage, a, b in steps])
+    return total.select(F.inline(rows))
+
+
+def _present(df: DataFrame, c: str) -> Column:
+    """Neither null nor NaN, as `dropna` has it."""
+    there = F.col(c).isNotNull()
+    return there & ~F.isnan(c) if df.schema[c].dataType.typeName() in ("double", "float") else there
+
+
 def row_accounting(stage: str, rows_in: DataFrame, rows_out: DataFrame) -> DataFrame:
     """One row (stage, rows_in, rows_out, dropped); both counts are
     scalar subqueries so the result stays a lazy plan."""

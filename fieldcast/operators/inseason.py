@@ -57,24 +57,43 @@ def defence_rank(stats: DataFrame, season: int, week: int,
         Window.orderBy(F.col("pts_allowed").desc())).alias("opponent_rank"))
 
 
+def schedule_sides(schedule: DataFrame) -> DataFrame:
+    """A schedule (season, week, home_team, away_team) as one row a team and game: (season, week, team, opponent, is_home)."""
+    sides = F.array(F.struct(F.col("home_team").alias("team"), F.col("away_team").alias("opponent"), F.lit(1).alias("is_home")),
+                    F.struct(F.col("away_team").alias("team"), F.col("home_team").alias("opponent"), F.lit(0).alias("is_home")))
+    return schedule.select("season", "week", F.inline(sides)).where("team is not null")
+
+
 def upcoming_features(players: DataFrame, stats: DataFrame, season: int, week: int,
                       positions=S.FLEX_POSITIONS, max_week: int | None = S.REGULAR_SEASON_WEEKS,
-                      opponent_source: str = "own_team") -> DataFrame:
+                      opponent_source: str = "own_team", schedule: DataFrame | None = None) -> DataFrame:
     """one fs1 feature row per eligible player for the upcoming week.
 
     Inner join to form (so rookies / week-1 rows are absent, as in the
     reference), left join to the team-level defence rank (<= team count rows,
     broadcast). `opponent_source="own_team"` reproduces the reference's join of
-    the defence rank on the player's own team.
+    the defence rank on the player's own team. "schedule" takes opponent and
+    is_home from the `schedule` (D4, D16) and adds the column `opponent`; a
+    player whose team has no game that week has no row, and one whose team has
+    two (a schedule that is wrong) keeps the first by opponent, home first.
     """
-    if opponent_source != "own_team":
-        raise ValueError("only opponent_source='own_team' exists for the weekly batch")
+    if opponent_source not in ("own_team", "schedule"):
+        raise ValueError(f"opponent_source {opponent_source!r} is neither 'own_team' nor 'schedule'")
+    if (opponent_source == "schedule") != (schedule is not None):
+        raise ValueError("opponent_source='schedule' and a schedule go together")
     form = rolling_form(recency_rank(stats, season, week, max_week))
     rank = defence_rank(stats, season, week, max_week)
     p = players.where(F.col("position").isin(*positions)).select(
         "player_id", "name", "position", "team")
-    joined = p.join(form.where(F.col("games_played") >= 1), "player_id") \
-        .join(F.broadcast(rank), p["team"] == rank["opponent"], "left")
+    joined = p.join(form.where(F.col("games_played") >= 1), "player_id")
+    if schedule is None:
+        joined = joined.join(F.broadcast(rank), p["team"] == rank["opponent"], "left").drop("opponent") \
+            .withColumn("is_home", F.lit(1))
+    else:
+        games = schedule_sides(schedule.where((F.col("season") == season) & (F.col("week") == week)))
+        game = games.groupBy("team").agg(F.min(F.struct("opponent", -F.col("is_home"))).alias("_g")) \
+            .select("team", F.col("_g.opponent").alias("opponent"), (-F.col("_g.col2")).alias("is_home"))
+        joined = joined.join(game, "team").join(rank, "opponent", "left")
     feats = [F.coalesce(F.col(c), F.lit(0.0)).cast("double").alias(c) for c in (
         "targets_last_3", "receptions_last_3", "yards_last_3", "touchdowns_last_3",
         "fantasy_points_last_3", "fantasy_points_last_1", "season_avg_points")]
@@ -82,8 +101,7 @@ def upcoming_features(players: DataFrame, stats: DataFrame, season: int, week: i
         "player_id", "name", "position", "team", *feats,
         F.col("games_played").cast("int").alias("games_played"),
         clip(F.coalesce(F.col("opponent_rank"), F.lit(16)), 1, 32).cast("int").alias("opponent_rank"),
-        F.lit(1).alias("is_home"),
-    ).orderBy(F.col("season_avg_points").desc(), F.col("player_id"))
+        "is_home", *(["opponent"] if schedule is not None else []))
 
 
 def training_windows(stats: DataFrame, players: DataFrame) -> DataFrame:
@@ -108,12 +126,18 @@ def training_windows(stats: DataFrame, players: DataFrame) -> DataFrame:
     return out.where(F.col("games_played") >= 1)
 
 
-def season_defence_rank(frame: DataFrame, target: str = "target") -> DataFrame:
+def season_defence_rank(frame: DataFrame, target: str = "target", to_date: bool = False) -> DataFrame:
     """per-season rank of opponents by mean target, method='first'.
 
     Ties break by opponent name (the group order). The ranking table is
-    seasons x teams rows, broadcast back onto the frame.
+    seasons x teams rows, broadcast back onto the frame. With `to_date` a row
+    sees the rank by earlier weeks of its season alone (D18); 16 before the first.
     """
+    if to_date:
+        weekly = frame.groupBy("season", "week", "opponent").agg(F.sum(target).alias("pts"), F.count(target).alias("n"))
+        ranks = ranks_to_date(weekly, frame.select("season", "week").distinct())
+        out = frame.join(ranks, ["season", "week", "opponent"], "left")
+        return out.withColumn("opponent_rank", clip(F.coalesce("opponent_rank", F.lit(16)), 1, 32).cast("int"))
     allowed = frame.groupBy("season", "opponent").agg(round_half_even(F.avg(target), 9).alias("pts_allowed"))
     w = Window.partitionBy("season").orderBy(F.col("pts_allowed").desc(), F.col("opponent"))
     ranks = allowed.select("season", "opponent", F.row_number().over(w).alias("opp_rank_raw"))
@@ -123,11 +147,11 @@ def season_defence_rank(frame: DataFrame, target: str = "target") -> DataFrame:
 
 
 def finalise_training(frame: DataFrame, positions=S.FLEX_POSITIONS,
-                      feature_order=S.FEATURE_ORDER) -> DataFrame:
-    """position filter, season rank, numeric coercion, contract check, target."""
+                      feature_order=S.FEATURE_ORDER, rank_to_date: bool = False) -> DataFrame:
+    """position filter, season rank (`rank_to_date`: D18), numeric coercion, contract check, target."""
     if positions:
         frame = frame.where(F.upper(F.col("position")).isin(*[p.upper() for p in positions]))
-    frame = season_defence_rank(frame)
+    frame = season_defence_rank(frame, to_date=rank_to_date)
     frame = frame.withColumn("is_home", F.col("is_home").cast("int")) \
         .withColumn("games_played", F.coalesce(F.col("games_played"), F.lit(0)).cast("int"))
     missing = [c for c in feature_order if c not in frame.columns]
@@ -144,22 +168,35 @@ def finalise_training(frame: DataFrame, positions=S.FLEX_POSITIONS,
     return frame.select(*cols).where(F.col("fantasy_points").isNotNull())
 
 
+def ranks_to_date(weekly: DataFrame, periods: DataFrame) -> DataFrame:
+    """(season, week, opponent, opponent_rank): opponents by average points allowed in earlier weeks of the season.
+
+    `weekly` has (season, week, opponent, pts, n), sums and counts; `periods` the
+    asked (season, week), once each. Sums run over an opponent's weeks, so no
+    week meets all earlier ones; asked weeks lie among them and sort before the
+    games of their week. Rows are bounded by teams x weeks of a season.
+    """
+    asked = periods.join(weekly.select("season", "opponent").distinct(), "season").select(
+        "season", "week", "opponent", F.lit(0.0).alias("pts"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("_game"))
+    both = asked.unionByName(weekly.select("season", "week", "opponent", "pts", "n", F.lit(1).alias("_game")))
+    before = Window.partitionBy("season", "opponent").orderBy("week", "_game").rowsBetween(Window.unboundedPreceding, -1)
+    sums = both.withColumns({"_pts": F.sum("pts").over(before), "_n": F.sum("n").over(before)})
+    allowed = sums.where("_game = 0 and _n > 0").withColumn("_allowed", round_half_even(F.col("_pts") / F.col("_n"), 9))
+    w = Window.partitionBy("season", "week").orderBy(F.col("_allowed").desc(), "opponent")
+    return allowed.select("season", "week", "opponent", F.row_number().over(w).alias("opponent_rank"))
+
+
 def _with_opponent_rank(requests: DataFrame, stats: DataFrame) -> DataFrame:
     """Requests with the 1-based rank of their opponent by average points allowed
     before the week; one row out for each row in.
 
-    Stats are pre-aggregated to (season, week, opponent) sums before meeting
-    the distinct request periods, so the inequality join runs on a tiny table.
+    Stats are pre-aggregated to (season, week, opponent) sums; `ranks_to_date`
+    ranks them for the distinct request periods.
     """
     weekly = stats.groupBy("season", "week", "opponent").agg(
-        F.sum("fantasy_points").alias("pts"), F.count(F.lit(1)).alias("n"))
-    periods = requests.select("season", F.col("week").alias("req_week")).distinct()
-    allowed = periods.join(weekly, "season").where(F.col("week") < F.col("req_week")) \
-        .groupBy("season", "req_week", "opponent") \
-        .agg(round_half_even(F.sum("pts") / F.sum("n"), 9).alias("pts_allowed"))
-    w = Window.partitionBy("season", "req_week").orderBy(F.col("pts_allowed").desc(), "opponent")
-    ranks = allowed.select(F.col("season").alias("_s"), F.col("req_week").alias("_w"), F.col("opponent").alias("_o"),
-                           F.row_number().over(w).alias("_rk"))
+        F.sum("fantasy_points").alias("pts"), F.count("fantasy_points").alias("n"))
+    ranks = ranks_to_date(weekly, requests.select("season", "week").distinct()) \
+        .toDF("_s", "_w", "_o", "_rk")
     opp = F.upper(requests["opponent"])
     out = requests.join(ranks, (requests["season"] == F.col("_s")) & (requests["week"] == F.col("_w"))
                         & (opp == F.col("_o")), "left")

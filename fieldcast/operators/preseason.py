@@ -20,6 +20,7 @@ from fieldcast import schemas as S
 from fieldcast.functions.columns import (
     age_factor, clip, round_half_even, safe_ratio, season_weight,
 )
+from fieldcast.operators.dimensions import as_of
 
 MAX_WEEK = S.REGULAR_SEASON_WEEKS
 Targets = "list[int] | DataFrame"   # target seasons: a literal list (preferred) or a frame
@@ -408,15 +409,28 @@ def build_situation(ps: DataFrame, players: DataFrame, targets: Targets,
 
 
 # ------------------------------------------------------------------ P18-P21
-def eligible_players(ps: DataFrame, players: DataFrame, targets: Targets) -> DataFrame:
-    """Played in S or S-1, or rookie_season = S (one row per player, S)."""
+def eligible_players(ps: DataFrame, players: DataFrame, targets: Targets,
+                     rosters: DataFrame | None = None) -> DataFrame:
+    """Played in S or S-1, or rookie_season = S (one row per player, S).
+
+    Team, position and age are today's (D11) unless `rosters` has versions of
+    them (`dimensions.roster_versions`): then they are those known in S, and
+    today's only for a player without a roster row up to S.
+    """
     played = ps.select("player_id", "season")
     cand = _keep_targets(played.select("player_id", F.explode(
         F.array(F.col("season"), F.col("season") + 1)).alias("season")), targets)
     rookies = _keep_targets(players.select("player_id", F.col("rookie_season").alias("season")), targets)
     keys = cand.unionByName(rookies).distinct()
-    return keys.join(players.select("player_id", "external_id", "team", "position", "age",
-                                    "draft_round", "draft_pick", "rookie_season"), "player_id")
+    now = keys.join(players.select("player_id", "external_id", "team", "position", "age",
+                                   "draft_round", "draft_pick", "rookie_season"), "player_id")
+    if rosters is None:
+        return now
+    known = rosters.withColumnsRenamed({"team": "_team", "position": "_position", "born": "_born"})
+    return as_of(now, known, ["external_id"]).withColumns({
+        "team": F.coalesce("_team", "team"), "position": F.coalesce("_position", "position"),
+        "age": F.coalesce(F.col("season") - F.col("_born"), "age").cast(now.schema["age"].dataType),
+    }).drop("_team", "_position", "_born")
 
 
 def snap_feed(snaps: DataFrame, crosswalk: DataFrame, targets: Targets) -> DataFrame:
@@ -439,7 +453,8 @@ def context_assembly(eligible: DataFrame, production: DataFrame, situation: Data
                      snaps: DataFrame | None = None, depth: DataFrame | None = None,
                      bios: DataFrame | None = None) -> DataFrame:
     """Left joins onto the eligible roster. Player-level frames share the
-    (player_id, season) key; team-level situation is broadcast."""
+    (player_id, season) key; team-level situation is broadcast. `depth` with a
+    validity range (`readers.depth_versions`) gives the rank known before each season."""
     df = eligible.join(production.drop("external_id", "current_team"), ["player_id", "season"], "left") \
         .join(F.broadcast(situation), ["team", "season"], "left") \
         .join(career, ["player_id", "season"], "left") \
@@ -449,7 +464,9 @@ def context_assembly(eligible: DataFrame, production: DataFrame, situation: Data
         df = df.join(snaps, ["external_id", "season"], "left")
     else:
         df = df.withColumn("prior_snap_share", F.lit(None).cast("double"))
-    if depth is not None:
+    if depth is not None and "valid_from" in depth.columns:
+        df = as_of(df, depth, ["external_id"])
+    elif depth is not None:
         on = ["external_id", "season"] if "season" in depth.columns else ["external_id"]
         df = df.join(depth.select(*on, "depth_chart_rank"), on, "left")
     else:
@@ -501,12 +518,13 @@ def build_context(stats: DataFrame, players: DataFrame, targets: Targets,
                   snaps: DataFrame | None = None, bios: DataFrame | None = None,
                   depth: DataFrame | None = None, recency_base: int = 0,
                   team_of_record: str = "game", volumes: DataFrame | None = None,
-                  ps: DataFrame | None = None) -> DataFrame:
+                  ps: DataFrame | None = None, rosters: DataFrame | None = None) -> DataFrame:
     """P1-P21 for every target season in one plan: the player_context table.
 
     The fact is aggregated once to player-seasons; every feature derives from
     that frame (its shuffle is reused across the branches). Pass `ps` (the
-    stored `player_seasons` table) to start from a scan of it instead.
+    stored `player_seasons` table) to start from a scan of it instead. `rosters`
+    (versions) gives the eligible players the team and age of the season (P18).
     """
     ps = with_player_dims(ps if ps is not None else player_seasons(stats), players)
     production = usage_share(prior_production(ps, players, targets),
@@ -514,7 +532,7 @@ def build_context(stats: DataFrame, players: DataFrame, targets: Targets,
     situation = team_situation(ps, players, targets)
     career = build_career(ps, players, targets, recency_base)
     efficiency = efficiency_delta(ps, targets, career)
-    eligible = eligible_players(ps, players, targets)
+    eligible = eligible_players(ps, players, targets, rosters)
     extra = build_situation(ps, players, targets, eligible, team_of_record, volumes)
     snap = snap_feed(snaps, bios, targets) if snaps is not None and bios is not None else None
     df = context_assembly(eligible, production, situation, career, efficiency, extra, snap, depth, bios)

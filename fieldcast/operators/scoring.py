@@ -184,7 +184,8 @@ def compare_players(scored: DataFrame, group: str = "comparison_id", lo: int = 2
 # ------------------------------------------------------------------ M11 / M12
 def batch_score_weekly(features: DataFrame, season: int, week: int, model=None) -> DataFrame:
     """The weekly prediction rows as stored - 3 dp at the model boundary
-    then 2 dp, opponent = own team or 'UNK' (D4). Scored by the heuristic, or by
+    then 2 dp, opponent = own team or 'UNK' (D4), or that of the schedule where
+    the features have one. Scored by the heuristic, or by
     a stored `model` (`models.load_model`)."""
     if model is None:
         told = features.withColumn("prediction", round_half_even(round_half_even(inseason_heuristic(), 3), 2)) \
@@ -193,8 +194,8 @@ def batch_score_weekly(features: DataFrame, season: int, week: int, model=None)
         told = scored_as_stored(model, features)
     return told.select(
         "player_id", F.lit(season).alias("season"), F.lit(week).alias("week"),
-        F.coalesce(F.col("team"), F.lit("UNK")).alias("opponent"), "prediction",
-        F.lit(None).cast("double").alias("confidence"), "model_version")
+        F.coalesce(F.col("opponent" if "opponent" in features.columns else "team"), F.lit("UNK")).alias("opponent"),
+        "prediction", F.lit(None).cast("double").alias("confidence"), "model_version")
 
 
 def resolve_version(requests: DataFrame, registry: DataFrame, fallback: str = FALLBACK_VERSION,

@@ -78,9 +78,11 @@ def q_game_log_summary(t):
 
 
 @register("q5_season_has_games", sql="""
-SELECT s AS season, s IN (SELECT season FROM player_stats) AS has_games FROM range(1995, 2004) r(s)""")
+SELECT s AS season, s IN (SELECT season FROM player_stats) AS has_games
+FROM range((SELECT min(season) FROM player_stats), (SELECT max(season) FROM player_stats) + 3) r(s)""")
 def q_has_games(t):
-    return B.season_has_games(t.spark.range(1995, 2004).withColumnRenamed("id", "season"), t.player_stats)
+    asked = t.player_stats.select(F.explode(F.sequence(F.min("season").cast("long"), F.max("season").cast("long") + 2)).alias("season"))
+    return B.season_has_games(asked, t.player_stats)
 
 
 @register("q6_season_leaders", doubles=("total_points", "points_per_game", "yards"), sql="""

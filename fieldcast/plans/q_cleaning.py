@@ -121,12 +121,16 @@ def q_clean_rosters(t):
 
 
 @register("c10_row_accounting", sql=f"""
-SELECT 'clean_weekly' AS stage, (SELECT count(*) FROM dirty_weekly) AS rows_in,
-       (SELECT count(*) FROM ({_CLEAN}) c) AS rows_out,
-       (SELECT count(*) FROM dirty_weekly) - (SELECT count(*) FROM ({_CLEAN}) c) AS dropped
+WITH counts AS (SELECT (SELECT count(*) FROM dirty_weekly) AS a, (SELECT count(*) FROM ({_C1}) c) AS b,
+  (SELECT count(*) FROM ({_C4}) c) AS u, (SELECT count(*) FROM ({_CLEAN}) c) AS z),
+steps AS (SELECT 'drop_unjoinable' AS stage, a AS rows_in, b AS rows_out FROM counts
+  UNION ALL SELECT 'clean_numbers', b, (SELECT count(*) FROM ({_C3}) c) FROM counts
+  UNION ALL SELECT 'dedupe_fullest', b, u FROM counts UNION ALL SELECT 'shape', u, z FROM counts
+  UNION ALL SELECT 'clean_weekly', a, z FROM counts)
+SELECT *, rows_in - rows_out AS dropped FROM steps
 """)
 def q_row_accounting(t):
-    return C.row_accounting("clean_weekly", t.dirty_weekly, C.clean_weekly(t.dirty_weekly))
+    return C.stage_counts(t.dirty_weekly)
 
 
 __all__ = ["F"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldcast.functions.columns import age_multiplier
 from fieldcast.operators import preseason as P
+from fieldcast.operators.dimensions import roster_versions
 from fieldcast.plans.registry import register, sql_round
 from fieldcast.sources import readers as R
 
@@ -170,8 +171,9 @@ FEEDS = """snapm AS (
 snapj AS (SELECT b.gsis_id AS external_id, s.season, s.share FROM snapm s JOIN bios b ON b.pfr_id = s.pfr_id),
 snaps AS (SELECT external_id, season, CASE WHEN max(share) OVER (PARTITION BY season) > 1.5 THEN share / 100.0
           ELSE share END AS prior_snap_share FROM snapj),
-depth AS (SELECT gsis_id AS external_id, least(greatest(arg_max(pos_rank, dt), 1), 10) AS depth_chart_rank
-          FROM depth_charts WHERE pos_rank IS NOT NULL GROUP BY gsis_id)"""
+depth AS (SELECT t.season, d.gsis_id AS external_id, least(greatest(arg_max(d.pos_rank, d.dt), 1), 10) AS depth_chart_rank
+          FROM tg t JOIN depth_charts d ON d.dt < make_date(t.season, 9, 1)
+          WHERE d.pos_rank IS NOT NULL GROUP BY t.season, d.gsis_id)"""
 
 CONTEXT_SELECT = """
 SELECT e.player_id, e.season, e.team,
@@ -215,7 +217,7 @@ LEFT JOIN cshare cs ON cs.player_id = e.player_id AND cs.season = e.season
 LEFT JOIN eff f ON f.player_id = e.player_id AND f.season = e.season
 LEFT JOIN extra x ON x.player_id = e.player_id AND x.season = e.season
 LEFT JOIN snaps sn ON sn.external_id = e.external_id AND sn.season = e.season
-LEFT JOIN depth dp ON dp.external_id = e.external_id
+LEFT JOIN depth dp ON dp.external_id = e.external_id AND dp.season = e.season
 LEFT JOIN bios b ON b.gsis_id = e.external_id"""
 
 CONTEXT_SQL = (f"WITH {TG},\n{PROD},\n{QB},\n{CAREER},\n{SHARES},\n{ELIG},\n{EXTRA},\n{FEEDS}\n"
@@ -237,7 +239,7 @@ def _volumes(t):
 
 def build_context(t):
     return P.build_context(t.player_stats, t.players, _targets(t), snaps=t.snap_counts, volumes=_volumes(t),
-                           bios=R.read_bios(t.bios), depth=R.depth_rank(t.depth_charts), ps=_ps(t))
+                           bios=R.read_bios(t.bios), depth=R.depth_versions(t.depth_charts), ps=_ps(t))
 
 
 def context_table(t):
@@ -387,6 +389,17 @@ def q_eligible(t):
     return P.eligible_players(_ps(t), t.players, _targets(t))
 
 
+@register("p18_eligible_as_of", sql=f"""
+WITH {TG},\n{ELIG},
+known AS (SELECT e.player_id, e.season, arg_max(r.team, r.season) AS team
+  FROM elig e JOIN season_rosters r ON r.external_id = e.external_id AND r.season <= e.season GROUP BY e.player_id, e.season)
+SELECT e.* REPLACE (coalesce(k.team, e.team) AS team,
+  CAST(CASE WHEN k.team IS NULL THEN e.age ELSE e.age - 2002 + e.season END AS INTEGER) AS age)
+FROM elig e LEFT JOIN known k ON k.player_id = e.player_id AND k.season = e.season""")
+def q_eligible_as_of(t):
+    return P.eligible_players(_ps(t), t.players, _targets(t), roster_versions(t.season_rosters))
+
+
 @register("p19_context_assembly", doubles=CONTEXT_DOUBLES, sql=CONTEXT_SQL)
 def q_context(t):
     return build_context(t)

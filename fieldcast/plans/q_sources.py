@@ -8,26 +8,13 @@ from pyspark.sql import types as T
 from fieldcast import schemas as S
 from fieldcast.plans.registry import register, sql_round
 from fieldcast.sources import readers as R
+from fieldcast.sources.fixtures import NO_CARRIES_SEASONS
 
-INGEST_SEASONS = tuple(range(1995, 2002))
-OLD_SCHEMA_BEFORE = 1998          # seasons before this use the old column names
-NO_CARRIES_BEFORE = 1997          # ...and before this the feed has no carries column
-OLD_NAMES = {"player_id": "gsis_id", "player_display_name": "player_name", "recent_team": "team",
-             "opponent_team": "opponent", "receptions": "rec", "receiving_yards": "rec_yds",
-             "receiving_tds": "rec_td", "rushing_yards": "rush_yds", "rushing_tds": "rush_td"}
 
-
-def season_frames(t):
-    """One frame per season 'file'; older seasons carry the old column names."""
-    frames = {}
-    for s in INGEST_SEASONS:
-        df = t.weekly_feed.where(F.col("season") == s)
-        if s < NO_CARRIES_BEFORE:
-            df = df.drop("carries")
-        if s < OLD_SCHEMA_BEFORE:
-            df = df.select(*[F.col(c).alias(OLD_NAMES.get(c, c)) for c in df.columns])
-        frames[s] = df
-    return frames
+def listed_seasons(t) -> list[int]:
+    """Every season that some folder has a file of."""
+    found = [R.season_files(t.spark, f).select("season") for f in t.season_folders.values()]
+    return sorted(r["season"] for r in found[0].union(found[1]).distinct().collect())
 
 
 _FEED_COLS = ("player_id, player_display_name, position, recent_team, season, week, opponent_team, "
@@ -35,20 +22,34 @@ _FEED_COLS = ("player_id, player_display_name, position, recent_team, season, we
 
 
 @register("s1_read_seasons", doubles=("receiving_yards", "rushing_yards"), sql=f"""
-SELECT {_FEED_COLS}, CASE WHEN season < {NO_CARRIES_BEFORE} THEN NULL ELSE carries END AS carries
-FROM weekly_feed WHERE season BETWEEN {INGEST_SEASONS[0]} AND {INGEST_SEASONS[-1]}
+SELECT {_FEED_COLS}, CASE WHEN season < (SELECT min(season) FROM player_stats) + {NO_CARRIES_SEASONS} THEN NULL
+  ELSE carries END AS carries
+FROM weekly_feed
 """)
 def q_read_seasons(t):
-    return R.stack_seasons(season_frames(t), S.WEEKLY_ALIASES,
-                           required=("player_id", "season", "week", "position"))
+    """The weekly rows of the season files: of the two folders the first that has every season."""
+    return R.load_source(t.spark, t.season_folders, listed_seasons(t))[0]
+
+
+@register("s1_read_rosters", doubles=("age",), sql="SELECT * FROM rosters")
+def q_read_rosters(t):
+    return R.load_source(t.spark, t.season_folders, listed_seasons(t))[1]
 
 
 @register("s2_source_status", sql="""
-SELECT s AS season, s IN (SELECT season FROM player_stats) AS present FROM range(1995, 2004) r(s)
+WITH ends AS (SELECT min(season) AS a, max(season) AS z FROM player_stats)
+SELECT source, kind, CAST(s AS INTEGER) AS season, s <= z AND (source = 'archive' OR s = z)
+    AND s IN (SELECT season FROM player_stats) AS present
+FROM ends, range(0, 200) r(i), (VALUES ('local'), ('archive')) f(source), (VALUES ('player_stats'), ('roster')) k(kind),
+  LATERAL (SELECT a + i AS s) x
+WHERE s <= z + 1
 """)
 def q_source_status(t):
-    expected = t.spark.range(1995, 2004).withColumnRenamed("id", "season")
-    return R.source_status(expected, t.player_stats.select("season"))
+    """Which files each folder has for the seasons listed, and for the next one, which none has yet."""
+    seasons = listed_seasons(t)
+    told = [R.file_status(t.spark, path, [*seasons, seasons[-1] + 1]).withColumn("source", F.lit(name))
+            for name, path in t.season_folders.items()]
+    return told[0].unionByName(told[1])
 
 
 @register("s3_apply_aliases", doubles=("age",), sql="""
@@ -138,6 +139,32 @@ def q_depth_rank(t):
     return R.depth_rank(t.depth_charts)
 
 
+@register("s11_depth_rank_old_schema", sql="""
+WITH newest AS (SELECT max(season) AS season FROM weekly_charts)
+SELECT gsis_id AS external_id,
+  CAST(least(greatest(arg_max(CAST(depth_team AS INTEGER), 100 * (100 - week) + CAST(depth_team AS INTEGER)), 1), 10) AS INTEGER)
+    AS depth_chart_rank
+FROM weekly_charts JOIN newest USING (season) WHERE depth_team IS NOT NULL GROUP BY gsis_id
+""")
+def q_depth_rank_old_schema(t):
+    newest = t.weekly_charts.agg(F.max("season")).first()[0]
+    return R.depth_rank(t.weekly_charts, season=newest)
+
+
+@register("s11_depth_versions", sql="""
+WITH known AS (
+  SELECT gsis_id AS external_id, CAST(year(dt) + CASE WHEN month(dt) >= 9 THEN 1 ELSE 0 END AS INTEGER) AS season,
+    CAST(least(greatest(arg_max(pos_rank, dt), 1), 10) AS INTEGER) AS depth_chart_rank
+  FROM depth_charts WHERE pos_rank IS NOT NULL GROUP BY ALL),
+moved AS (SELECT *, depth_chart_rank IS DISTINCT FROM lag(depth_chart_rank) OVER (PARTITION BY external_id ORDER BY season) AS new
+  FROM known)
+SELECT external_id, season AS valid_from, lead(season) OVER (PARTITION BY external_id ORDER BY season) AS valid_to, depth_chart_rank
+FROM moved WHERE new
+""")
+def q_depth_versions(t):
+    return R.depth_versions(t.depth_charts)
+
+
 @register("s12_optional_feed", sql=f"""
 SELECT p.player_id, p.external_id, d.depth_chart_rank
 FROM players p LEFT JOIN ({_DEPTH_SQL}) d ON d.external_id = p.external_id

@@ -53,9 +53,15 @@ predictions AS (
     o_orderstatus AS model_version, o_orderdate AS created_at
   FROM orders),
 depth_charts AS (
-  SELECT concat('00-', lpad(CAST(user_id AS VARCHAR), 7, '0')) AS gsis_id, ts AS dt,
+  SELECT concat('00-', lpad(CAST(user_id AS VARCHAR), 7, '0')) AS gsis_id,
+    ts - to_years(CAST(year(ts) - (1995 + event_id % 8) AS INTEGER)) AS dt,
     CASE WHEN event_type = 'error' THEN NULL ELSE CAST(1 + event_id % 12 AS INTEGER) END AS pos_rank
   FROM events),
+weekly_charts AS (
+  SELECT concat('00-', lpad(CAST(user_id AS VARCHAR), 7, '0')) AS gsis_id, CAST(1995 + event_id % 8 AS INTEGER) AS season,
+    CAST(1 + event_id % 22 AS INTEGER) AS week,
+    CASE WHEN event_type = 'error' THEN NULL ELSE CAST(1 + event_id % 12 AS VARCHAR) END AS depth_team
+  FROM events),
 snap_counts AS (
   SELECT concat('pfr', CAST(l_suppkey AS VARCHAR)) AS pfr_player_id, CAST(year(l_shipdate) AS INTEGER) AS season,
     l_discount * 1000 AS offense_pct
@@ -81,6 +87,15 @@ game_teams AS (
     + CASE WHEN s.player_id % 7 = 0 AND s.season * 100 + s.week < 199705 THEN 3
            WHEN s.player_id % 5 = 0 AND s.season * 100 + s.week < 200010 THEN 1 ELSE 0 END) % 8 AS VARCHAR)) AS team
   FROM player_stats s JOIN players p ON p.player_id = s.player_id),
+schedule AS (
+  SELECT season, week, concat('T', CAST(k AS VARCHAR)) AS home_team, concat('T', CAST(xor(k, 1 + week % 7) AS VARCHAR)) AS away_team
+  FROM (SELECT DISTINCT season, CAST(week AS BIGINT) AS week FROM player_stats) w, range(8) r(k)
+  WHERE CASE WHEN week % 2 = 0 THEN k < xor(k, 1 + week % 7) ELSE k > xor(k, 1 + week % 7) END
+    AND (week % 4 <> 0 OR least(k, xor(k, 1 + week % 7)) > 0)),
+season_rosters AS (
+  SELECT p.external_id, g.season, g.team, p.position, CAST(p.age - (2002 - g.season) AS INTEGER) AS age
+  FROM (SELECT player_id, season, arg_min(team, week) AS team FROM game_teams GROUP BY player_id, season) g
+  JOIN players p ON p.player_id = g.player_id),
 weekly_feed AS (
   SELECT p.external_id AS player_id, p.name AS player_display_name, p.position, g.team AS recent_team,
     s.season, s.week, s.opponent AS opponent_team, s.targets, s.carries, s.receptions,

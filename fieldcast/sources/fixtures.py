@@ -107,6 +107,33 @@ class Tables:
     def depth_charts(self) -> DataFrame:
         return depth_charts_view(self.table("events"))
 
+    @cached_property
+    def weekly_charts(self) -> DataFrame:
+        return weekly_charts_view(self.table("events"))
+
+    @cached_property
+    def schedule(self) -> DataFrame:
+        return schedule_view(self.player_stats)
+
+    @cached_property
+    def season_rosters(self) -> DataFrame:
+        return season_rosters_view(self.game_teams, self.players)
+
+    @cached_property
+    def season_folders(self) -> dict[str, str]:
+        """Two folders of season files, written once per session: "local" has the newest season alone, "archive" all."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "season_files",
+               _fingerprint(self.sf_dir, ("lineitem", "supplier")))
+        if key not in _MATERIALIZED:
+            from fieldcast.session import staging_path
+            path = staging_path(self.spark, "season_files")
+            seasons = sorted(r["season"] for r in self.player_stats.select("season").distinct().collect())
+            for s in seasons:
+                write_season_file(self.weekly_feed, self.rosters, s, seasons[0], f"{path}/archive")
+            write_season_file(self.weekly_feed, self.rosters, seasons[-1], seasons[0], f"{path}/local")
+            _MATERIALIZED[key] = path
+        return {name: f"{_MATERIALIZED[key]}/{name}" for name in ("local", "archive")}
+
     @cached_property
     def snap_counts(self) -> DataFrame:
         return snap_counts_view(self.table("lineitem"))
@@ -221,10 +248,66 @@ def predictions_view(orders: DataFrame, supplier: DataFrame) -> DataFrame:
     )
 
 
+def charted_at() -> Column:
+    """When a chart was drawn: its moment of the year, in one of the seasons."""
+    season = FIRST_ROOKIE_SEASON + F.col("event_id") % ROOKIE_CLASSES
+    return F.col("ts") - F.make_ym_interval((F.year("ts") - season).cast("int"))
+
+
+def weekly_charts_view(events: DataFrame) -> DataFrame:
+    """Depth charts in the old schema: by season and week, ranks as text."""
+    return events.select(
+        _padded_id(F.col("user_id")).alias("gsis_id"),
+        (FIRST_ROOKIE_SEASON + F.col("event_id") % ROOKIE_CLASSES).cast("int").alias("season"),
+        (1 + F.col("event_id") % 22).cast("int").alias("week"),
+        F.when(F.col("event_type") == "error", None)
+        .otherwise((1 + F.col("event_id") % 12).cast("string")).alias("depth_team"),
+    )
+
+
+def schedule_view(player_stats: DataFrame) -> DataFrame:
+    """(season, week, home_team, away_team) of the weeks of the fact: each team meets another
+    one, by turns at home; every fourth week the first pair is off."""
+    k, week = F.col("k"), F.col("week")
+    other = k.bitwiseXOR(1 + week % (TEAM_COUNT - 1))
+    at_home = F.when(week % 2 == 0, k < other).otherwise(k > other)
+    name = lambda c: F.concat(F.lit("T"), c.cast("string"))
+    return player_stats.select("season", "week").distinct() \
+        .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(TEAM_COUNT - 1)))) \
+        .where(at_home & ((week % 4 != 0) | (F.least(k, other) > 0))) \
+        .select("season", "week", name(k).alias("home_team"), name(other).alias("away_team"))
+
+
+def season_rosters_view(game_teams: DataFrame, players: DataFrame) -> DataFrame:
+    """Rosters of each season with the team of its first game; trades included."""
+    first = game_teams.groupBy("player_id", "season").agg(F.min_by("team", "week").alias("team"))
+    return first.join(players.select("player_id", "external_id", "position", "age"), "player_id").select(
+        "external_id", "season", "team", "position",
+        (F.col("age") - (PROJECTION_SEASON - F.col("season"))).cast("int").alias("age"))
+
+
+#: Names of older season files, and for how many seasons they and a feed without carries were in use.
+OLD_NAMES = {"player_id": "gsis_id", "player_display_name": "player_name", "recent_team": "team",
+             "opponent_team": "opponent", "receptions": "rec", "receiving_yards": "rec_yds",
+             "receiving_tds": "rec_td", "rushing_yards": "rush_yds", "rushing_tds": "rush_td"}
+OLD_NAME_SEASONS, NO_CARRIES_SEASONS = 3, 2
+
+
+def write_season_file(weekly: DataFrame, rosters: DataFrame, season: int, first: int, folder: str) -> None:
+    """The two files of a season, as they came in that season."""
+    games = weekly.where(F.col("season") == season)
+    if season < first + NO_CARRIES_SEASONS:
+        games = games.drop("carries")
+    if season < first + OLD_NAME_SEASONS:
+        games = games.withColumnsRenamed(OLD_NAMES)
+    games.write.parquet(f"{folder}/player_stats_{season}.parquet")
+    rosters.where(F.col("season") == season).write.parquet(f"{folder}/roster_{season}.parquet")
+
+
 def depth_charts_view(events: DataFrame) -> DataFrame:
     return events.select(
         _padded_id(F.col("user_id")).alias("gsis_id"),
-        F.col("ts").alias("dt"),
+        charted_at().alias("dt"),
         F.when(F.col("event_type") == "error", None)
         .otherwise((1 + F.col("event_id") % 12).cast("int")).alias("pos_rank"),
     )

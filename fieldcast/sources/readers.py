@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldcast import schemas as S
 from fieldcast.functions.columns import clip, round_half_even
+from fieldcast.operators.dimensions import versions
 
 
 log = logging.getLogger(__name__)
@@ -70,6 +71,67 @@ def filter_positions(df: DataFrame, positions=S.INGEST_POSITIONS, col: str = "po
 
 
 # ----------------------------------------------------------------- S1 / S2
+#: The files of a season, by kind; the month a season starts in.
+FILE_KINDS = ("player_stats", "roster")
+SEASON_START_MONTH = 9
+WEEKLY_REQUIRED = ("player_id", "season", "week", "position")
+ROSTER_REQUIRED = ("player_id",)
+
+
+def season_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(kind, season, path) of the season files in a folder, ``<kind>_<year>.parquet``; none if it is not there.
+
+    Spark lists the folder, so it can lie in any store; contents are not read.
+    """
+    file = f"^(.*/({'|'.join(FILE_KINDS)})_([0-9]{{4}})[.]parquet)(/.*)?$"
+    try:
+        paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty_frame(spark, T.StructType([T.StructField("kind", T.StringType()), T.StructField("season", T.IntegerType()),
+                                                T.StructField("path", T.StringType())]))
+    return paths.where(F.col("path").rlike(file)).select(
+        F.regexp_extract("path", file, 2).alias("kind"), F.regexp_extract("path", file, 3).cast("int").alias("season"),
+        F.regexp_extract("path", file, 1).alias("path")).distinct()
+
+
+def file_status(spark: SparkSession, folder: str, seasons: Iterable[int]) -> DataFrame:
+    """(kind, season, present) of every file that the seasons need."""
+    wanted = spark.createDataFrame([(k, int(s)) for s in seasons for k in FILE_KINDS], "kind string, season int")
+    found = season_files(spark, folder).select("kind", "season", F.lit(True).alias("_found"))
+    return wanted.join(found, ["kind", "season"], "left").select(
+        "kind", "season", F.coalesce("_found", F.lit(False)).alias("present"))
+
+
+def complete_source(spark: SparkSession, folders: Mapping[str, str], seasons: Iterable[int]) -> tuple[str, dict]:
+    """The first of the folders (by preference) with every file of the seasons: its name, and {kind: {season: path}}.
+
+    Raises ``MissingSeasonData`` with what each folder lacks if none has them
+    all. The driver holds one path a season and kind.
+    """
+    seasons, lacks = sorted(set(map(int, seasons))), {}
+    for name, folder in folders.items():
+        paths: dict[str, dict[int, str]] = {k: {} for k in FILE_KINDS}
+        for r in season_files(spark, folder).where(F.col("season").isin(seasons)).collect():
+            paths[r["kind"]][r["season"]] = r["path"]
+        absent = [f"{k}_{s}.parquet" for s in seasons for k in FILE_KINDS if s not in paths[k]]
+        if not absent:
+            return name, paths
+        lacks[name] = absent
+    raise MissingSeasonData("; ".join(f"{n} lacks {len(a)} file(s): {', '.join(a)}" for n, a in lacks.items())
+                            or "no source folder given")
+
+
+def load_source(spark: SparkSession, folders: Mapping[str, str], seasons: Iterable[int],
+                ) -> tuple[DataFrame, DataFrame, str]:
+    """The weekly rows and rosters of the seasons from the first complete folder, and its name."""
+    name, paths = complete_source(spark, folders, seasons)
+    weekly = read_seasons(spark, paths["player_stats"], S.WEEKLY_ALIASES, WEEKLY_REQUIRED)
+    rosters = read_seasons(spark, paths["roster"], S.ROSTER_ALIASES, ROSTER_REQUIRED)
+    return weekly, rosters, name
+
+
 def stack_seasons(frames: Mapping[int, DataFrame], aliases: Mapping[str, Iterable[str]],
                   required: Iterable[str] = ()) -> DataFrame:
     """Alias each season's frame to canonical names, then union by name.
@@ -200,28 +262,64 @@ def snap_share(snaps: DataFrame, crosswalk: DataFrame, season: int | None = None
                          .otherwise(F.col("share")).alias("prior_snap_share"))
 
 
-def depth_rank(depth: DataFrame) -> DataFrame:
-    """Depth-chart rank per player, both known schemas, clipped 1..10.
+def known_season(at: Column) -> Column:
+    """The first season that starts (1 September) after a moment: what is known then counts for it."""
+    return F.year(F.add_months(at.try_cast("date"), 12 - SEASON_START_MONTH + 1))
+
 
-    New schema (dt, pos_rank): last non-null rank by snapshot time.
-    Old schema (week, depth_team): first non-null rank by week.
+def charted_ranks(depth: DataFrame) -> DataFrame | None:
+    """(external_id, season, precedence, rank) of a depth feed in either schema; None for any other.
+
+    New schema (dt, pos_rank): a chart counts from the next season to start, and
+    the later one takes precedence. Old schema (depth_team; season and week
+    where present): a chart counts for its season, and the earlier week, nearest
+    to the pre-season, takes precedence. Ranks that are no number are left out.
     """
-    out_schema = T.StructType([T.StructField("external_id", T.StringType()),
-                               T.StructField("depth_chart_rank", T.IntegerType())])
-    if "gsis_id" not in depth.columns:
-        return empty_frame(depth.sparkSession, out_schema)
-    if {"pos_rank", "dt"} <= set(depth.columns):
-        rank = F.col("pos_rank").try_cast("double")
-        picked = F.max_by(rank, F.col("dt"))
-    elif "depth_team" in depth.columns:
-        rank = F.col("depth_team").try_cast("double")
-        picked = F.min_by(rank, F.col("week")) if "week" in depth.columns else F.first(rank, True)
+    columns = set(depth.columns)
+    if {"gsis_id", "pos_rank", "dt"} <= columns:
+        rank, season, precedence = F.col("pos_rank"), known_season(F.col("dt")), F.col("dt").try_cast("timestamp")
+    elif {"gsis_id", "depth_team"} <= columns:
+        rank = F.col("depth_team")
+        season = F.col("season").try_cast("int") if "season" in columns else F.lit(None).cast("int")
+        precedence = -F.col("week").try_cast("int") if "week" in columns else F.lit(0)
     else:
-        return empty_frame(depth.sparkSession, out_schema)
-    agg = depth.where(rank.isNotNull()).groupBy(F.col("gsis_id").alias("external_id")) \
-        .agg(picked.alias("r"))
-    return agg.select("external_id", clip(F.col("r"), 1, 10).cast("int").alias("depth_chart_rank")) \
-        .where(F.col("depth_chart_rank").isNotNull())
+        return None
+    return depth.select(F.col("gsis_id").alias("external_id"), season.alias("season"), precedence.alias("precedence"),
+                        rank.try_cast("double").alias("rank")).where("rank is not null and not isnan(rank)")
+
+
+def _clipped(rank: str) -> Column:
+    return clip(F.col(rank), 1, 10).cast("int").alias("depth_chart_rank")
+
+
+def depth_rank(depth: DataFrame, season: int | None = None) -> DataFrame:
+    """Depth-chart rank per player, both known schemas, clipped 1..10.
+
+    The chart with precedence wins, ties by the larger rank. With ``season`` only
+    charts of that season (old schema) or known before it starts (new schema) count.
+    """
+    ranks = charted_ranks(depth)
+    if ranks is None:
+        return empty_frame(depth.sparkSession, T.StructType([
+            T.StructField("external_id", T.StringType()), T.StructField("depth_chart_rank", T.IntegerType())]))
+    if season is not None:
+        ranks = ranks.where(F.col("season") <= season if "pos_rank" in depth.columns else F.col("season") == season)
+    best = ranks.groupBy("external_id").agg(F.max_by("rank", F.struct("precedence", "rank")).alias("r"))
+    return best.select("external_id", _clipped("r"))
+
+
+def depth_versions(depth: DataFrame) -> DataFrame:
+    """S11 by season: (external_id, valid_from, valid_to, depth_chart_rank), the rank known at the start of each season.
+
+    A rank holds until a chart changes it. An unknown schema gives no rows.
+    """
+    ranks = charted_ranks(depth)
+    if ranks is None:
+        return empty_frame(depth.sparkSession, T.StructType([
+            T.StructField("external_id", T.StringType()), T.StructField("valid_from", T.IntegerType()),
+            T.StructField("valid_to", T.IntegerType()), T.StructField("depth_chart_rank", T.IntegerType())]))
+    ranks = ranks.select("external_id", "season", "precedence", _clipped("rank"))
+    return versions(ranks, ["external_id"], ["depth_chart_rank"], order=["precedence"])
 
 
 # ----------------------------------------------------------------- S12 / S13

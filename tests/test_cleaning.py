@@ -64,3 +64,17 @@ def test_row_accounting(spark):
                        ("B", "Bo", "WR", "KC", 2024, 1, "BUF", 9, 3, 7, 84.0, 1, 0.0, 0)])
     r = C.row_accounting("clean", raw, C.clean_weekly(raw)).first()
     assert (r["rows_in"], r["rows_out"], r["dropped"]) == (2, 1, 1)
+
+
+def test_every_stage_is_counted_in_one_pass(spark, tables):
+    raw, counts = tables.dirty_weekly, {}
+    clean = C.clean_weekly(raw, counts).count()
+    told = {r["stage"]: (r["rows_in"], r["rows_out"], r["dropped"]) for r in C.stage_counts(raw).collect()}
+    seen = C.observed_counts(counts)
+    assert told["clean_weekly"] == (seen["raw"], clean, seen["raw"] - clean) and seen["clean_weekly"] == clean
+    assert told["drop_unjoinable"] == (seen["raw"], seen["drop_unjoinable"], seen["raw"] - seen["drop_unjoinable"])
+    assert told["dedupe_fullest"][1] == seen["dedupe_fullest"] == clean
+    # The pass goes over the two halves of the fixture's union once each.
+    plan = C.stage_counts(raw)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == raw._jdf.queryExecution().executedPlan().toString().count("Scan parquet")
+    assert {r["rows_in"] for r in C.stage_counts(raw.limit(0)).collect()} == {0}

@@ -1,8 +1,10 @@
 """Point-in-time features see only earlier games; windows are leak-free."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldcast.operators import inseason as ins
+from fieldcast.operators import scoring as M
 
 STATS = ("player_id int, season int, week int, opponent string, is_home boolean, targets int, carries int, "
          "receptions int, yards double, touchdowns int, fantasy_points double")
@@ -60,3 +62,33 @@ def test_asked_week_without_a_game(spark):
     assert [out[w]["games_played"] for w in (1, 3, 4, 9)] == [0, 2, 2, 3]
     assert [out[w]["fantasy_points_last_1"] for w in (1, 3, 4, 9)] == [0.0, 20.0, 20.0, 40.0]
     assert out[9]["fantasy_points_last_3"] == 23.333
+
+
+def test_schedule_gives_opponent_and_home(spark):
+    players = spark.createDataFrame([(1, "A", "WR", "NE"), (2, "B", "RB", "KC"), (3, "C", "WR", "GB")],
+                                    "player_id int, name string, position string, team string")
+    stats = _stats(spark).unionByName(spark.createDataFrame(
+        [(3, 2024, 1, "KC", True, 1, 0, 1, 5.0, 0, 1.0)], STATS))
+    games = spark.createDataFrame([(2024, 5, "KC", "NE"), (2024, 4, "GB", "NE")], "season int, week int, home_team string, away_team string")
+    out = ins.upcoming_features(players, stats, 2024, 5, opponent_source="schedule", schedule=games)
+    got = {r["player_id"]: (r["opponent"], r["is_home"], r["opponent_rank"]) for r in out.collect()}
+    assert got == {1: ("KC", 0, 2), 2: ("NE", 1, 1)}      # GB has no game that week
+    told = M.batch_score_weekly(out, 2024, 5)
+    assert {r["player_id"]: r["opponent"] for r in told.collect()} == {1: "KC", 2: "NE"}
+    for wrong in ({"opponent_source": "schedule"}, {"schedule": games}, {"opponent_source": "neither"}):
+        with pytest.raises(ValueError):
+            ins.upcoming_features(players, stats, 2024, 5, **wrong)
+
+
+def test_rank_to_date_matches_brute_force(spark):
+    rows = [(2020 + i % 2, 1 + (5 * i) % 7, f"T{(i * i) % 4}", float((37 * i) % 23)) for i in range(60)]
+    frame = spark.createDataFrame(rows, "season int, week int, opponent string, target double")
+    seen = {(r["season"], r["week"], r["opponent"]): r["opponent_rank"]
+            for r in ins.season_defence_rank(frame, to_date=True).collect()}
+    for season, week, opponent, _ in rows:
+        past = {}
+        for s, w, o, v in rows:
+            if s == season and w < week:
+                past.setdefault(o, []).append(v)
+        order = sorted(past, key=lambda o: (-round(sum(past[o]) / len(past[o]), 9), o))
+        assert seen[season, week, opponent] == (order.index(opponent) + 1 if opponent in past else 16)

@@ -96,6 +96,41 @@ def test_incomplete_seasons_are_named(spark):
     R.assert_complete(R.source_status(seasons, seasons))
 
 
+def _season_file(spark, folder, kind, season, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{kind}_{season}.parquet")
+
+
+def test_the_first_complete_folder_is_read(spark, tmp_path):
+    weekly = "gsis_id string, season int, week int, position string, rec int"
+    for folder, seasons in (("here", (2001,)), ("there", (2001, 2002))):
+        for s in seasons:
+            _season_file(spark, tmp_path / folder, "player_stats", s, [(folder, s, 1, "WR", 3)], weekly)
+            _season_file(spark, tmp_path / folder, "roster", s, [(folder, s)], "gsis_id string, season int")
+    folders = {n: str(tmp_path / n) for n in ("nowhere", "here", "there")}
+    found = {(r["kind"], r["season"]) for r in R.season_files(spark, folders["there"]).collect()}
+    assert found == {(k, s) for k in R.FILE_KINDS for s in (2001, 2002)}
+    assert R.season_files(spark, folders["nowhere"]).count() == 0
+    games, rosters, name = R.load_source(spark, folders, [2001, 2002])
+    assert name == "there" and {r["player_id"] for r in games.collect()} == {"there"} and rosters.count() == 2
+    assert R.load_source(spark, folders, [2001])[2] == "here"
+    status = R.file_status(spark, folders["here"], [2001, 2002])
+    assert {r["season"] for r in status.where("not present").collect()} == {2002} and status.count() == 4
+    with pytest.raises(R.MissingSeasonData, match="there lacks 2 file.*player_stats_2003.parquet, roster_2003.parquet"):
+        R.load_source(spark, folders, [2002, 2003])
+
+
+def test_depth_ranks_of_a_season(spark):
+    old = spark.createDataFrame([("a", 2001, 3, "2"), ("a", 2001, 1, None), ("a", 2001, 2, "14"), ("a", 2002, 1, "1"),
+                                 ("b", 2001, 1, "x")], "gsis_id string, season int, week int, depth_team string")
+    assert [tuple(r) for r in R.depth_rank(old, season=2001).collect()] == [("a", 10)]
+    new = spark.createDataFrame([("a", "2001-08-31", 2), ("a", "2001-09-01", 3), ("a", "2002-05-01", None)],
+                                "gsis_id string, dt string, pos_rank int")
+    assert R.depth_rank(new, season=2001).first()["depth_chart_rank"] == 2
+    assert R.depth_rank(new, season=2002).first()["depth_chart_rank"] == 3
+    assert [tuple(r) for r in R.depth_versions(new).orderBy("valid_from").collect()] == [("a", 2001, 2002, 2), ("a", 2002, None, 3)]
+    assert R.depth_versions(spark.createDataFrame([("a", 1)], "gsis_id string, other int")).count() == 0
+
+
 def test_read_seasons_reconciles_files(spark, tmp_path):
     spark.createDataFrame([("a", 3)], "gsis_id string, rec int").write.parquet(str(tmp_path / "2001"))
     spark.createDataFrame([("b", 4, 9.0)], "player_id string, receptions int, yards double") \
