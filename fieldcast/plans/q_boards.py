@@ -106,16 +106,16 @@ def q_position_filter(t):
     return t.players.where(F.col("position").isin(*B.position_filter("flex")))
 
 
-@register("q8_weekly_board", doubles=("projected_points",), sql=f"""
+@register("q8_weekly_board", doubles=("projected_points", "confidence"), sql=f"""
 WITH latest AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY created_at DESC, id DESC) AS rn
                  FROM predictions WHERE season = {BOARD_SEASON} AND week = {WEEKLY_WEEK}
                    AND model_version = '{WEEKLY_VERSION}') x WHERE rn = 1),
-top AS (SELECT l.player_id, p.name, p.team, p.position, l.prediction FROM latest l
+top AS (SELECT l.player_id, p.name, p.team, p.position, l.prediction, l.confidence FROM latest l
         JOIN players p ON p.player_id = l.player_id WHERE p.position = 'WR'
         ORDER BY l.prediction DESC, l.player_id LIMIT 25)
 SELECT CAST(row_number() OVER (ORDER BY prediction DESC, player_id) AS INTEGER) AS rank, player_id, name, team,
-       position, {sql_round('prediction', 2)} AS projected_points FROM top""")
+       position, {sql_round('prediction', 2)} AS projected_points, confidence FROM top""")
 def q_weekly_board(t):
     return B.weekly_board(t.predictions, t.players, BOARD_SEASON, WEEKLY_WEEK, WEEKLY_VERSION,
                           position="WR", limit=25)
@@ -138,25 +138,45 @@ BASIS_SQL = f"""CASE WHEN c.is_rookie IS NULL THEN NULL
              THEN printf(' (only %d games)', c.prior_games) ELSE '' END) END"""
 
 
-@register("q9_season_board", doubles=("projected_points_per_game", "projected_season_points",
-                                      "value_over_replacement"), sql=f"""
+NOTE_SQL = f"""SELECT CASE WHEN count(*) = 0 THEN 'No replacement baseline available.'
+  ELSE 'Value is points per game above a replacement starter at the same position: '
+       || array_to_string(list_sort(list(printf('%s %s (#%d)', position, {_fmt1('replacement_level')}, starters))), ', ')
+       || '. Assumes a 12-team league.' END AS replacement_note
+FROM levels"""
+
+
+def _board_sql(key: str, limit: int, offset: int) -> str:
+    return f"""
 WITH {LATEST},
 ctx AS (SELECT * FROM ({CONTEXT_SQL}) cc WHERE season = {BOARD_SEASON}),
 b AS (
-  SELECT p.*, {sql_round('p.prediction - lv.replacement_level', 2)} AS value_over_replacement,
+  SELECT p.*, lv.replacement_level, {sql_round('p.prediction - lv.replacement_level', 2)} AS value_over_replacement,
     CAST(rank() OVER (PARTITION BY p.position ORDER BY p.prediction DESC) AS INTEGER) AS position_rank,
     c.is_rookie, c.draft_pick AS ctx_pick, {BASIS_SQL} AS basis
   FROM pool p LEFT JOIN levels lv ON lv.position = p.position
   LEFT JOIN ctx c ON c.player_id = p.player_id),
-page AS (SELECT * FROM b ORDER BY coalesce(value_over_replacement, -999.0) DESC, player_id LIMIT 20)
-SELECT CAST(row_number() OVER (ORDER BY coalesce(value_over_replacement, -999.0) DESC, player_id) AS INTEGER)
-         AS rank,
+page AS (SELECT * FROM b ORDER BY {key} DESC, player_id LIMIT {limit} OFFSET {offset})
+SELECT CAST({offset} + row_number() OVER (ORDER BY {key} DESC, player_id) AS INTEGER) AS rank,
   player_id, name, team, position, {sql_round('prediction', 2)} AS projected_points_per_game,
   {sql_round('prediction * 17', 1)} AS projected_season_points, coalesce(is_rookie, false) AS is_rookie,
-  basis, value_over_replacement, position_rank, (SELECT count(*) FROM b) AS total
-FROM page""")
+  basis, value_over_replacement, position_rank, replacement_level, confidence, ({NOTE_SQL}) AS replacement_note,
+  EXISTS (SELECT 1 FROM player_stats WHERE season = {BOARD_SEASON}) AS season_started, (SELECT count(*) FROM b) AS total
+FROM page"""
+
+
+BOARD_DOUBLES = ("projected_points_per_game", "projected_season_points", "value_over_replacement", "replacement_level",
+                 "confidence")
+
+
+@register("q9_season_board", doubles=BOARD_DOUBLES, sql=_board_sql("coalesce(value_over_replacement, -999.0)", 20, 0))
 def q_season_board(t):
-    return B.season_board(t.predictions, t.players, board_context(t), BOARD_SEASON, SEASON_VERSION)
+    return B.season_board(t.predictions, t.players, board_context(t), BOARD_SEASON, SEASON_VERSION, stats=t.player_stats)
+
+
+@register("q9_season_board_by_points", doubles=BOARD_DOUBLES, sql=_board_sql("prediction", 10, 10))
+def q_season_board_by_points(t):
+    return B.season_board(t.predictions, t.players, board_context(t), BOARD_SEASON, SEASON_VERSION, sort="points",
+                          page=2, per_page=10, stats=t.player_stats)
 
 
 def _flex_pool(t):
@@ -182,12 +202,7 @@ def q_vor(t):
         "player_id", "position", "prediction", "replacement_level", "value_over_replacement")
 
 
-@register("q12_replacement_note", sql=f"""WITH {LATEST}
-SELECT CASE WHEN count(*) = 0 THEN 'No replacement baseline available.'
-  ELSE 'Value is points per game above a replacement starter at the same position: '
-       || array_to_string(list_sort(list(printf('%s %s (#%d)', position, {_fmt1('replacement_level')}, starters))), ', ')
-       || '. Assumes a 12-team league.' END AS replacement_note
-FROM levels""")
+@register("q12_replacement_note", sql=f"WITH {LATEST}\n{NOTE_SQL}")
 def q_note(t):
     return B.replacement_note(B.replacement_levels(_flex_pool(t)))
 
