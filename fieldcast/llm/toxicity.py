@@ -1,25 +1,30 @@
 """Toxicity by votes of the nearest labelled examples.
 
 Examples are a bounded sample of the labelled texts, about ``per_class`` of
-each class picked by a hash of the id. Terms are words cut to their first five
-characters; those whose presence depends on the label (chi-square) make the
-TF-IDF space. The examples' inverted index is cut into blocks of 64 similar
-examples, and each term has the largest weight that it takes in each block. A
-text's cosine with any example of a block is at most the block's bound, the dot
-product with those weights. Each text visits its most promising blocks, then
-every other one whose bound reaches its k-th cosine so far, so the k nearest
-are exact in this reduced space; by the cosine over all whole words other
-examples are near (README). Ties in cosine go to the example that comes first.
-
-The share of the neighbours' votes for toxic, weighted by cosine and by class
-against the sampling, is mapped to a probability by isotonic regression on the
-examples themselves, each scored without its own vote.
+each class picked by a hash of the id. Terms are all whole words of the
+examples, weighted by (1 + log count) and by the documents of the corpus that
+have them; a text's other words have no example to meet and are left out of its
+length. The examples' inverted index is cut into blocks of 64 examples, those
+that use the same words most often side by side, and each term has the largest
+weight that it takes in each block. A text's cosine with any example of a block
+is at most the block's bound, the dot product with those weights. Each text
+visits its most promising blocks, then every other one whose bound reaches its
+k-th cosine so far, so the k nearest are exact. Ties in cosine go to the example
+that comes first.
+
+A neighbour's vote is its cosine, with each shared term's part of it counted by
+how far the term tells the labels apart (squared phi coefficient among the
+examples): long texts are near others for what they are about, which says little
+about the label. The share of the votes for toxic, weighted by class against the
+sampling, is mapped to a probability by isotonic regression on the examples
+themselves, each scored without its own vote.
 
 Defined results: a null or empty text, or one without terms, has no neighbours
 and gets the probability of examples without any. With examples of no class or
 of one class alone, every score is that class's share (0 without labels). Rows
 of ``labels`` with a null label teach nothing; of labels that contradict each
-other for an id, toxic counts. Other columns of the input are not read.
+other for an id, toxic counts; of different texts of an id, the smallest teaches.
+Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +43,10 @@ from pyspark.sql import types as T
 from fieldcast.llm.common import col, shared
 
 PER_CLASS = 2000
-NEIGHBOURS = 15
-MAX_TERMS = 2048
-MIN_CHI2 = 10.83  # one in a thousand by chance
-MIN_EXAMPLES = 5  # that have a term
+NEIGHBOURS = 200
 BLOCK = 64
-FIRST_BLOCKS = 4
-_TEXTS_AT_ONCE = 512
-_WORD = re.compile(r"(\w{1,5})\w*")
+_WORD = re.compile(r"\w+")
+_NOTHING = np.empty(0, np.int64), np.empty(0), np.empty(0)
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -57,132 +59,112 @@ def _runs(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """TF-IDF of labelled examples as a block-max inverted index, and the calibration of its votes."""
+    """TF-IDF of labelled examples as a block-max inverted index, and the calibration of its votes.
 
-    def __init__(self, examples: list[tuple[object, str, int]], totals: dict[int, int]):
-        bags = [Counter(terms_of(t)) for _, t, _ in examples]
+    ``n_docs`` documents are the corpus, and ``df`` of them have a term; without them the examples are the corpus.
+    """
+
+    def __init__(self, examples: list[tuple[object, str, int]], totals: dict[int, int], df: dict[str, int] | None = None,
+                 n_docs: int = 0):
+        texts = [terms_of(t) for _, t, _ in examples]
         label = np.array([y for *_, y in examples], np.int64)
         n = len(examples)
-        have = {c: Counter(t for bag, y in zip(bags, label) if y == c for t in bag) for c in (0, 1)}
         rows = {c: int((label == c).sum()) for c in (0, 1)}
-        scored = []
-        for t in have[0].keys() | have[1].keys():
-            a, b = have[1][t], have[0][t]
-            c, d = rows[1] - a, rows[0] - b
-            if a + b >= MIN_EXAMPLES and (both := (a + b) * (c + d) * (a + c) * (b + d)):
-                scored.append((-n * (a * d - b * c) ** 2 / both, t))
-        kept = sorted(s for s in scored if -s[0] >= MIN_CHI2)[:MAX_TERMS]
-        self.terms = {t: k for k, (_, t) in enumerate(kept)}
-        df = np.array([have[0][t] + have[1][t] for t in self.terms], np.float64)
-        self.idf = np.log(1 + n / df) if len(df) else df
-        # Blocks hold like examples: those of one label with the same heaviest terms side by side.
-        vectors = [self._vector([t for t in bag for _ in range(bag[t])]) for bag in bags]
-        heavy = [tuple(v[0][np.argsort(-v[1], kind="stable")[:3]].tolist()) for v in vectors]
-        order = [i for i in sorted(range(n), key=lambda i: (int(label[i]), heavy[i], i)) if len(vectors[i][0])]
+        self.terms = {t: k for k, t in enumerate(sorted(set().union(*texts)))}
+        counted = [self._counts(words) for words in texts]
+        size = np.array([len(term) for term, _ in counted], np.int64)
+        term = np.concatenate([t for t, _ in counted]) if n else np.empty(0, np.int64)
+        have = {c: np.bincount(term[np.repeat(label == c, size)], minlength=len(self.terms)) for c in (0, 1)}
+        seen = have[0] + have[1]
+        known = np.array([(df or {}).get(t, 0) for t in self.terms], np.int64)
+        self.idf = np.log(1 + max(n_docs, n) / np.maximum(known, seen)) if n else np.empty(0)
+        apart = (have[1] * (rows[0] - have[0]) - have[0] * (rows[1] - have[1])).astype(float) ** 2
+        spread = float(rows[0]) * rows[1] * seen * (n - seen)
+        self.tells = np.divide(apart, spread, out=np.zeros(len(seen)), where=spread > 0)
+        vectors = [self._weighted(*c) for c in counted]
+        # Blocks hold like examples: those with the same most frequent words, which tell the language, side by side.
+        often = [tuple(t[np.lexsort((t, -seen[t], -c))[:3]].tolist()) for t, c in counted]
+        order = [i for i in sorted(range(n), key=lambda i: (often[i], i)) if size[i]]
         self.label, self.ids = label[order], [examples[i][0] for i in order]
         self.vote = np.array([totals[c] / max(1, rows[c]) for c in (0, 1)])[self.label] if order else np.empty(0)
         self.blocks = -(-len(order) // BLOCK)
         term = np.concatenate([vectors[i][0] for i in order]) if order else np.empty(0, np.int64)
         weight = np.concatenate([vectors[i][1] for i in order]) if order else np.empty(0)
-        example = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        example = np.repeat(np.arange(len(order)), size[order]) if order else np.empty(0, np.int64)
         by = np.lexsort((example, term))
         self.example, self.weight = example[by], weight[by]  # postings by term, then block
-        slot = term[by] * self.blocks + self.example // max(1, BLOCK)
-        cells = len(self.terms) * self.blocks
-        self.begin = np.searchsorted(slot, np.arange(cells + 1))
-        self.most = np.zeros(cells)
-        np.maximum.at(self.most, slot, self.weight)
-        self.most = self.most.reshape(len(self.terms), self.blocks)
+        slot = term[by] * max(1, self.blocks) + self.example // BLOCK
+        first = np.flatnonzero(np.diff(slot, prepend=-1))  # a cell: the postings of a term in a block
+        self.cell_begin, self.cell_size = first, np.diff(np.append(first, len(slot)))
+        self.cell_block = slot[first] % max(1, self.blocks)
+        self.cell_most = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
+        self.begin = np.searchsorted(slot[first], np.arange(len(self.terms) + 1) * max(1, self.blocks))
         whole = totals[0] + totals[1]
         self.base = totals[1] / whole if whole else 0.0
         self.steps = (np.array([0.0, 1.0]), np.array([self.base, self.base]))
         if rows[0] and rows[1]:
             at = {i: k for k, i in enumerate(order)}
-            own = np.array([at.get(i, -1) for i in range(n)])
-            share = np.concatenate([self.share(vectors[a:a + _TEXTS_AT_ONCE], own[a:a + _TEXTS_AT_ONCE])[0]
-                                    for a in range(0, n, _TEXTS_AT_ONCE)])
+            share = np.array([self.share(v, at.get(i, -1))[0] for i, v in enumerate(vectors)])
             self.steps = _isotonic(share, label, np.array([totals[c] / rows[c] for c in (0, 1)])[label])
 
-    def _vector(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and weights of a text's terms, scaled to length one."""
-        found = Counter(filter(self.terms.__contains__, terms))
-        pairs = sorted((self.terms[t], n) for t, n in found.items())
-        number, count = np.array(pairs, np.int64).reshape(-1, 2).T
-        weight = (1 + np.log(count)) * self.idf[number]
-        return number, weight / (np.sqrt((weight * weight).sum()) or 1)
-
-    def _scores(self, text: np.ndarray, block: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Cosines of each (text, block) pair with the block's examples."""
-        size = np.array([len(v[0]) for v in vectors], np.int64)
-        first = np.cumsum(size) - size
-        term = np.concatenate([v[0] for v in vectors])
-        weight = np.concatenate([v[1] for v in vectors])
-        at = _runs(first[text], size[text])
-        pair = np.repeat(np.arange(len(text)), size[text])
-        cell = term[at] * self.blocks + block[pair]
-        length = self.begin[cell + 1] - self.begin[cell]
-        posting = _runs(self.begin[cell], length)
-        pair = np.repeat(pair, length)
-        out = np.bincount(pair * BLOCK + self.example[posting] % BLOCK,
-                          np.repeat(weight[at], length) * self.weight[posting], minlength=len(text) * BLOCK)
-        return out.reshape(len(text), BLOCK)
-
-    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], own: np.ndarray | None = None,
-                ) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples of each text and their cosines, which are 0 past the last one; never ``own``."""
-        n, k = len(vectors), NEIGHBOURS
-        best, cosine = np.zeros((n, k), np.int64), np.zeros((n, k))
-        if not self.blocks:
-            return best, cosine
-        bound = np.zeros((n, self.blocks))
-        for i, (term, weight) in enumerate(vectors):
-            if len(term):
-                bound[i] = weight @ self.most[term]
-        order = np.argsort(-bound, axis=1, kind="stable")
-        firsts = np.zeros_like(bound, bool)
-        np.put_along_axis(firsts, order[:, :FIRST_BLOCKS], True, axis=1)
-        for visit in (0, 1):
-            chosen = bound > 0
-            # Rounding may put a bound a hair below a cosine that it bounds.
-            chosen &= firsts if visit == 0 else ~firsts & (bound >= cosine[:, -1:] - 1e-9)
-            text, block = np.nonzero(chosen)
-            for at in range(0, len(text), 4096):
-                t, b = text[at:at + 4096], block[at:at + 4096]
-                found = self._scores(t, b, vectors)
-                example = b[:, None] * BLOCK + np.arange(BLOCK)[None]
-                if own is not None:
-                    found[example == own[t][:, None]] = 0
-                cut = np.concatenate([[0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)]])
-                for a, z in zip(cut, cut[1:]):
-                    i = t[a]
-                    every = np.concatenate([cosine[i], found[a:z].ravel()])
-                    some = np.flatnonzero((every > 0) & (every >= cosine[i, -1]))
-                    if len(some) > k:  # ties with the k-th stay in
-                        some = some[every[some] >= np.partition(every[some], -k)[-k]]
-                    names = np.concatenate([best[i], example[a:z].ravel()])
-                    top = some[np.lexsort((names[some], -every[some]))[:k]]
-                    cosine[i, :len(top)], best[i, :len(top)] = every[top], names[top]
-        return best, cosine
-
-    def share(self, vectors: list[tuple[np.ndarray, np.ndarray]], own: np.ndarray | None = None):
-        """The toxic share of the neighbours' votes, -1 without neighbours; the neighbours and their cosines."""
-        best, cosine = self.nearest(vectors, own)
-        if not self.blocks:
-            return np.full(len(vectors), -1.0), best, cosine
-        votes = cosine * self.vote[best]
-        total = votes.sum(1)
-        toxic = (votes * self.label[best]).sum(1)
-        return np.where(total > 0, toxic / np.where(total > 0, total, 1), -1.0), best, cosine
-
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probabilities, nearest examples and their cosines."""
-        out = []
-        for at in range(0, len(texts), _TEXTS_AT_ONCE):
-            share, best, cosine = self.share([self._vector(terms_of(t)) for t in texts[at:at + _TEXTS_AT_ONCE]])
-            out.append((np.interp(share, *self.steps), best, cosine))
-        if not out:
-            return np.empty(0), np.empty((0, NEIGHBOURS), np.int64), np.empty((0, NEIGHBOURS))
-        return tuple(np.concatenate(x) for x in zip(*out))
+    def _counts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of a text's terms, and how often each is there."""
+        bag = Counter(words)
+        number = np.fromiter(map(self.terms.get, bag, repeat(-1)), np.int64, len(bag))
+        at = np.argsort(number)[np.count_nonzero(number < 0):]
+        return number[at], np.fromiter(bag.values(), np.int64, len(bag))[at]
+
+    def _weighted(self, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and their weights, scaled to length one."""
+        weight = (1 + np.log(count)) * self.idf[term]
+        return term, weight / (np.sqrt((weight * weight).sum()) or 1)
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        return self._weighted(*self._counts(terms_of(text)))
+
+    def nearest(self, vector: tuple[np.ndarray, np.ndarray], own: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k nearest examples of a text, nearest first, with their cosines and votes; never ``own``."""
+        term, weight = vector
+        n = self.begin[term + 1] - self.begin[term]
+        cell = _runs(self.begin[term], n)
+        if not len(cell):
+            return _NOTHING
+        of = np.repeat(np.arange(len(term)), n)
+        block = self.cell_block[cell]
+        bound = np.bincount(block, weight[of] * self.cell_most[cell], self.blocks)
+        cosine, vote = np.zeros(len(self.ids)), np.zeros(len(self.ids))
+        # The first visit finds k examples unless fewer have a term of the text.
+        visit = np.zeros(self.blocks, bool)
+        visit[np.argsort(-bound, kind="stable")[:NEIGHBOURS // BLOCK + 2]] = True
+        left = bound > 0
+        for _ in range(2):
+            mine = (visit & left)[block]
+            size = self.cell_size[cell[mine]]
+            posting = _runs(self.cell_begin[cell[mine]], size)
+            example, part = self.example[posting], np.repeat(weight[of[mine]], size) * self.weight[posting]
+            cosine += np.bincount(example, part, len(cosine))
+            vote += np.bincount(example, part * np.repeat(self.tells[term[of[mine]]], size), len(cosine))
+            left &= ~visit
+            if own >= 0:
+                cosine[own] = 0
+            kth = np.partition(cosine, -NEIGHBOURS)[-NEIGHBOURS] if len(cosine) > NEIGHBOURS else 0.0
+            visit = bound >= kth - 1e-9  # rounding may put a bound a hair below a cosine that it bounds
+        some = np.flatnonzero((cosine > 0) & (cosine >= kth))  # ties with the k-th stay in
+        best = some[np.lexsort((some, -cosine[some]))[:NEIGHBOURS]]
+        return best, cosine[best], vote[best]
+
+    def share(self, vector: tuple[np.ndarray, np.ndarray], own: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        """The toxic share of the neighbours' votes, -1 without any; the neighbours and their cosines."""
+        best, cosine, vote = self.nearest(vector, own)
+        vote = vote * self.vote[best]
+        total = vote.sum()
+        return (float((vote * self.label[best]).sum() / total) if total > 0 else -1.0), best, cosine
+
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Probabilities, nearest examples and their cosines; copies among the texts are looked up once."""
+        once = {t: self.share(self.vector(t)) for t in dict.fromkeys(texts)}
+        found = [once[t] for t in texts]
+        return np.interp([s for s, *_ in found], *self.steps), [b for _, b, _ in found], [c for *_, c in found]
 
 
 def _isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +179,30 @@ def _isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
     return np.array([p[2] / p[0] for p in pools]), np.array([p[1] / p[0] for p in pools])
 
 
+def document_frequencies(docs: DataFrame, terms: dict[str, int], text_col: str = "text") -> tuple[dict[str, int], int]:
+    """How many texts have each of the terms, and how many texts there are: one pass, counts merged by term.
+
+    The terms are those of the bounded sample, so are the counts that reach the driver.
+    """
+    sent = shared(docs.sparkSession, frozenset(terms))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, found, n = sent(), Counter(), 0
+        for b in batches:
+            n += b.num_rows
+            for t, copies in Counter(b.column(0).to_pylist()).items():
+                words = known & set(terms_of(t))
+                found.update(words if copies == 1 else dict.fromkeys(words, copies))
+        # The number of texts goes with the empty word, which no text has.
+        yield pa.RecordBatch.from_arrays([pa.array(["", *found], pa.string()), pa.array([n, *found.values()], pa.int64())],
+                                         ["term", "n"])
+
+    texts = docs.select(col(text_col).cast("string").alias("text")).where("text is not null")
+    sums = texts.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    df = {r["term"]: r["n"] for r in sums.collect()}
+    return df, df.pop("", 0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, per_class: int = PER_CLASS,
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
     """An index of about ``per_class`` labelled texts of each class, of the ids that are ``learnable``."""
@@ -211,10 +217,11 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, per
     share = {c: min(steps, steps * per_class // max(1, n)) for c, n in totals.items()}
     picked = marks.where(part < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
     texts = docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text"))
-    # About 2 * per_class rows, whatever the tables: small enough to broadcast, and to collect with their texts.
-    found = texts.where("text is not null").join(F.broadcast(picked), "doc_id").distinct().collect()
-    unique = {(r["doc_id"], r["text"]): r["y"] for r in found}
-    return Index([(i, t, unique[i, t]) for i, t in sorted(unique)], totals)
+    # About 2 * per_class rows, whatever the tables: small enough to broadcast, and to collect with a text each.
+    found = texts.where("text is not null").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    examples = sorted((r["doc_id"], r["text"], r["y"]) for r in found.collect())
+    df, n_docs = document_frequencies(docs, dict.fromkeys(w for _, t, _ in examples for w in terms_of(t)), text_col)
+    return Index(examples, totals, df, n_docs)
 
 
 def scored(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", evidence: int = 3) -> DataFrame:
@@ -231,8 +238,7 @@ def scored(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str
         for b in batches:
             p, best, cosine = index.score(b.column(1).to_pylist())
             rows = [[{"example": index.ids[e], "cosine": c, "label": int(index.label[e])}
-                     for e, c in zip(es[:evidence], cs[:evidence]) if c > 0]
-                    for es, cs in zip(best.tolist(), cosine.tolist())]
+                     for e, c in zip(es[:evidence].tolist(), cs[:evidence].tolist())] for es, cs in zip(best, cosine)]
             kind = pa.list_(pa.struct([("example", b.schema.types[0]), ("cosine", pa.float64()), ("label", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64()), pa.array(rows, kind)], schema.names)
 

@@ -2,8 +2,11 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -214,16 +217,70 @@ def test_toxicity_is_exact_and_learns(spark):
     examples = [(i, make(i % 3 == 0), int(i % 3 == 0)) for i in range(400)]
     index = toxicity.Index(examples, {0: 266, 1: 134})
     texts = [make(i % 2) for i in range(60)] + [None, "", "unseen"]
-    vectors = [index._vector(toxicity.terms_of(t)) for t in texts]
-    _, cosine = index.nearest(vectors)
-    dense = np.zeros((len(index.ids), len(index.terms)))
-    dense[index.example, np.repeat(np.arange(len(index.terms)), np.diff(index.begin[::index.blocks]))] = index.weight
-    for i, (term, weight) in enumerate(vectors):
-        want = np.sort(dense[:, term] @ weight)[::-1][:toxicity.NEIGHBOURS] if len(term) else np.zeros(toxicity.NEIGHBOURS)
-        assert np.allclose(cosine[i], want)
+    _check_nearest(index, examples, texts, {}, 0)
     score = index.score(texts)[0]
     assert np.mean((score[:60] >= 0.3) == np.arange(60) % 2) > 0.9 and ((0 <= score) & (score <= 1)).all()
     assert toxicity.Index([], {0: 0, 1: 0}).score(["a", None])[0].tolist() == [0, 0]
+    one = toxicity.Index([(1, "a b", 1), (2, "", 1)], {0: 0, 1: 2})
+    assert one.score(["a", "", None, "z"])[0].tolist() == [1, 1, 1, 1]
+
+
+def _check_nearest(index, examples, texts, df, n_docs):
+    """Cosines, neighbours and votes against dense vectors over all whole words, written without the index."""
+    bags = [Counter(re.findall(r"\w+", (t or "").lower())) for _, t, _ in examples]
+    label = np.array([y for *_, y in examples])
+    words = sorted(set().union(*bags))
+    have = np.array([[w in b for w in words] for b in bags], float)
+    idf = np.log(1 + max(n_docs, len(examples)) / np.maximum([df.get(w, 0) for w in words], have.sum(0)))
+
+    def dense(bag):
+        v = np.array([1 + math.log(bag[w]) if bag[w] else 0.0 for w in words]) * idf
+        return v / (np.linalg.norm(v) or 1)
+
+    with np.errstate(all="ignore"):
+        tells = np.nan_to_num(np.array([np.corrcoef(have[:, k], label)[0, 1] for k in range(len(words))]) ** 2)
+    whole = np.array([dense(b) for b in bags])
+    for text in texts:
+        v = dense(Counter(re.findall(r"\w+", (text or "").lower())))
+        want, votes = whole @ v, (whole * tells) @ v
+        best, cosine, vote = index.nearest(index.vector(text))
+        found = [index.ids[b] for b in best]
+        assert np.allclose(cosine, np.sort(want[want > 0])[::-1][:toxicity.NEIGHBOURS])
+        assert len(set(found)) == len(found)
+        place = {i: k for k, (i, *_) in enumerate(examples)}
+        assert np.allclose(cosine, [want[place[i]] for i in found]) and np.allclose(vote, [votes[place[i]] for i in found])
+
+
+def test_toxicity_query_against_dense_cosines(spark, docs):
+    rows = docs.select("doc_id", "text").collect()
+    learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
+    index = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"), learn)
+    text = {r["doc_id"]: r["text"] for r in rows}
+    marks = {r["doc_id"]: r["y"] for r in spark.read.parquet(f"{SF}/labels.parquet").where(learn).where("toxic is not null")
+             .groupBy("doc_id").agg(F.max("toxic").alias("y")).collect()}
+    examples = [(i, text[i], y) for i, y in sorted(marks.items()) if text.get(i) is not None]
+    df = Counter(w for r in rows for w in set(re.findall(r"\w+", (r["text"] or "").lower())))
+    n_docs = sum(r["text"] is not None for r in rows)
+    _check_nearest(index, examples, [r["text"] for r in rows[::5]], df, n_docs)
+    out = {r["doc_id"]: r for r in queries.op5_toxicity(spark, SF).collect()}
+    score = dict(zip(text, index.score([text[i] for i in text])[0]))
+    assert set(out) == set(text) and all(abs(out[i]["score"] - score[i]) < 1e-9 for i in text)
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and r["predicted"] == (r["score"] >= 0.3) for i, r in out.items())
+
+
+def test_toxicity_edges(spark, edges):
+    labels = spark.createDataFrame([(4, 1), (5, 0), (4, 0), (2, 0), (None, 1), (6, None), (99, 1)], "doc_id long, toxic int")
+    index = toxicity.fit(edges, labels)
+    assert sorted(zip(index.ids, index.label.tolist())) == [(4, 1), (5, 0)]
+    out = toxicity.scored(edges, index).collect()
+    assert len(out) == edges.count() and all(0 <= r["score"] <= 1 for r in out)
+    by_text = {}
+    for r, e in zip(sorted(out, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)), sorted(EDGES, key=lambda e: (e[0] is None, e[0] or 0))):
+        by_text.setdefault(e[1], set()).add(round(r["score"], 12))
+    assert all(len(s) == 1 for s in by_text.values())
+    nothing = toxicity.fit(edges.limit(0), labels.limit(0))
+    assert toxicity.scored(edges.limit(0), nothing).count() == 0
+    assert {r["score"] for r in toxicity.scored(edges, nothing).collect()} == {0.0}
 
 
 def test_pseudonyms_keep_format_and_links(spark):
