@@ -6,8 +6,9 @@ examples, weighted by (1 + log count) and by the documents of the corpus that
 have them; a text's other words have no example to meet and are left out of its
 length. The examples' inverted index is cut into blocks of 64 examples, those
 that use the same words most often side by side, and each term has the largest
-weight that it takes in each block. A text's cosine with any example of a block
-is at most the block's bound, the dot product with those weights. Each text
+weight that it takes in each block; of common terms every weight is at hand. A text's
+cosine with any example of a block is at most the block's bound: the largest dot
+product of the common terms, and that of the others with those weights. Each text
 visits its most promising blocks, then every other one whose bound reaches its
 k-th cosine so far, so the k nearest are exact. Ties in cosine go to the example
 that comes first.
@@ -45,6 +46,8 @@ from fieldcast.llm.common import col, shared
 PER_CLASS = 2000
 NEIGHBOURS = 200
 BLOCK = 64
+COMMON = 16
+_TEXTS_AT_ONCE = 256
 _WORD = re.compile(r"\w+")
 _NOTHING = np.empty(0, np.int64), np.empty(0), np.empty(0)
 
@@ -91,6 +94,14 @@ class Index:
         term = np.concatenate([vectors[i][0] for i in order]) if order else np.empty(0, np.int64)
         weight = np.concatenate([vectors[i][1] for i in order]) if order else np.empty(0)
         example = np.repeat(np.arange(len(order)), size[order]) if order else np.empty(0, np.int64)
+        # Terms that one in COMMON examples has are kept as rows, whose products with many texts at once are cheap.
+        self.common = np.flatnonzero(seen * COMMON >= n) if order else np.empty(0, np.int64)
+        self.row = np.full(len(self.terms), -1)
+        self.row[self.common] = np.arange(len(self.common))
+        self.dense = np.zeros((len(self.common), len(order)))
+        mine = self.row[term] >= 0
+        self.dense[self.row[term[mine]], example[mine]] = weight[mine]
+        term, weight, example = term[~mine], weight[~mine], example[~mine]
         by = np.lexsort((example, term))
         self.example, self.weight = example[by], weight[by]  # postings by term, then block
         slot = term[by] * max(1, self.blocks) + self.example // BLOCK
@@ -104,7 +115,7 @@ class Index:
         self.steps = (np.array([0.0, 1.0]), np.array([self.base, self.base]))
         if rows[0] and rows[1]:
             at = {i: k for k, i in enumerate(order)}
-            share = np.array([self.share(v, at.get(i, -1))[0] for i, v in enumerate(vectors)])
+            share = np.array([s for s, *_ in self.shares(vectors, [at.get(i, -1) for i in range(n)])])
             self.steps = _isotonic(share, label, np.array([totals[c] / rows[c] for c in (0, 1)])[label])
 
     def _counts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,17 +133,28 @@ class Index:
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         return self._weighted(*self._counts(terms_of(text)))
 
-    def nearest(self, vector: tuple[np.ndarray, np.ndarray], own: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The k nearest examples of a text, nearest first, with their cosines and votes; never ``own``."""
-        term, weight = vector
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], own: list[int] | None = None,
+                ) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The k nearest examples of each text, nearest first, with their cosines and votes; never its ``own``."""
+        if not self.blocks:
+            return [_NOTHING] * len(vectors)
+        x = np.zeros((len(vectors), len(self.common)))
+        rare = []
+        for i, (term, weight) in enumerate(vectors):
+            row = self.row[term]
+            x[i, row[row >= 0]] = weight[row >= 0]
+            rare.append((term[row < 0], weight[row < 0]))
+        cosine, vote = x @ self.dense, (x * self.tells[self.common]) @ self.dense
+        return [self._nearest(*v, *cv) for v, cv in zip(rare, zip(cosine, vote, own or repeat(-1)))]
+
+    def _nearest(self, term: np.ndarray, weight: np.ndarray, cosine: np.ndarray, vote: np.ndarray, own: int):
+        """Adds the rare terms, by blocks, to what the common ones give."""
         n = self.begin[term + 1] - self.begin[term]
         cell = _runs(self.begin[term], n)
-        if not len(cell):
-            return _NOTHING
         of = np.repeat(np.arange(len(term)), n)
         block = self.cell_block[cell]
-        bound = np.bincount(block, weight[of] * self.cell_most[cell], self.blocks)
-        cosine, vote = np.zeros(len(self.ids)), np.zeros(len(self.ids))
+        bound = np.maximum.reduceat(cosine, np.arange(self.blocks) * BLOCK)
+        bound = bound + np.bincount(block, weight[of] * self.cell_most[cell], self.blocks)
         # The first visit finds k examples unless fewer have a term of the text.
         visit = np.zeros(self.blocks, bool)
         visit[np.argsort(-bound, kind="stable")[:NEIGHBOURS // BLOCK + 2]] = True
@@ -147,23 +169,29 @@ class Index:
             left &= ~visit
             if own >= 0:
                 cosine[own] = 0
+            # A cosine without its rare terms is no more than the whole one, so the k-th is never too high.
             kth = np.partition(cosine, -NEIGHBOURS)[-NEIGHBOURS] if len(cosine) > NEIGHBOURS else 0.0
             visit = bound >= kth - 1e-9  # rounding may put a bound a hair below a cosine that it bounds
         some = np.flatnonzero((cosine > 0) & (cosine >= kth))  # ties with the k-th stay in
         best = some[np.lexsort((some, -cosine[some]))[:NEIGHBOURS]]
         return best, cosine[best], vote[best]
 
-    def share(self, vector: tuple[np.ndarray, np.ndarray], own: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+    def shares(self, vectors: list[tuple[np.ndarray, np.ndarray]], own: list[int] | None = None,
+               ) -> list[tuple[float, np.ndarray, np.ndarray]]:
         """The toxic share of the neighbours' votes, -1 without any; the neighbours and their cosines."""
-        best, cosine, vote = self.nearest(vector, own)
-        vote = vote * self.vote[best]
-        total = vote.sum()
-        return (float((vote * self.label[best]).sum() / total) if total > 0 else -1.0), best, cosine
+        out = []
+        for at in range(0, len(vectors), _TEXTS_AT_ONCE):
+            for best, cosine, vote in self.nearest(vectors[at:at + _TEXTS_AT_ONCE], own and own[at:at + _TEXTS_AT_ONCE]):
+                vote = vote * self.vote[best]
+                total = vote.sum()
+                out.append((float((vote * self.label[best]).sum() / total) if total > 0 else -1.0, best, cosine))
+        return out
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
         """Probabilities, nearest examples and their cosines; copies among the texts are looked up once."""
-        once = {t: self.share(self.vector(t)) for t in dict.fromkeys(texts)}
-        found = [once[t] for t in texts]
+        once = list(dict.fromkeys(texts))
+        told = dict(zip(once, self.shares([self.vector(t) for t in once])))
+        found = [told[t] for t in texts]
         return np.interp([s for s, *_ in found], *self.steps), [b for _, b, _ in found], [c for *_, c in found]
 
 

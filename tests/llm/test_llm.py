@@ -243,7 +243,7 @@ def _check_nearest(index, examples, texts, df, n_docs):
     for text in texts:
         v = dense(Counter(re.findall(r"\w+", (text or "").lower())))
         want, votes = whole @ v, (whole * tells) @ v
-        best, cosine, vote = index.nearest(index.vector(text))
+        best, cosine, vote = index.nearest([index.vector(text)])[0]
         found = [index.ids[b] for b in best]
         assert np.allclose(cosine, np.sort(want[want > 0])[::-1][:toxicity.NEIGHBOURS])
         assert len(set(found)) == len(found)
