@@ -18,6 +18,16 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called c0, c1, ..., which no helper column is called."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def as_named(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns c0, c1, ... of ``df`` under the names that they have in ``like``."""
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(like.columns)])
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 

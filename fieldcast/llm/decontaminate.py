@@ -34,11 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldcast.llm.common import col
+from fieldcast.llm.common import as_named, by_place, col
 
 WINDOW = 13
 SHARD_WORDS = 1_000_000
 PART_BYTES = 16 << 20
+ROW_BYTES = 16
 SAMPLED = 32
 OTHERS = 256
 _WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -229,10 +230,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_col: str
 
     ``__n_words``; ``__spans``, the merged removal spans as (start, end) word
     numbers; ``__items``, the ids of the items with a window in the text.
+    Carried columns have other names than these.
     """
+    if clash := {"__n_words", "__spans", "__items", "__text"} & set(carry):
+        raise ValueError(f"columns {sorted(clash)} cannot be carried under these names")
     spark = docs.sparkSession
-    items = benchmark.select(col(item_col).alias("item"), col(phrase_col).cast("string").alias("phrase")).where("phrase is not null")
-    total = items.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
+    items = benchmark.select(col(item_col).alias("item"), col(phrase_col).cast("string").alias("phrase")).where("phrase is not null").distinct()
+    total = items.agg(F.sum(F.octet_length("phrase") + ROW_BYTES)).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
     item_type = items.schema["item"].dataType
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -243,7 +247,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_col: str
                       F.array().cast(state["__items"].dataType).alias("__items"))
     kept = T.StructType([docs.schema[c] for c in carry])
     for part in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == part) if parts > 1 else items
+        # Dealt by item and text: copies of a text under many ids spread over the parts.
+        mine = items.where(F.pmod(F.xxhash64("item", "phrase"), F.lit(parts)) == part) if parts > 1 else items
         sent = spark.sparkContext.broadcast([(r["item"], r["phrase"]) for r in mine.collect()])
         text_too = [T.StructField("__text", T.StringType())] if part < parts - 1 else []
         schema = T.StructType([*kept, *text_too, *state])
@@ -313,8 +318,9 @@ def verdict(scanned: DataFrame) -> dict[str, Column]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the contaminated rows."""
-    with_found = scan(docs, benchmark, docs.columns, text_col, **options)
-    return with_found.where(~verdict(with_found)["contaminated"]).select(*[col(c) for c in docs.columns])
+    rows = by_place(docs)
+    with_found = scan(rows, benchmark, rows.columns, f"c{docs.columns.index(text_col)}", **options)
+    return as_named(with_found.where(~verdict(with_found)["contaminated"]), docs)
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:

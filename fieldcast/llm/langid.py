@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldcast.llm.common import col, shared
+from fieldcast.llm.common import as_named, by_place, col, shared
 
 ORDERS = (1, 2, 3)
 BINS = 1 << 16
 TRAIN_ROWS = 4000
+MAX_LANGS = 500
 COUNT_TASKS = 8
 _CHARS_AT_ONCE = 1 << 20
 
@@ -114,10 +115,16 @@ class Model:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
-    """A model of the rows with a text and a language: of each language a sample of about ``train_rows``."""
+    """A model of the rows with a text and a language: of each language a sample of about ``train_rows``.
+
+    The model grows with the languages; more than ``MAX_LANGS`` values of the column are an error, not a cut.
+    """
     rows = labelled.select(col(text_col).cast("string").alias("text"), col(lang_col).cast("string").alias("lang"))
     rows = rows.where("text is not null and lang is not null")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct(F.xxhash64("text")).alias("texts")).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct(F.xxhash64("text")).alias("texts"))
+    sizes = sizes.limit(MAX_LANGS + 1).collect()
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"column {lang_col!r} has more than {MAX_LANGS} values; map them to languages first")
     n = {r["lang"]: r["n"] for r in sizes}
     if not n:
         return Model({}, {})
@@ -145,7 +152,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tra
 
 
 def predict(docs: DataFrame, model: Model, carry: list[str], text_col: str = "text") -> DataFrame:
-    """The ``carry`` columns of ``docs`` with ``__lang`` and ``__score`` of each text."""
+    """The ``carry`` columns of ``docs`` (of other names) with ``__lang`` and ``__score`` of each text."""
+    if clash := {"__lang", "__score", "__text"} & set(carry):
+        raise ValueError(f"columns {sorted(clash)} cannot be carried under these names")
     sent = shared(docs.sparkSession, model)
     schema = T.StructType([*[docs.schema[c] for c in carry], T.StructField("__lang", T.StringType()),
                            T.StructField("__score", T.DoubleType())])
@@ -162,5 +171,6 @@ def predict(docs: DataFrame, model: Model, carry: list[str], text_col: str = "te
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose language can't be told: ``und``, or a score below ``min_score``."""
-    told = predict(docs, model, docs.columns, text_col)
-    return told.where((F.col("__lang") != "und") & (F.col("__score") >= min_score)).select(*[col(c) for c in docs.columns])
+    rows = by_place(docs)
+    told = predict(rows, model, rows.columns, f"c{docs.columns.index(text_col)}")
+    return as_named(told.where((F.col("__lang") != "und") & (F.col("__score") >= min_score)), docs)

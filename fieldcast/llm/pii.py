@@ -341,7 +341,8 @@ def pseudonymise(text: str | None, key: bytes, back: bool = False) -> tuple[str
 
 def pseudonyms(docs: DataFrame, key: str | None = None, text_col: str = "text", counts: bool = True,
                back: bool = False) -> DataFrame:
-    """``docs`` with pseudonyms in ``text_col``; with ``counts``, a column ``n_<kind>`` for each kind.
+    """``docs`` with pseudonyms in ``text_col``; with ``counts``, a column ``n_<kind>`` for each kind
+    (with underscores after it where the input has a column of that name).
 
     The key is ``spark.fieldcast.pii.key`` unless given. No column holds an
     original value beside the text it was replaced in.
@@ -351,8 +352,8 @@ def pseudonyms(docs: DataFrame, key: str | None = None, text_col: str = "text",
     secret = hashlib.sha256(key.encode()).digest()
     at = docs.columns.index(text_col)
     found = [f"n_{k}" for k in KINDS] if counts else []
-    if clash := set(found) & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are in the input already; ask for counts=False")
+    while set(found) & set(docs.columns):
+        found = [c + "_" if c in docs.columns else c for c in found]
     schema = T.StructType([*docs.schema, *[T.StructField(c, T.LongType()) for c in found]])
     schema.fields[at] = T.StructField(text_col, T.StringType())
 

@@ -427,3 +427,54 @@ def test_pipeline_runs_all_stages(spark, docs):
         sizes.append(frame.count())
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
     assert corpus_pipeline.run(spark, SF).count() == sizes[-1]
+
+
+#: Every name that an operator gives to a column of its own.
+HELPERS = ["c0", "c1", "__n", "__id", "__hash", "__row_id", "__row_hash", "__lang", "__score", "__text", "__spans", "__items",
+           "__n_words", "n_email", "n_email_", "n_card", "fp", "key", "role", "phrase", "item", "component_id", "text_hash"]
+
+
+def test_columns_with_names_of_helpers_keep_their_values(spark):
+    mine = [(i, t, "en", f"s{i}", len(t)) for i, t in enumerate(
+        ["the cat sat on the mat and ran away from the dog again and again today"] * 3
+        + ["mail ann.42@mail8.example.com or call", "a text about nothing much", "der hund und die katze im haus"])]
+    plain = spark.createDataFrame(mine, DOC)
+    named = plain.withColumns({n: F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")) for n in HELPERS})
+    phrases = spark.createDataFrame([(7, "sat on the mat and ran away from the dog again and again today")], "item_id long, text string")
+    model = langid.fit(plain)
+    for step in (lambda d: simhash.keep_one(d), lambda d: langid.keep_identified(d, model, 0.0),
+                 lambda d: decontaminate.decontaminate(d, phrases), lambda d: pii.pseudonyms(d, key="k", counts=False)):
+        want, got = step(plain).orderBy("doc_id").collect(), step(named)
+        assert got.columns == named.columns
+        got = got.orderBy("doc_id").collect()
+        assert [tuple(r)[:5] for r in got] == [tuple(r) for r in want] and len(want) > 0
+        assert all(r[n] == f"{n}-{r['doc_id']}" for r in got for n in HELPERS)
+    assert [r["doc_id"] for r in simhash.keep_one(named).orderBy("doc_id").collect()] == [0, 3, 4, 5]
+    assert [r["doc_id"] for r in decontaminate.decontaminate(named, phrases).orderBy("doc_id").collect()] == [3, 4, 5]
+    counted = pii.pseudonyms(named, key="k")
+    assert len(set(counted.columns)) == len(counted.columns) and counted.where("doc_id = 3").first()["n_email__"] == 1
+    with pytest.raises(ValueError, match="__spans"):
+        decontaminate.scan(named, phrases, ["doc_id", "__spans"])
+    with pytest.raises(ValueError, match="__lang"):
+        langid.predict(named, model, ["__lang"])
+
+
+def test_copies_in_the_benchmark_spread_over_parts(spark, docs):
+    words = "a1 b2 c3 d4 e5 f6 g7 h8 i9 j10 k11 l12 m13"
+    phrases = spark.createDataFrame([(i % 900, words) for i in range(1000)] + [(1000, None), (1001, "")], "item_id long, text string")
+    told = spark.createDataFrame([(1, f"x {words} y"), (2, "x y")], "doc_id long, text string")
+    sizes = [r["n"] for r in phrases.where("text <> ''").distinct().groupBy(
+        F.pmod(F.xxhash64("item_id", "text"), F.lit(8)).alias("part")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 200
+    for part_bytes in (1 << 20, 8000):
+        out = {r["doc_id"]: r for r in decontaminate.scan(told, phrases, ["doc_id"], part_bytes=part_bytes).collect()}
+        assert sorted(out[1]["__items"]) == list(range(900)) and out[2]["__items"] == []
+        assert [tuple(s) for s in out[1]["__spans"]] == [(1, 14)]
+
+
+def test_more_languages_than_the_model_may_hold_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 3)
+    rows = spark.createDataFrame([(f"text {i}", f"l{i % 4}") for i in range(20)], "text string, lang string")
+    with pytest.raises(ValueError, match="more than 3"):
+        langid.fit(rows)
+    assert langid.fit(rows.where("lang <> 'l3'")).langs == ["l0", "l1", "l2"]
