@@ -157,7 +157,8 @@ def q_replace_projection(t):
 # ------------------------------------------------------------------ W5
 _EMPTY_FEEDS = """snaps AS (SELECT CAST(NULL AS VARCHAR) AS external_id, CAST(NULL AS INTEGER) AS season,
                  CAST(NULL AS DOUBLE) AS prior_snap_share WHERE false),
-depth AS (SELECT CAST(NULL AS VARCHAR) AS external_id, CAST(NULL AS INTEGER) AS depth_chart_rank WHERE false),
+depth AS (SELECT CAST(NULL AS VARCHAR) AS external_id, CAST(NULL AS INTEGER) AS season,
+                 CAST(NULL AS INTEGER) AS depth_chart_rank WHERE false),
 nobios AS (SELECT CAST(NULL AS VARCHAR) AS gsis_id, CAST(NULL AS INTEGER) AS draft_round,
                   CAST(NULL AS INTEGER) AS draft_pick, CAST(NULL AS INTEGER) AS rookie_season,
                   CAST(NULL AS INTEGER) AS years_of_experience WHERE false)"""
