@@ -119,3 +119,37 @@ def test_team_of_the_game_needs_its_table(spark):
         P.roster_shares(ps, players, [2024], team_of_record="last")
     now = P.roster_shares(ps, players, [2024], team_of_record="current")
     assert now.where("still_here").count() == now.count() == 5 and P.departed_share(now).isEmpty()
+
+
+def test_volumes_need_no_join_and_unknown_games_have_no_team(spark):
+    stats = spark.createDataFrame([(1, 2000, 1, 5, 1), (1, 2000, 2, 3, 0), (1, 2000, 2, 2, 0), (None, 2000, 1, 4, 4), (2, None, 1, 1, 1)],
+                                  "player_id long, season int, week int, targets int, carries int")
+    teams = spark.createDataFrame([(1, 2000, 1, "A"), (1, 2000, 2, "B"), (None, 2000, 1, "C"), (2, None, 1, "C"), (3, 2000, 1, "D")],
+                                  "player_id long, season int, week int, team string")
+    volumes = P.team_volumes(stats, teams)
+    assert {tuple(r) for r in volumes.collect()} == {
+        (1, 2000, "A", 1, 5, 1), (1, 2000, "B", 2, 5, 0), (None, 2000, None, 1, 4, 4), (2, None, None, 1, 1, 1)}
+    assert "Join" not in volumes._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_max_of_others_keeps_ties_and_nulls_and_no_large_shuffle(spark):
+    df = spark.createDataFrame([("A", 1, .5), ("A", 2, .5), ("A", 3, .2), ("B", 4, .1), ("C", 5, None), ("C", 6, .3), (None, 7, .9)],
+                               "team string, id long, share double")
+    out = P.max_of_others(df, ["team"], "share", "top")
+    assert {r["id"]: r["top"] for r in out.collect()} == {1: .5, 2: .5, 3: .5, 4: 0.0, 5: 0.0, 6: 0.0}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "WindowGroupLimit" in plan
+
+
+def test_context_sorts_few_frames_in_one_plan(spark, tables):
+    """Each sort of a task holds memory of its own, and a frame that is read twice is computed twice unless it is stored."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # as with large tables
+    try:
+        targets = P.target_season_list(tables.player_stats)
+        volumes = P.team_volumes(tables.player_stats, tables.game_teams)
+        built = P.build_context(tables.player_stats, tables.players, targets, volumes=volumes, ps=P.player_seasons(tables.player_stats))
+        n = built._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert n <= 40, n          # it was 1107 when the frames were planned again for each reader
