@@ -112,20 +112,30 @@ def rewrite_partitions(spark: SparkSession, path: str, schema: T.StructType, par
     partition values (seasons, batches) reach the driver. `change` must be
     idempotent: a job that dies half way is repaired by running it again.
     """
-    values = touched.select(F.col(partition_by).cast(schema[partition_by].dataType).alias(partition_by)).distinct()
-    slice_ = read_table(spark, path, schema).join(values, partition_by, "left_semi")     # partition pruning via DPP
+    values = {r[0] for r in touched.select(F.col(partition_by).cast(schema[partition_by].dataType)).distinct().collect()}
+    slice_ = read_table(spark, path, schema).where(F.col(partition_by).isin([v for v in values if v is not None]))   # pruned
     staged = staging_path(spark, "rewrite") if staging_root is None else os.path.join(staging_root, "rewrite")
     change(slice_).select(*schema.fieldNames()).write.mode("overwrite").parquet(staged)
     new = spark.read.schema(schema).parquet(staged)
     left = {r[0] for r in new.select(partition_by).distinct().collect()}
-    gone = {r[0] for r in values.collect()} - left
+    gone = values - left
     # a partition's rows meet in few tasks, and a large one's are split over several
     new.hint("rebalance", partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy(partition_by).parquet(path)
     for value in gone:
-        fs, where = _file_system(spark, f"{path}/{partition_by}={value}")
-        fs.delete(where, True)
-    fs, where = _file_system(spark, staged)
+        drop_files(spark, f"{path}/{partition_by}={value}")
+    drop_files(spark, staged)
+
+
+def stored_once(spark: SparkSession, rows: DataFrame, staging_root: str | None, name: str) -> tuple[DataFrame, str]:
+    """`rows` written to a staging folder and read back, for steps that read them several times: the frame and its folder."""
+    where = staging_path(spark, name) if staging_root is None else os.path.join(staging_root, name)
+    rows.write.mode("overwrite").parquet(where)
+    return spark.read.schema(rows.schema).parquet(where), where
+
+
+def drop_files(spark: SparkSession, path: str) -> None:
+    fs, where = _file_system(spark, path)
     fs.delete(where, True)
 
 
@@ -135,11 +145,16 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, key: Sequen
     """Upsert into the parquet table at `path`, rewriting only touched partitions.
 
     Updates that repeat a key are refused: which of them wins would be left to chance.
+    Updates are computed once and staged, since the check, the touched partitions and the merge all read them.
     """
+    wanted = [F.col(c).cast(schema[c].dataType).alias(c) for c in updates.columns if c in schema.fieldNames()]
+    updates, staged = stored_once(spark, updates.select(*wanted), staging_root, "updates")
     if not updates.groupBy(*key).count().where("count > 1").isEmpty():
+        drop_files(spark, staged)
         raise ValueError(f"updates repeat a key of {list(key)}")
     rewrite_partitions(spark, path, schema, partition_by, updates,
                        lambda old: merge_upsert(old, updates, key, policy), staging_root)
+    drop_files(spark, staged)
 
 
 def merge_fullest(spark: SparkSession, path: str, rows: DataFrame, schema: T.StructType,

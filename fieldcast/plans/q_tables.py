@@ -22,7 +22,7 @@ from fieldcast.plans.q_preseason import CONTEXT_DOUBLES, CONTEXT_SQL, FEEDS, _ps
 from fieldcast.plans.q_inseason import SEASON, WEEK, _UPCOMING_SQL, upcoming_sql
 from fieldcast.plans.q_scoring import IN_HEURISTIC, PRE_CONFIDENCE, PRE_HEURISTIC, _vec_sql
 from fieldcast.plans.registry import register, sql_round
-from fieldcast.session import staging_path
+from fieldcast.session import cut_lineage, staging_path
 from fieldcast.sources import readers as R
 from fieldcast.streaming.weekly import LOG_SCHEMA, incremental_weekly, weekly_run, weekly_run_batch
 
@@ -185,7 +185,7 @@ SELECT {_policy_select()}
 FROM o FULL OUTER JOIN n ON n.player_id = o.player_id AND n.season = o.season""")
 def q_upsert_context(t):
     """A rebuild whose optional feeds failed: feed columns must survive."""
-    feedless = P.build_context(t.player_stats, t.players, _targets(t), volumes=_volumes(t), ps=_ps(t))
+    feedless = cut_lineage(P.build_context(t.player_stats, t.players, _targets(t), volumes=_volumes(t), ps=_ps(t)))
     path, schema = _stored_table(t, "context", context_table(t).select(*P.CONTEXT_COLUMNS))
     policy = {c: W.COALESCE for c in W.CONTEXT_COALESCE}
     for _ in range(2):
@@ -204,7 +204,7 @@ WHERE c.season NOT IN (SELECT season FROM b)
 def q_prune_stale(t):
     """The build is the prior-production frame (players with a prior
     regular season); context rows of built seasons outside it are stale."""
-    build = P.prior_production(_ps(t), t.players, _targets(t)).select("player_id", "season")
+    build = cut_lineage(P.prior_production(_ps(t), t.players, _targets(t)).select("player_id", "season"))
     path, schema = _stored_table(t, "context", context_table(t).select(*P.CONTEXT_COLUMNS))
     for _ in range(2):
         W.prune_table(t.spark, path, build, schema)

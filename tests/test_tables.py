@@ -186,3 +186,25 @@ def test_rosters_with_ties_are_decided(spark):
     for order in (rows, rows[::-1]):
         df = spark.createDataFrame(order, "player_id string, season int, team string, age double").repartition(2)
         assert [(r["team"], r["age"]) for r in clean_rosters(df).collect()] == [("NE", 31.0)]
+
+
+def test_updates_are_computed_once_and_slices_need_no_join(spark):
+    path = tempfile.mkdtemp(prefix="fc-once-") + "/t"
+    base = spark.createDataFrame([(1, 2000, 1), (2, 2001, 2)], "player_id long, season int, x int")
+    base.write.partitionBy("season").parquet(path)
+    seen = spark.sparkContext.accumulator(0)
+
+    def passing(v):
+        seen.add(1)
+        return v
+
+    updates = spark.createDataFrame([(1, 2000, 5), (3, 2000, 6)], "player_id long, season int, x int") \
+        .withColumn("player_id", F.udf(passing, "long")("player_id"))
+    W.upsert_table(spark, path, updates, ("player_id", "season"), "season", base.schema)
+    assert sorted(map(tuple, W.read_table(spark, path, base.schema).select(*base.columns).collect())) == [(1, 2000, 5), (2, 2001, 2), (3, 2000, 6)]
+    assert seen.value == 2
+    plans = []
+    W.rewrite_partitions(spark, path, base.schema, "season", spark.createDataFrame([(2000,), (None,)], "season int"),
+                         lambda old: plans.append(old._jdf.queryExecution().optimizedPlan().toString()) or old)
+    assert "Join" not in plans[0]
+    assert W.read_table(spark, path, base.schema).count() == 3
