@@ -34,6 +34,7 @@ from fieldcast.operators import inseason as ins
 from fieldcast.operators import preseason as P
 from fieldcast.operators import scoring as M
 from fieldcast.operators import tables as W
+from fieldcast.session import cut_lineage
 
 STATS_KEY = ("player_id", "season", "week")
 STATS_SCHEMA = T.StructType([
@@ -101,11 +102,13 @@ def weekly_run_batch(spark: SparkSession, root: str, staging_root: str, created_
     def run(batch: DataFrame, batch_id: int) -> None:
         staging = os.path.join(staging_root, f"batch-{batch_id}")
         players_path, stats_path, log_path = (f"{root}/{n}" for n in ("players", "player_stats", "predictions"))
-        weekly = merged_records(spark, batch, f"{root}/records", staging)
+        # the players and the games both come from the merged rows
+        weekly, kept = W.stored_once(spark, merged_records(spark, batch, f"{root}/records", staging), staging, "weekly")
         _upsert_players(spark, players_path, weekly)
         players = W.published(spark, players_path, PLAYER_SCHEMA)
         W.upsert_table(spark, stats_path, W.stats_updates(weekly, players), STATS_KEY, "season", STATS_SCHEMA,
                        staging_root=os.path.join(staging, "stats"))
+        W.drop_files(spark, kept)
         stats = W.read_table(spark, stats_path, STATS_SCHEMA)
         if stats.isEmpty():
             return
@@ -124,8 +127,9 @@ def weekly_run_batch(spark: SparkSession, root: str, staging_root: str, created_
 def _upsert_players(spark: SparkSession, path: str, weekly: DataFrame) -> None:
     """W1 in storage: the latest identity of each player of the delivery, unless a later one is known; new ones get ids."""
     base = W.published(spark, path, PLAYER_SCHEMA)
-    latest = latest_per_key(weekly.select(F.col("player_id").alias("external_id"), "season", "week", "name", "team", "position"),
-                            ["external_id"], ["season", "week"])
+    latest = cut_lineage(latest_per_key(   # a row a player
+        weekly.select(F.col("player_id").alias("external_id"), "season", "week", "name", "team", "position"),
+        ["external_id"], ["season", "week"]))
     ups = W.newer_identities(base, latest).select(
         "external_id", "name", "team", "position", F.col("season").alias("seen_season"), F.col("week").alias("seen_week"))
     W.publish(spark, path, W.fill_ids(W.merge_upsert(base, ups, ["external_id"]), base).select(*PLAYER_SCHEMA.fieldNames()))

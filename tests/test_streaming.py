@@ -80,3 +80,21 @@ def test_weekly_run_appends_each_batch_once(spark):
                      (3, 1, 2024, 3, "NE", 1), (4, 2, 2024, 3, "SF", 1), (5, 4, 2024, 3, "KC", 1)]
     players = {r["external_id"]: (r["player_id"], r["team"], r["seen_season"]) for r in W.published(spark, f"{root}/players", PLAYER_SCHEMA).collect()}
     assert players == {"00-1": (1, "NE", 2024), "00-2": (2, "SF", 2024), "00-7": (3, "NE", 2023), "00-9": (4, "KC", 2024)}
+
+
+def test_merged_rows_are_computed_once(spark, monkeypatch):
+    from fieldcast.streaming import weekly as K
+
+    plans, upsert = [], K.W.upsert_table
+
+    def watched(s, path, updates, *args, **kwargs):
+        plans.append(updates._jdf.queryExecution().optimizedPlan().toString())
+        return upsert(s, path, updates, *args, **kwargs)
+
+    monkeypatch.setattr(K.W, "upsert_table", watched)
+    root = tempfile.mkdtemp(prefix="fc-once-")
+    feed = spark.createDataFrame([("00-1", "Al", "WR", "KC", 2024, 1, "NE", 8, 0, 6, 60.0, 1, 0.0, 0)], FEED)
+    K.weekly_run_batch(spark, root, os.path.join(root, "staging"), "2024-09-10 00:00:00")(feed, 0)
+    assert "LeftSemi" not in plans[0]     # what is upserted is read, not merged again
+    assert spark.read.parquet(f"{root}/player_stats").count() == spark.read.parquet(f"{root}/predictions").count() == 1
+    assert not os.path.exists(os.path.join(root, "staging", "batch-0", "weekly"))
